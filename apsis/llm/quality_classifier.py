@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .doc_stats import COUNTS, FEATURES, document_counts, features
+from .common import blocks, materialize
+from .doc_stats import COUNTS, FEATURES, count_block, document_counts, features
 
 
 @dataclass
@@ -143,10 +143,28 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def learn(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
+    """Fits the rows of a counts table (`_id`, COUNTS) that have a label and are not held out."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & ~held_out(F.col(id_col)))
+    return fit(counts.join(known, "_id"), "_label")
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """Per document: id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (score >= threshold)."""
     counts = materialize(document_counts(docs, id_col, text_col), "quality-counts")
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & ~held_out(F.col(id_col)))
-    model = fit(counts.join(known, "_id"), "_label")
-    scored = apply(counts, model)
+    scored = apply(counts, learn(counts, labels, id_col, label_col))
     return scored.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that the classifier accepts. Texts are read twice and never shuffled."""
+    model = learn(materialize(document_counts(docs, id_col, text_col), "quality-counts"), labels, id_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, text_col):
+                score = np.round(model.score(features(count_block(part.column(at)))), 6)
+                yield part.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

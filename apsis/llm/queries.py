@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_classifier, quality_rules, secret_scan, spot_signatures, substring_dedup, warc_store
+from . import chat_format, mixing, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, spot_signatures, substring_dedup, warc_store
 
 #: Vocabulary files; a parameter of the packing operator.
 TOKENIZERS = os.environ.get("APSIS_TOKENIZERS", "/opt/tokenizers")
@@ -63,6 +63,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -140,5 +144,5 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n
 FROM d LEFT JOIN a USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op4_secret_scan, op5_spot_signatures, op6_quality_rules, op7_mixing, op8_packing, op9_warc_store, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scan, op5_spot_signatures, op6_quality_rules, op7_mixing, op8_packing, op9_warc_store, op10_substring_dedup)}
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op9_warc_store": OP9_SQL, "op10_substring_dedup": OP10_SQL}
