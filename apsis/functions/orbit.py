@@ -52,7 +52,8 @@ def in_sunlight(latitude: Column, longitude: Column, timestamp: Column) -> Colum
     lat = F.radians(latitude)
     height = F.sin(lat) * F.sin(declination) + F.cos(lat) * F.cos(declination) * F.cos(angle)
     lit = F.degrees(F.asin(F.least(F.greatest(height, F.lit(-1.0)), F.lit(1.0)))) > -6
-    return F.coalesce(lit, F.lit(True))
+    unknown = latitude.isNull() | longitude.isNull() | timestamp.isNull()  # greatest and least pass over nulls
+    return F.when(unknown, True).otherwise(lit)
 
 
 def _region(code: str, name: str, region: str, ocean: bool) -> Column:
