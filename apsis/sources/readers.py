@@ -32,11 +32,13 @@ def read_archive(spark: SparkSession, root: str, day: str | None = None) -> Data
 
 def read_tles(spark: SparkSession, root: str, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(TLE rows of a date range, undecodable lines as rejects) from JSON lines in date= folders."""
-    raw = spark.read.schema(f"{S.TLE}, date date, _bad string").option("columnNameOfCorruptRecord", "_bad").json(root)
-    raw = raw.where(F.col("date") >= F.lit(start).cast("date")) if start else raw
-    raw = raw.where(F.col("date") <= F.lit(end).cast("date")) if end else raw
-    rejects = raw.where("_bad is not null").select(F.lit("tle").alias("source"), F.lit("malformed JSON").alias("reason"), F.col("_bad").alias("raw"))
-    return raw.where("_bad is null").drop("_bad"), rejects
+    lines = spark.read.text(root)  # with the date of the folder
+    lines = lines.where(F.col("date") >= F.lit(start).cast("date")) if start else lines
+    lines = lines.where(F.col("date") <= F.lit(end).cast("date")) if end else lines
+    parsed = lines.withColumn("_d", F.from_json("value", f"{S.TLE}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("_d").isNull() | F.col("_d._bad").isNotNull()
+    rejects = parsed.where(bad).select(F.lit("tle").alias("source"), F.lit("malformed JSON").alias("reason"), F.col("value").alias("raw"))
+    return parsed.where(~bad).select("_d.*", "date").drop("_bad"), rejects
 
 
 def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
