@@ -6,7 +6,7 @@
 3. Documents of equal content form a class; only class representatives go on.
 4. Bands are buckets. Every representative is compared with one bucket leader (the one it meets in most bands), then
    linked documents are labelled by connected components. Buckets that still hold several labels are compared in
-   blocks of bounded size, whose members of different labels are verified if their signatures agree often enough.
+   blocks of bounded size: members of different labels are verified there if their signatures agree often enough.
 5. Every link is verified by exact weighted Jaccard similarity on whole texts; components of all links are the classes.
 
 A group of many copies is thus one row, and one of many near copies costs a link each. No pair within one label is made.
@@ -219,14 +219,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, shared, size: int, threshold: fl
     return joined.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
-def _block_pairs(members: DataFrame, least: float, block: int) -> DataFrame:
-    """members: key, rep, label, sign. Pairs of one bucket with different labels whose signatures agree in a share of
-    `least` or more of the samples, each in the first band only that it shares. Buckets are cut into blocks of about
-    `block` members by hash; every two blocks of a bucket meet in one group of bounded size."""
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")), "key")
+def _block_links(members: DataFrame, shared, size: int, threshold: float, least: float, block: int) -> DataFrame:
+    """members: key, band, rep, label, sign, _text. Links (a, b) between members of one bucket with different labels.
+
+    Buckets are cut into blocks of about `block` members by hash; every two blocks of a bucket meet in one group of
+    bounded size. A pair is looked at in the first band only that it shares, verified if its signatures agree in a share of
+    `least` or more of the samples, and skipped once the group's links have joined its labels: a group emits fewer
+    links than it has members."""
+    sized = members.select("key", "rep").groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
     own = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))
-    dealt = sized.withColumn("own", own).withColumn("at", F.explode(met)).select("key", "band", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "own", "rep", "label", "sign")
+    dealt = members.join(sized, "key").withColumn("own", own).withColumn("at", F.explode(met)).select("key", "band", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "own", "rep", "label", "sign", "_text")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "rep")
     kind = dict(members.dtypes)["rep"]
 
@@ -237,46 +240,55 @@ def _block_pairs(members: DataFrame, least: float, block: int) -> DataFrame:
             table = table if rest is None else pa.concat_tables([rest, table])
             groups = bounds(table)
             rest = table.slice(groups[-1])
-            yield pairs(table, groups)
+            if len(groups) > 1:
+                yield links(table.slice(0, groups[-1]).combine_chunks(), groups)
         if rest is not None and rest.num_rows:
-            yield pairs(rest, [*bounds(rest), rest.num_rows])
+            yield links(rest.combine_chunks(), [*bounds(rest), rest.num_rows])
 
     def bounds(table: pa.Table) -> list[int]:
         k, x, y = (table.column(c).to_numpy() for c in ("key", "x", "y"))
         new = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         return [0, *(np.flatnonzero(new) + 1).tolist()]
 
-    def pairs(table: pa.Table, groups: list[int]) -> pa.RecordBatch:
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
-        if len(groups) > 1:
-            to = groups[-1]
-            table = table.slice(0, to).combine_chunks()
-            _, labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)
-            band, own, x, y = (table.column(c).to_numpy() for c in ("band", "own", "x", "y"))
-            signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(to, SAMPLES)
-            for a, b in zip(groups[:-1], groups[1:], strict=True):
-                same = x[a] == y[a]
-                mid = b if same else a + int((own[a:b] == x[a]).sum())
-                for i in range(a, mid):
-                    js = np.arange(i + 1, b) if same else np.arange(mid, b)
-                    js = js[labels[js] != labels[i]]
-                    if not len(js):
-                        continue
-                    agree = signs[js] == signs[i]
-                    js, agree = js[(hit := agree.mean(1) >= least)], agree[hit]
-                    if len(js):
-                        shared = agree.reshape(len(js), BANDS, ROWS).all(2).argmax(1) == band[a]
-                        left.append(np.full(int(shared.sum()), i))
-                        right.append(js[shared])
-        at = pa.array(np.concatenate(left) if left else np.zeros(0, int)), pa.array(np.concatenate(right) if right else np.zeros(0, int))
-        reps = table.column("rep")
-        return pa.table({"a": reps.take(at[0]), "b": reps.take(at[1])}).combine_chunks().to_batches()[0] if left and len(at[0]) else pa.RecordBatch.from_pydict({"a": reps.slice(0, 0).combine_chunks(), "b": reps.slice(0, 0).combine_chunks()})
-
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, floor: float = 0.9, slack: float = 0.11, block: int = 512) -> DataFrame:
+    def links(table: pa.Table, groups: list[int]) -> pa.RecordBatch:
+        weights: Weights = shared.value
+        _, labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)
+        band, own, x, y = (table.column(c).to_numpy() for c in ("band", "own", "x", "y"))
+        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, SAMPLES)
+        texts = table.column("_text")
+        found: list[tuple[int, int]] = []
+        for a, b in zip(groups[:-1], groups[1:], strict=True):
+            same = x[a] == y[a]
+            mid = b if same else a + int((own[a:b] == x[a]).sum())
+            now, sets = labels[a:b].copy(), {}
+
+            def parsed(i: int, sets=sets):
+                if i not in sets:
+                    hashes, tf = Shingles(pa.array([texts[i].as_py()], pa.large_string()), size).counted(0)
+                    sets[i] = hashes, weights.of(hashes, tf)
+                return sets[i]
+
+            for i in range(a, mid):
+                js = np.arange(i + 1, b) if same else np.arange(mid, b)
+                js = js[now[js - a] != now[i - a]]
+                if not len(js):
+                    continue
+                agree = signs[js] == signs[i]
+                share = agree.mean(1)
+                likely = np.flatnonzero(share >= least)
+                likely = likely[agree[likely].reshape(len(likely), BANDS, ROWS).all(2).argmax(1) == band[a]]
+                for j in js[likely[np.argsort(-share[likely], kind="stable")]].tolist():
+                    if now[j - a] != now[i - a] and similarity(parsed(i), parsed(j)) >= threshold:
+                        found.append((i, j))
+                        now[now == now[j - a]] = now[i - a]
+        reps = table.column("rep").combine_chunks() if isinstance(table.column("rep"), pa.ChunkedArray) else table.column("rep")
+        ends = [reps.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, floor: float = 0.9, slack: float = 0.11, block: int = 256) -> DataFrame:
     """Per row of docs: id, rep_id (the least id with the same content) and class_id (the least id of its class).
 
     slack: how far below the threshold two signatures may agree and still be verified (3 standard errors of SAMPLES).
@@ -292,21 +304,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.substr("sign", k * (4 * ROWS) + 1, F.lit(4 * ROWS)), k).alias("key")))
     banded = materialize(reps.select("rep", F.explode(band).alias("s")).select("rep", "s.band", "s.key"), "bands")
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    met = materialize(banded.join(buckets, "key").select("key", "band", "rep", "leader"), "buckets")
+    shared_keys = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(banded.join(shared_keys, "key").select("key", "band", "rep", "n"), "buckets")
+    # A bucket's leader is its member with the most bucket neighbours: in a group of near copies, one near the middle.
+    degree = met.groupBy("rep").agg(F.sum("n").alias("degree"))
+    leaders = met.join(degree, "rep").groupBy("key").agg(F.min_by("rep", F.struct(-F.col("degree"), F.col("rep"))).alias("leader"))
+    led = met.join(leaders, "key").where("rep <> leader")
     involved = met.select(F.col("rep").alias("_id")).distinct()
     texts = materialize(rows.join(involved, "_id", "left_semi").dropDuplicates(["_id"]), "candidate-texts")
 
     # One leader per representative: the one it meets in most bands.
-    best = met.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
+    best = led.groupBy("rep", "leader").agg(F.count("*").alias("n")).groupBy("rep").agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("leader"))
     first = materialize(_verify(best.select(F.col("rep").alias("a"), F.col("leader").alias("b")), texts, shared, shingle, threshold), "first-links")
     labels = components(first)
     labelled = met.join(labels, met["rep"] == labels["node"], "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("label"))
     labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     active = labelled.join(mixed, "key", "left_semi").join(signed.select(F.col("_id").alias("rep"), "sign").dropDuplicates(["rep"]), "rep")
-    more = _verify(materialize(_block_pairs(active, threshold - slack, block), "candidate-pairs"), texts, shared, shingle, threshold)
-    links = first.select("a", "b").unionByName(more.select("a", "b"))
+    active = active.join(texts.select(F.col("_id").alias("rep"), "_text"), "rep")
+    more = materialize(_block_links(active, shared, shingle, threshold, threshold - slack, block), "more-links")
+    links = first.select("a", "b").unionByName(more)
     final = materialize(components(links), "classes")
     found = members.join(final, members["rep"] == final["node"], "left").select(F.col("_id").alias(id_col), F.col("rep").alias("rep_id"), F.coalesce("label", "rep").alias("class_id"))
     none = F.lit(None).cast(dict(rows.dtypes)["_id"])
