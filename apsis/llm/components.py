@@ -23,20 +23,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars already: each upper end has one link, and no lower end is an upper one."""
+    upper = edges.groupBy("a").agg(F.count("*").alias("n"))
+    if not upper.where("n > 1").isEmpty():
+        return False
+    return edges.select(F.col("b").alias("a")).join(upper, "a", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: a, b (any order, not null). Per node that has a link: node, label (the least node of its component).
 
-    Every round writes its links; it ends when links no longer change (a logarithmic number of rounds)."""
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialize(now, "links")
-    seen = None
+    Every round writes its links; it ends when all are stars (a logarithmic number of rounds)."""
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(rounds):
-        mark = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        if seen == mark:
-            break
-        seen = mark
+        if _settled(now):
+            nodes = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         now = materialize(_star(_star(now, large=True), large=False), "links")
-    else:
-        raise RuntimeError("components did not settle")
-    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    raise RuntimeError("components did not settle")
