@@ -43,16 +43,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix((np.arange(256, dtype=U64) + U64(1)) * _GOLDEN)
-_POWERS = np.ones(64, U64)
+
+
+def _power_table(n: int) -> np.ndarray:
+    table = np.full(n, U64(BASE))
+    table[0] = 1
+    return np.cumprod(table, dtype=U64)
+
+
+_powers = _power_table(256)
 
 
 def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 2 * len(_POWERS)), U64(BASE))
-        grown[0] = 1
-        _POWERS = np.cumprod(grown, dtype=U64)
-    return _POWERS
+    """BASE to the powers 0 to n - 1 and perhaps more, modulo 2^64."""
+    global _powers
+    if len(_powers) < n:
+        _powers = _power_table(2 * n)
+    return _powers
 
 
 class Words:
