@@ -25,7 +25,12 @@ from .doc_stats import common_hashes, is_in
 
 
 def signatures(texts: pa.Array, chain: int = 3, spacing: int = 1) -> list[np.ndarray]:
-    """The sorted distinct 32-bit signatures of every text."""
+    """The sorted distinct 32-bit signatures of every text, worked out for about two megabytes of text at a time."""
+    table = pa.table({"_text": texts})
+    return [s for part in blocks(table, "_text") for s in _signatures(part.column(0), chain, spacing)]
+
+
+def _signatures(texts: pa.Array, chain: int, spacing: int) -> list[np.ndarray]:
     words = Words(texts, NON_ALNUM, LOWER)
     anchor = is_in(words.hash, common_hashes())
     content = np.flatnonzero(~anchor)
@@ -105,7 +110,7 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return members, checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
-def with_next(docs: DataFrame, work: Callable[[pa.Table, pa.Array], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 12 << 20) -> DataFrame:
+def with_next(docs: DataFrame, work: Callable[[pa.Table, pa.Array], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Runs work(rows, texts of the next rows) over blocks of rows in descending id order; after the last comes the first.
 
     Blocks are ranges of ids at sampled quantiles. The first row of each block also goes to the block before it, so
