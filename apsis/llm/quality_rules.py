@@ -21,10 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .doc_stats import COUNTS, document_counts, features
+from .doc_stats import COUNTS, document_counts
+
+
+def rule_statistics(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """What the forest splits on: roots of the shares of symbols, bars, exclamation marks, capitals and other marks.
+
+    Shares are taken over a little more than the text has, so that a short text is not anomalous by chance. Repeats are
+    the base rule's matter and size alone is no anomaly.
+    """
+    c = {k: np.asarray(v, np.float64) for k, v in counts.items()}
+    words, chars = c["n_words"] + 30, c["n_chars"] + 150
+    return np.sqrt(np.column_stack([c["n_symbols"] / words, c["n_bars"] / words, c["n_cries"] / words, c["n_upper"] / chars, c["n_marks"] / chars]))
 
-#: Statistics the forest splits on; a text's size alone is no anomaly.
-RULES = slice(1, None)
 
 
 @dataclass
@@ -85,18 +94,18 @@ def grow(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 6) -> F
     return Forest(padded[:, :, 0].astype(np.int64), padded[:, :, 1], padded[:, :, 2].astype(np.int64), padded[:, :, 3], sample)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", min_words: int = 20, max_repeat_percent: int = 30, sample_rows: int = 20_000, max_good_loss: float = 0.005, bins: int = 1000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", min_words: int = 20, max_repeat_percent: int = 30, sample_rows: int = 20_000, max_good_loss: float = 0.01, bins: int = 1000) -> DataFrame:
     """Per document: id, the base statistics, base_failed, anomaly (0 to 1) and kept."""
     counts = materialize(document_counts(docs, id_col, text_col), "rule-counts")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     passed = counts.where(~failed)
     rows = passed.select(*COUNTS).orderBy(F.xxhash64("_id", *COUNTS), *COUNTS).limit(sample_rows).toPandas()
-    forest = grow(features({c: rows[c].to_numpy() for c in COUNTS})[:, RULES])
+    forest = grow(rule_statistics({c: rows[c].to_numpy() for c in COUNTS}))
     kept = ["_id", *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features({c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in COUNTS})[:, RULES]
+            x = rule_statistics({c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in COUNTS})
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(np.round(forest.score(x), 9))], names=[*kept, "anomaly"])
 
     scored = materialize(counts.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in counts.dtypes), "anomaly double"])), "rule-scores")

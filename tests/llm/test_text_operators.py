@@ -150,7 +150,7 @@ def test_quality_rules(spark, docs, empty):
     good = [r for r in rows if r["quality"] == 1 and not r["base_failed"]]
     bad = [r for r in rows if r["quality"] == 0 and not r["base_failed"]]
     assert sum(r["kept"] for r in good) >= 0.99 * len(good)
-    assert sum(not r["kept"] for r in bad) > 0.5 * len(bad)
+    assert sum(not r["kept"] for r in bad) > 0.5 * len(bad)  # most of what the base rules let through
     texts = made_texts()
     for r in quality_rules.judge(docs, labels.limit(0)).collect():
         want = brute_counts(texts[r["doc_id"]])
