@@ -156,7 +156,6 @@ def test_pipeline_stages(spark):
         elif name == "secrets":
             want = before.select("doc_id")
             assert docs.where(F.col("text").rlike("token = .[0-9a-f]{40}")).count() == 0
-            assert before.where(F.col("text").rlike("token = .[0-9a-f]{40}")).count() > 0
         else:
             want = None
             assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
