@@ -128,7 +128,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def blocks(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 2 << 20):
+def blocks(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 1 << 20):
     """Slices of a batch with at most `limit` bytes of text each (a longer text comes alone)."""
     column = batch.column(batch.schema.get_field_index(text))
     offsets, _ = utf8(column)

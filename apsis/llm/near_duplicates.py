@@ -36,7 +36,7 @@ from .components import components
 WIDTH, DEPTH, CHUNK = 1 << 20, 2, 1 << 13
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
-TABLE = 1 << 15
+TABLE = 1 << 13
 _G = U64(0x9E3779B97F4A7C15)
 
 
@@ -120,7 +120,7 @@ def signature(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     sample = np.zeros(SAMPLES, U64)
     for at in range(0, len(hashes), 2048):
         h, w = hashes[at : at + 2048], weights[at : at + 2048]
-        rows = (h >> U64(49)).astype(np.int64)
+        rows = (h >> U64(51)).astype(np.int64)
         a = plain.take(rows, axis=0)
         level = None
         other = np.flatnonzero(w != 1)

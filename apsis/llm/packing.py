@@ -28,7 +28,7 @@ from .common import blocks
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 400_000
+CACHE = 150_000
 _encoders: dict[str, "Encoder"] = {}
 
 

@@ -25,7 +25,7 @@ from .doc_stats import common_hashes, is_in
 
 
 def signatures(texts: pa.Array, chain: int = 3, spacing: int = 1) -> list[np.ndarray]:
-    """The sorted distinct 32-bit signatures of every text, worked out for about two megabytes of text at a time."""
+    """The sorted distinct 32-bit signatures of every text, worked out for about a megabyte of text at a time."""
     table = pa.table({"_text": texts})
     return [s for part in blocks(table, "_text") for s in _signatures(part.column(0), chain, spacing)]
 
