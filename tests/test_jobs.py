@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -80,6 +81,7 @@ def test_new_events_stream(spark, tmp_path):
 
 def test_changed_lines_stream(spark, tmp_path):
     schema = "satellite_id int, tle_line1 string, ingestion_time string"
+    (tmp_path / "in").mkdir()
     source = spark.readStream.schema(schema).json(f"{tmp_path}/in")
     for k, line in enumerate("AABA"):
         spark.createDataFrame([(1, line, str(k))], schema).write.mode("append").json(f"{tmp_path}/in")
@@ -88,6 +90,22 @@ def test_changed_lines_stream(spark, tmp_path):
     assert [r["tle_line1"] for r in spark.read.schema(schema).json(f"{tmp_path}/out").orderBy("ingestion_time").collect()] == ["A", "B", "A"]
 
 
+def test_latest_positions_stream(spark, tmp_path):
+    schema = "satellite_id int, latitude double, longitude double, altitude_km double, timestamp bigint"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+    for rows in ([(1, 0.0, 0.0, 400.0, 10), (1, 0.0, 0.0, 401.0, 20)], [(1, 0.0, 0.0, 402.0, 15)], [(1, 0.0, 0.0, 403.0, 30), (2, 0.0, 0.0, 1.0, 5)]):
+        spark.createDataFrame(rows, schema).write.mode("append").json(f"{tmp_path}/in")
+        query = jobs.latest_positions(source, 3600).writeStream.format("json").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+        # Times to live run on processing time, so the query has no end of its own.
+        for _ in range(120):
+            if any(p.numInputRows for p in query.recentProgress):
+                break
+            time.sleep(0.25)
+        query.stop()
+    assert sorted((r["satellite_id"], r["altitude_km"]) for r in spark.read.schema(schema).json(f"{tmp_path}/out").collect()) == [(1, 401.0), (1, 403.0), (2, 1.0)]
+
+
 def test_sources(spark, tmp_path):
     with open(f"{tmp_path}/p.txt", "w") as f:
         f.write('{"message": "success"}\n')
