@@ -29,3 +29,8 @@ def message_key(kind: str, column: Column) -> Column:
 
 def shortened(text: Column, most: int = 500) -> Column:
     return F.substring(text, 1, most)
+
+
+def numeric_id(text: Column) -> Column:
+    """The number of an id that is all digits, else null; the text stays beside it."""
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("int"))

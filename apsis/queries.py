@@ -209,6 +209,15 @@ def correlate_overlap(spark, sf_dir):
     return found.groupBy("satellite_id", "severity").agg(F.count("*").alias("correlations"), F.count_distinct("details.event_id").alias("events"))
 
 
+@registered(f"""WITH {ALERTS}, {WEATHER[len(POS) + 2:]}, active AS (SELECT DISTINCT weather_id, severity AS level FROM graded WHERE seconds <= epoch(TIMESTAMP '{NOW}') AND seconds >= epoch(TIMESTAMP '{NOW}') - 259200 AND severity IN ('high', 'extreme'))
+SELECT satellite_id, CASE WHEN level = 'extreme' THEN 'CRITICAL' ELSE 'WARNING' END AS severity, count(*) AS correlations FROM (SELECT DISTINCT satellite_id, satellite_name FROM alerts) a, active GROUP BY ALL""")
+def correlate_active(spark, sf_dir):
+    alerts = anomaly.detect_anomalies(windowed(spark, sf_dir))
+    weather = feeds.normalize_events(X.event_payloads(spark, sf_dir)).withColumn("ingested", F.try_to_timestamp("ingestion_time"))
+    found = anomaly.correlate_space_weather(alerts, views.active_events(weather, now()), mode="all")
+    return found.groupBy("satellite_id", "severity").agg(F.count("*").alias("correlations"))
+
+
 # --- Two-line elements --------------------------------------------------------------------------------------------
 
 TLES = f"""{POS}, tle AS (SELECT satellite_id, event_id, 15 + k::DOUBLE / 1000 AS mean_motion, (event_id % 9999)::DOUBLE / 10000000 AS eccentricity, 51 + k::DOUBLE / 100 AS inclination,

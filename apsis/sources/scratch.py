@@ -9,9 +9,6 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session; a local folder of our own only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "apsis-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or "file://" + os.path.join(tempfile.gettempdir(), "apsis-checkpoints")).rstrip("/")

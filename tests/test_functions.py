@@ -88,6 +88,7 @@ def test_iso_week(spark, day, label, monday, sunday):
 
 
 def test_text_helpers(spark):
+    assert [one(spark, calendar.numeric_id(F.lit(x))) for x in ("25544", "x1", "")] == [25544, None, None]
     assert one(spark, calendar.message_key("SAT", F.lit(7))) == "SAT-7"
     assert one(spark, calendar.shortened(F.lit("x" * 600))) == "x" * 500
     assert one(spark, calendar.utc_text(F.lit("2024-01-02 03:04:05").cast("timestamp"))) == "2024-01-02 03:04:05 UTC"
