@@ -143,3 +143,10 @@ def within(words: Words, width: int) -> np.ndarray:
     """Which of the windows that start at each word (as many as window_hashes gives) lie wholly in one row."""
     n = max(0, len(words) - width + 1)
     return np.arange(n) + width <= words.first[1:][words.row[:n]]
+
+
+def is_in(values: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Membership in a sorted array."""
+    if not len(members):
+        return np.zeros(len(values), bool)
+    return members[np.minimum(np.searchsorted(members, values), len(members) - 1)] == values

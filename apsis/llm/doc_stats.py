@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, NON_ALNUM, SAME, U64, Words, blocks, mix, window_hashes, within
+from .common import BLANK, LOWER, NON_ALNUM, SAME, U64, Words, blocks, is_in, mix, window_hashes, within
 
 #: Very common words of four languages.
 COMMON_WORDS = "the of and to in is that for it was with as on be at by this are from or an which not have you de la el los las que y en un una se por con para no le les des et est dans du pour ce qui pas sur au der die das und den von zu mit sich ist im dem nicht ein eine auf als auch".split()
@@ -48,11 +48,6 @@ def common_hashes() -> np.ndarray:
     return _common
 
 
-def is_in(values: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """Membership in a short sorted array."""
-    return members[np.minimum(np.searchsorted(members, values), len(members) - 1)] == values
-
-
 def repeated_words(words: Words, width: int = 8) -> np.ndarray:
     """Per row: words covered by windows of `width` words that occur twice or more in the row."""
     hashes = window_hashes(words.hash, width)

@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_ALNUM, U64, Words, blocks, materialize, mix
-from .doc_stats import common_hashes, is_in
+from .common import LOWER, NON_ALNUM, U64, Words, blocks, is_in, materialize, mix
+from .doc_stats import common_hashes
 
 
 def signatures(texts: pa.Array, chain: int = 3, spacing: int = 1) -> list[np.ndarray]:

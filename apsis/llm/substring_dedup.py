@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, window_hashes, within
+from .common import U64, Words, blocks, is_in, window_hashes, within
 
 RESULT = "_id {id}, n_words bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>, kept_text string"
 
@@ -85,8 +85,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         again = np.unique(every[1:][every[1:] == every[:-1]])
         found, marks = [], []
         for k, own in enumerate(arrays):
-            at = np.minimum(np.searchsorted(again, own), max(0, len(again) - 1))
-            hit = again[at] == own if len(again) else np.zeros(len(own), bool)
+            hit = is_in(own, again)
             if hit.any():
                 found.append(k)
                 marks.append(np.packbits(hit).tobytes())
@@ -104,7 +103,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for part in blocks(texts, "_text"):
             words = Words(part.column("_text"))
             own = window_hashes(words.hash, width)
-            hit = np.isin(own, again) & within(words, width)
+            hit = is_in(own, again) & within(words, width)  # again is sorted
             cover = np.zeros(len(words) + 1, np.int64)
             at = np.flatnonzero(hit)
             np.add.at(cover, at, 1)
