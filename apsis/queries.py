@@ -244,17 +244,17 @@ def parse_tle(spark, sf_dir):
 _ORDER = "PARTITION BY satellite_id ORDER BY epoch_us, mean_motion, eccentricity, inclination, raan, arg_perigee"
 DRIFT = f"""{TLES}, pairs AS (SELECT *, (epoch_us - lag(epoch_us) OVER w)::DOUBLE / 86400000000 AS days, mean_motion - lag(mean_motion) OVER w AS dm, inclination - lag(inclination) OVER w AS di,
   eccentricity - lag(eccentricity) OVER w AS de, raan - lag(raan) OVER w AS dr FROM tle WINDOW w AS ({_ORDER})),
-drift AS (SELECT satellite_id, epoch_us, round(days, 4) AS dt_days, round(dm / days, 6) AS mm, round(di / days, 6) AS inc, round(de / days, 8) AS ecc, round(dr / days, 6) AS rd FROM pairs WHERE days > 0)"""
+drift AS (SELECT satellite_id, epoch_us, round(days::DECIMAL(20, 10), 4)::DOUBLE AS dt_days, round(dm / days, 6) AS mm, round(di / days, 6) AS inc, round(de / days, 8) AS ecc, round(dr / days, 6) AS rd FROM pairs WHERE days > 0)"""
 
 
-@registered(f"WITH {DRIFT} SELECT satellite_id, epoch_us, dt_days, round(mm, 4) AS mean_motion_drift, round(inc, 3) AS inclination_drift, round(ecc, 6) AS eccentricity_drift, round(rd, 2) AS raan_drift FROM drift")
+@registered(f"WITH {DRIFT} SELECT satellite_id, epoch_us, dt_days, round(mm::DECIMAL(20, 10), 4)::DOUBLE AS mean_motion_drift, round(inc::DECIMAL(20, 10), 3)::DOUBLE AS inclination_drift, round(ecc::DECIMAL(20, 10), 6)::DOUBLE AS eccentricity_drift, round(rd::DECIMAL(20, 10), 2)::DOUBLE AS raan_drift FROM drift")
 def tle_drift(spark, sf_dir):
     r = lambda c, n: F.round(c, n).alias(c)
     return drift.tle_drift(elements(spark, sf_dir)).select("satellite_id", F.unix_micros("to_epoch").alias("epoch_us"), "dt_days", r("mean_motion_drift", 4), r("inclination_drift", 3), r("eccentricity_drift", 6), r("raan_drift", 2))
 
 
 @registered(f"""WITH {DRIFT}, f AS (SELECT satellite_id, count(*) AS drifts, sum((abs(mm) > 0.001)::INT + (abs(inc) > 0.01)::INT + (abs(ecc) > 0.0001)::INT)::BIGINT AS flags FROM drift GROUP BY satellite_id)
-SELECT t.satellite_id, count(*) AS tle_count, coalesce(max(drifts), 0)::BIGINT AS drifts, coalesce(max(flags), 0)::BIGINT AS flags, coalesce(max(flags), 0) > 0 AS anomaly_detected, round(avg(mean_motion), 5) AS mean_mean_motion, round(avg(inclination), 3) AS mean_inclination,
+SELECT t.satellite_id, count(*) AS tle_count, coalesce(max(drifts), 0)::BIGINT AS drifts, coalesce(max(flags), 0)::BIGINT AS flags, coalesce(max(flags), 0) > 0 AS anomaly_detected, round(round(avg(mean_motion)::DECIMAL(20, 10), 6), 5)::DOUBLE AS mean_mean_motion, round(round(avg(inclination)::DECIMAL(20, 10), 4), 3)::DOUBLE AS mean_inclination,
   min(epoch_us) AS first_us, max(epoch_us) AS last_us FROM tle t LEFT JOIN f USING (satellite_id) GROUP BY t.satellite_id""")
 def drift_report(spark, sf_dir):
     report = drift.drift_report(elements(spark, sf_dir))
