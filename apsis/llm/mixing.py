@@ -1,7 +1,8 @@
 """Mixing sources to target weights (operator 7) by iterative proportional fitting, in DataFrame functions only.
 
-Token totals of (source, language, topic) cells are raked in turn to the three target marginals; a cell's weight over
-its tokens is the rate at which its documents are sampled. Only the cells, never documents, pass through the
+Token totals of (source, language, topic) cells are raked in turn to the three target marginals, no cell above its own
+tokens; a cell's weight over its tokens is the rate at which its documents are sampled. A value whose target is more
+than all its tokens is sampled whole, and the others share what it lacks in proportion to their targets. Only the cells, never documents, pass through the
 iterations. Cells are bounded: sources beyond the max_sources largest share one margin called `other`, languages and
 topics likewise, so the raked table has at most (max_sources + 1) * (max_langs + 1) * (max_topics + 1) rows. Every
 document keeps its own row and its own draw.
@@ -36,9 +37,9 @@ def token_count(text: Column) -> Column:
 
 
 def tempered(shares: DataFrame, exponent: float) -> DataFrame:
-    """Target shares proportional to a power of the present ones: value, target."""
-    raised = shares.select("value", F.pow(F.col("tokens"), F.lit(exponent)).alias("_p"))
-    return raised.select("value", (F.col("_p") / F.sum("_p").over(Window.partitionBy())).alias("target"))
+    """Target shares proportional to a power of the present ones: value, tokens, target."""
+    raised = shares.select("value", "tokens", F.pow(F.col("tokens"), F.lit(exponent)).alias("_p"))
+    return raised.select("value", "tokens", (F.col("_p") / F.sum("_p").over(Window.partitionBy())).alias("target"))
 
 
 def _margin(cells: DataFrame, name: str, given: dict[str, float] | None, exponent: float) -> DataFrame:
@@ -51,30 +52,49 @@ def _margin(cells: DataFrame, name: str, given: dict[str, float] | None, exponen
     rest = F.greatest(F.lit(1.0) - F.sum(F.coalesce("_t", F.lit(0.0))).over(Window.partitionBy()), F.lit(0.0))
     loose = F.when(F.col("_t").isNull(), F.col("tokens")).otherwise(0.0)
     share = F.coalesce("_t", rest * loose / F.nullif(F.sum(loose).over(Window.partitionBy()), F.lit(0.0)))
-    unscaled = named.select("value", share.alias("_s"))
-    return unscaled.select("value", (F.col("_s") / F.sum("_s").over(Window.partitionBy())).alias("target"))
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], iterations: int, per_table: int = 4) -> DataFrame:
-    """cells: source, lang, topic, tokens. Adds weight: a share of all tokens that meets the marginals in turn. The
-    plan is cut by a written table every per_table iterations."""
-    fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    unscaled = named.select("value", "tokens", share.alias("_s"))
+    return unscaled.select("value", "tokens", (F.col("_s") / F.sum("_s").over(Window.partitionBy())).alias("target"))
+
+
+def _scaled(rows: DataFrame, mass: str, cap: str, total: Column, *keys: str) -> DataFrame:
+    """mass times, in each group of keys, the factor with which sum(least(cap, mass)) is total; where the caps hold less
+    than that, one with which every cap is reached. With the first i rows at their caps the factor is
+    (total - their caps) / (mass of the others), and the largest of these is the one that fits."""
+    order = Window.partitionBy(*keys).orderBy((F.col(cap) / F.nullif(F.col(mass), F.lit(0.0))).asc_nulls_last())
+    full = F.coalesce(F.sum(cap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    free = F.sum(mass).over(order.rowsBetween(0, Window.unboundedFollowing))
+    tried = rows.withColumn("_factor", (total - full) / F.nullif(free, F.lit(0.0)))
+    factor = F.greatest(F.coalesce(F.max("_factor").over(Window.partitionBy(*keys)), F.lit(0.0)), F.lit(0.0))
+    return tried.withColumn("_factor", factor).withColumn(mass, F.col(mass) * F.col("_factor")).drop("_factor")
+
+
+def within_reach(margin: DataFrame, total: Column) -> DataFrame:
+    """margin: value, target, tokens. Adds goal: tokens to sample, together total, in proportion to the targets but never
+    more than the value has; what a value lacks goes to the others."""
+    capped = _scaled(margin.withColumn("goal", F.col("target")), "goal", "tokens", total)
+    return capped.withColumn("goal", F.least("goal", "tokens"))
+
+
+def rake(cells: DataFrame, goals: dict[str, DataFrame], iterations: int, per_table: int = 2) -> DataFrame:
+    """cells: source, lang, topic, tokens. Adds weight: tokens to sample, at most those of the cell, that meet the goals
+    of the margins in turn. A cell at its bound keeps its factors, so that it can leave the bound again. The plan is cut
+    by a written table every per_table iterations."""
+    fitted = cells.withColumn("_cap", F.col("tokens").cast("double")).withColumn("weight", F.col("_cap"))
     for name in MARGINS:
-        fitted = fitted.join(F.broadcast(targets[name].select(F.col("value").alias(name), F.col("target").alias(f"_to_{name}"))), name, "left")
+        fitted = fitted.join(F.broadcast(goals[name].select(F.col("value").alias(name), F.col("goal").alias(f"_to_{name}"))), name, "left")
     for k in range(iterations):
         for name in MARGINS:
-            held = F.sum("weight").over(Window.partitionBy(name))
-            fitted = fitted.withColumn("weight", F.when(held > 0, F.col("weight") / held * F.coalesce(F.col(f"_to_{name}"), F.lit(0.0))).otherwise(0.0))
+            fitted = _scaled(fitted, "weight", "_cap", F.coalesce(F.col(f"_to_{name}"), F.lit(0.0)), name)
         if (k + 1) % per_table == 0 or k + 1 == iterations:
             fitted = materialize(fitted, "raked")
-    return fitted.select(*MARGINS, "tokens", "weight")
+    return fitted.select(*MARGINS, "tokens", F.least("weight", "_cap").alias("weight"))
 
 
 @dataclass
 class Mixer:
     """How documents are described and sampled. targets maps a margin to {value: share}; a margin without targets gets
     shares proportional to its present tokens to the power `exponent`. The sampled documents hold about keep * all
-    tokens; a probability is at most 1."""
+    tokens, or all that values with a target have; a probability is at most 1."""
 
     id_col: str = "doc_id"
     text_col: str = "text"
@@ -107,9 +127,13 @@ class Mixer:
             pooled = pooled.withColumn(f"_{name}", F.when(F.coalesce(own, F.lit(False)), F.col(name)).otherwise("other")).drop("_known")
         cells = materialize(pooled.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("tokens").alias("tokens")), "mixing-pooled")
         margins = {m: materialize(_margin(cells, m, (self.targets or {}).get(m), self.exponent), f"margin-{m}") for m in MARGINS}
-        fitted = rake(cells, margins, self.iterations)
-        budget = F.sum("tokens").over(Window.partitionBy()) * F.lit(self.keep)
-        raked = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.when(F.col("tokens") > 0, F.least(F.lit(1.0), budget * F.col("weight") / F.col("tokens"))).otherwise(0.0).alias("probability"))
+        # The budget, or less if the values that have a target hold less.
+        held = [margins[m].where("target > 0").agg(F.sum("tokens").alias("n")) for m in MARGINS]
+        most = held[0].unionByName(held[1]).unionByName(held[2]).agg(F.min("n").alias("_most"))
+        sums = cells.agg((F.sum("tokens") * F.lit(self.keep)).alias("_budget")).crossJoin(F.broadcast(most)).select(F.least("_budget", "_most").alias("_total"))
+        goals = {m: materialize(within_reach(margins[m].crossJoin(F.broadcast(sums)), F.col("_total")), f"goals-{m}") for m in MARGINS}
+        fitted = rake(cells, goals, self.iterations)
+        raked = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(0.0).alias("probability"))
         by_cell = pooled.select(*MARGINS, *[f"_{m}" for m in MARGINS]).join(F.broadcast(raked), [f"_{m}" for m in MARGINS])
         return materialize(by_cell.select(*MARGINS, F.round("probability", 12).alias("probability")), "mixing-rates")
 

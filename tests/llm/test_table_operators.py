@@ -85,6 +85,29 @@ def test_mixing_meets_the_marginals(spark):
     assert drawn == pytest.approx(0.5, abs=0.02)
 
 
+def test_mixing_keeps_its_budget_and_marginals_with_the_defaults(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    total = sum(r["n_tokens"] for r in rows)
+    assert sum(r["n_tokens"] * r["probability"] for r in rows) == pytest.approx(0.5 * total, rel=1e-6)
+    for name in mixing.MARGINS:
+        have, got = {}, {}
+        for r in rows:
+            have[r[name]] = have.get(r[name], 0) + r["n_tokens"]
+            got[r[name]] = got.get(r[name], 0) + r["n_tokens"] * r["probability"]
+        # A value that runs out of tokens is sampled whole; the others share the rest in proportion to their targets.
+        want, left = {}, {v: n**0.5 for v, n in have.items() if n}
+        while True:
+            each = (0.5 * total - sum(want.values())) / sum(left.values())
+            short = [v for v in left if each * left[v] > have[v]]
+            if not short:
+                break
+            want |= {v: have[v] for v in short if left.pop(v)}
+        want |= {v: each * t for v, t in left.items()}
+        for v in want:
+            assert got[v] / total == pytest.approx(want[v] / total, abs=1e-4)
+
+
 def test_mixing_pools_small_values_and_keeps_columns(spark):
     docs = mix_docs(spark)
     rows = mixing.mix(docs, mixing.Mixer(most=(1, 1, 1))).collect()
