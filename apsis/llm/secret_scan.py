@@ -6,8 +6,9 @@ order) into a probabilistic automaton per kind, and one more for ordinary long t
 text (16 or more key characters with a letter and a digit) is then scored by how much likelier a credential's format is than an ordinary token's, in bits per character.
 
 One pass over whole texts finds base spans and candidates; the candidates are a small table, so scoring does not read
-the texts again. Automata are fitted on a bounded sample (sample_per_kind values with the smallest hash, none longer
-than max_example characters: parameters); all candidates of all rows are scored.
+the texts again. Automata are fitted on a bounded sample (sample_per_kind distinct values with the smallest hash, none
+longer than max_example characters: parameters), which does not depend on how rows are ordered or dealt to tasks; all
+candidates of all rows are scored.
 
 Cases: null text counts as empty; repeated rows give the same spans; without labelled examples of a kind no format of
 that kind is added; an empty table gives an empty result; extra columns are ignored.
@@ -15,9 +16,11 @@ that kind is added; an empty table gives an empty result; extra columns are igno
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -165,20 +168,39 @@ class Formats:
         return [("format", a, b, v) for k, a, b, v in found if k == "candidate" and self.likelihood(v) >= self.margin]
 
 
-def evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary_per_task: int = 2000) -> DataFrame:
-    """Per row: _id, base (array of spans) and others (candidates; ordinary tokens up to a number per task). Written once."""
+class Smallest:
+    """Which of the values that come by have been among the `size` distinct ones with the smallest MD5 so far."""
+
+    def __init__(self, size: int):
+        self.size, self.heap, self.held = size, [], set()
+
+    def takes(self, value: str) -> bool:
+        """False for a value that is held already, or that `size` held ones come before."""
+        rank = -int.from_bytes(hashlib.md5(value.encode(), usedforsecurity=False).digest())
+        if rank in self.held or (len(self.heap) >= self.size and (not self.heap or rank < self.heap[0])):
+            return False
+        self.held.add(rank)
+        if len(self.heap) < self.size:
+            heapq.heappush(self.heap, rank)
+        else:
+            self.held.remove(heapq.heapreplace(self.heap, rank))
+        return True
+
+
+def evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_per_kind: int = 600, max_example: int = 256) -> DataFrame:
+    """Per row: _id, base (array of spans) and others (candidates, and of the ordinary tokens those that may be among the
+    sample_per_kind distinct ones of at most max_example characters with the smallest MD5). Written once."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = ordinary_per_task
+        smallest = Smallest(sample_per_kind)
         for batch in batches:
             for part in blocks(batch, "_text", 8 << 20):
                 base, others = [], []
                 for text in part.column(1).to_pylist():
                     own = base_spans(text)
                     more = candidates(text, own)
-                    plain = [s for s in more if s[0] == "ordinary"][:left]
-                    left -= len(plain)
+                    plain = [s for s in more if s[0] == "ordinary" and len(s[3]) <= max_example and smallest.takes(s[3])]
                     base.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in own])
                     others.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in [*(s for s in more if s[0] == "candidate"), *plain]])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, pa.list_(SPAN)), pa.array(others, pa.list_(SPAN))], names=["_id", "base", "others"])
@@ -188,15 +210,16 @@ def evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
 
 
 def learn(found: DataFrame, sample_per_kind: int = 600, max_example: int = 256, margin: float = 0.6, alpha: float = 0.05) -> Formats:
-    """Automata from the labelled base values and the ordinary tokens of an evidence table."""
+    """Automata from the labelled base values and the ordinary tokens of an evidence table, which must have been made
+    with no smaller sample_per_kind and the same max_example."""
 
-    def sample(column: str, kind: str) -> list[str]:
+    def sample(column: str, kind: str, rank: Callable[[str], Column] = F.xxhash64) -> list[str]:
         spans = found.select(F.explode(column).alias("s")).where((F.col("s.kind") == kind) & (F.length("s.value") <= max_example))
         values = spans.select(F.col("s.value").alias("v")).distinct()
-        return [r["v"] for r in values.orderBy(F.xxhash64("v"), "v").limit(sample_per_kind).collect()]
+        return [r["v"] for r in values.orderBy(rank("v"), "v").limit(sample_per_kind).collect()]
 
     known = {kind: sample("base", kind) for kind in KINDS[:3]}
-    return Formats({k: infer(v, alpha) for k, v in known.items() if len(v) >= 10}, infer(sample("others", "ordinary"), alpha), margin)
+    return Formats({k: infer(v, alpha) for k, v in known.items() if len(v) >= 10}, infer(sample("others", "ordinary", F.md5), alpha), margin)
 
 
 def score(found: DataFrame, formats: Formats, id_col: str = "doc_id") -> DataFrame:

@@ -206,6 +206,18 @@ def test_secret_scan(spark, empty):
     assert texts[0] == "le mot [secret]\" et" and texts[201] is None and texts[200] == "loose [secret] here"
 
 
+def test_ordinary_tokens_are_sampled_alike_however_rows_are_dealt(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(16, 24))) for _ in range(3000)]
+    rows = [(k, "thesameordinaryword " * 50) for k in range(50)] + [(100 + k, w) for k, w in enumerate(words)]
+    want = sorted({"thesameordinaryword", *words}, key=lambda w: hashlib.md5(w.encode()).hexdigest())[:600]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for dealt in (docs.coalesce(1), docs.repartition(5), docs.orderBy(F.desc("doc_id")).coalesce(1)):
+        found = secret_scan.evidence(dealt)
+        assert secret_scan.learn(found).ordinary == secret_scan.infer(want)
+        assert found.select(F.sum(F.size("others"))).first()[0] < 5 * 600 + 100
+
+
 def test_automaton_merges_states_and_prefers_its_own_format():
     r = random.Random(5)
     own = ["".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(200)]
