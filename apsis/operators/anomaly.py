@@ -9,6 +9,7 @@ from .. import schemas as S
 from ..functions import calendar
 
 DETAILS = "average double, spread double, low double, high double, samples bigint, z_score double, event_id string"
+EVENTS_PER_BLOCK, SATELLITE_PARTS = 1000, 8
 
 
 def sliding_stats(flat: DataFrame, size: str = "60 seconds", slide: str = "10 seconds", watermark: str | None = None) -> DataFrame:
@@ -78,11 +79,12 @@ def severe_events(events: DataFrame) -> DataFrame:
     return severe.groupBy("event_id").agg(F.min_by(row, F.struct("ingestion_time", "start_time")).alias("e")).select("e.*")
 
 
-def correlate_space_weather(alerts: DataFrame, events: DataFrame, mode: str = "all", hours: int = 72, detected_at: Column | None = None, max_events: int = 10_000) -> DataFrame:
+def correlate_space_weather(alerts: DataFrame, events: DataFrame, mode: str = "all", hours: int = 72, detected_at: Column | None = None, max_events: int | None = None) -> DataFrame:
     """SPACE_WEATHER_CORRELATION alerts for alerting satellites.
 
-    mode "all": every severe event with every alerting satellite, whatever the time. The events of one evaluation are
-    broadcast after a check that there are at most max_events; more raise an error, and "overlap" is the way then.
+    mode "all": every severe event with every alerting satellite, whatever the time, for any number of either. Events are
+    dealt by hash into blocks of about EVENTS_PER_BLOCK and satellites into SATELLITE_PARTS parts; a join on both
+    numbers brings each pair together once. Only a caller's own max_events raises an error, when there are more.
     mode "overlap": events active at the time of an alert's window, by an equality join on hours (an event covers
     start to end, or `hours` after its start), so neither side is broadcast and no cross product is made.
     """
@@ -90,10 +92,15 @@ def correlate_space_weather(alerts: DataFrame, events: DataFrame, mode: str = "a
     level = F.when(F.col("_severity") == "extreme", "CRITICAL").otherwise("WARNING")
     at = detected_at if detected_at is not None else F.current_timestamp()
     if mode == "all":
-        if severe.limit(max_events + 1).count() > max_events:
+        count = severe.count()
+        if max_events is not None and count > max_events:
             raise ValueError(f"over {max_events} severe events; use mode='overlap'")
-        sats = alerts.select("satellite_id", "satellite_name").distinct()
-        met = sats.crossJoin(F.broadcast(severe)).withColumn("window", F.lit(None).cast("struct<start: timestamp, end: timestamp>"))
+        blocks = max(1, -(-count // EVENTS_PER_BLOCK))
+        dealt = lambda n, *keys: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        sats = alerts.select("satellite_id", "satellite_name").distinct().withColumn("_part", dealt(SATELLITE_PARTS, "satellite_id", "satellite_name")).withColumn("_block", every(blocks))
+        blocked = severe.withColumn("_block", dealt(blocks, "_event")).withColumn("_part", every(SATELLITE_PARTS))
+        met = sats.join(blocked, ["_block", "_part"]).withColumn("window", F.lit(None).cast("struct<start: timestamp, end: timestamp>"))
     else:
         last = F.coalesce("_to", F.col("_from") + F.make_interval(hours=F.lit(hours)))
         hourly = severe.where("_from is not null").withColumn("_last", last).where("_last >= _from").withColumn("_hour", F.explode(F.sequence(F.date_trunc("hour", "_from"), F.date_trunc("hour", "_last"), F.expr("interval 1 hour"))))

@@ -77,6 +77,16 @@ def test_correlation_modes(spark):
     assert anomaly.all_alerts(alerts, every).count() == 6
 
 
+def test_all_events_are_correlated_beyond_ten_thousand(spark):
+    alerts = anomaly.detect_anomalies(windows(spark, [(k, "A", 400.0, 400.0, 420.0, 7.6, 0.0, 3) for k in (1, 2, 3)] + [(3, None, 400.0, 400.0, 420.0, 7.6, 0.0, 3)]))
+    events = spark.range(10_500).selectExpr("concat('e', id) AS event_id", "'FLR' AS event_type", "'2024-01-15T11:00:00Z' AS start_time", "CAST(NULL AS string) AS end_time", "CASE WHEN id % 3 = 0 THEN 'extreme' ELSE 'high' END AS severity", "'t' AS ingestion_time")
+    every = anomaly.correlate_space_weather(alerts, events, "all")
+    assert "BroadcastNestedLoop" not in (plan := every._jdf.queryExecution().toString()) and "CartesianProduct" not in plan
+    found = every.groupBy("satellite_id", "satellite_name", "severity").agg(F.count("*").alias("n"), F.count_distinct("details.event_id").alias("events")).collect()
+    assert {(r["satellite_id"], r["satellite_name"], r["severity"], r["n"], r["events"]) for r in found} == {(k, name, level, n, n) for k, name in ((1, "A"), (2, "A"), (3, "A"), (3, None)) for level, n in (("CRITICAL", 3500), ("WARNING", 7000))}
+    assert anomaly.correlate_space_weather(alerts, events.limit(0), "all").count() == 0
+
+
 def lines(spark, rows):
     """TLE rows with right checksums: (satellite, epoch, inclination, mean motion)."""
     base = spark.createDataFrame(rows, "satellite_id int, epoch string, inc string, mm string")
