@@ -14,6 +14,7 @@ repeated rows are packed separately; an empty table gives an empty result; extra
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ from .common import blocks
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = 150_000
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple, "Encoder"] = {}
 
 
 class Encoder:
@@ -37,16 +38,19 @@ class Encoder:
 
     A cut before a single blank between other characters, or on either side of a single line feed between them, never
     divides a pre-token, so such parts are encoded (or looked up) on their own; a text with other white space is
-    encoded at once. No special token is recognised: their strings are ordinary text.
+    encoded at once. A text is first split at the strings of `special`, which have ids of their own; other special
+    tokens' strings are ordinary text.
     """
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, special: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.special = special or {}
+        self.splits = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def _part(self, part: str) -> bytes:
         found = np.array(self.bpe.encode_ordinary(part), "<u4").tobytes()
@@ -55,6 +59,12 @@ class Encoder:
         return found
 
     def encode(self, text: str) -> np.ndarray:
+        if self.splits and any(s in text for s in self.special):
+            parts = [np.array([self.special[p]], "<u4") if k % 2 else self._plain(p) for k, p in enumerate(self.splits.split(text)) if p]
+            return np.concatenate(parts)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         if not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n":
             return np.array(self.bpe.encode_ordinary(text), "<u4")
         known, out = self.known.get, []
@@ -69,11 +79,12 @@ class Encoder:
         return np.frombuffer(b"".join(out), "<u4")
 
 
-def encoder(ranks_path: str) -> Encoder:
-    """One encoder per worker process."""
-    if ranks_path not in _encoders:
-        _encoders[ranks_path] = Encoder(ranks_path)
-    return _encoders[ranks_path]
+def encoder(ranks_path: str, special: dict[str, int] | None = None) -> Encoder:
+    """One encoder per worker process and set of special tokens."""
+    key = (ranks_path, *sorted((special or {}).items()))
+    if key not in _encoders:
+        _encoders[key] = Encoder(ranks_path, special)
+    return _encoders[key]
 
 
 @dataclass
@@ -173,18 +184,19 @@ class Packer:
         self._close()
 
 
-def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, end_id: int = 0, loss_from: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, end_id: int = 0, loss_from: str | None = None, special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids (array of int), doc_tokens, loss_tokens, sequence_id, offset.
 
     A document is its ids, then end_id. loss_from names a column with the code point at which loss begins (instruction
-    data: the prompt before it bears none); without it all ids but the end token bear loss.
+    data: the prompt before it bears none); without it all ids but the end token bear loss. special maps strings that are
+    tokens of their own wherever they stand in a text to their ids.
     """
     limits = limits or Limits()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), (F.coalesce(F.col(loss_from), F.lit(0)) if loss_from else F.lit(0)).cast("bigint").alias("_from"))
     id_type = rows.schema["_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(ranks_path)
+        bpe = encoder(ranks_path, special)
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         kind = None
         for batch in batches:

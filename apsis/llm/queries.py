@@ -16,6 +16,8 @@ from . import chat_format, mixing, near_duplicates, packing, quality_classifier,
 #: Vocabulary files; a parameter of the packing operator.
 TOKENIZERS = os.environ.get("APSIS_TOKENIZERS", "/opt/tokenizers")
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+#: The added tokens of byte_bpe_50k.json, which the rank file leaves out.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -110,7 +112,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), RANKS).drop("ids")
+    return packing.pack(read(spark, sf_dir, "documents"), RANKS, special=SPECIAL).drop("ids")
 
 
 def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:

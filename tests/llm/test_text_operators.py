@@ -379,6 +379,24 @@ def test_packing_is_whole_and_gapless(spark, docs, empty):
     assert packing.pack(empty, queries.RANKS).count() == 0
 
 
+def test_op8_recognises_added_tokens_as_the_tokenizer_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    texts = ["don't <|endoftext|> é🙂　x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c\n", " x <|endoftext|>", "<|endoftext| > <|endo", "plain words", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.op8_packing(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    encoder = packing.encoder(queries.RANKS, queries.SPECIAL)
+    for k, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text).tolist() == ids
+        assert {r["doc_tokens"] for r in got[k]} == {len(ids) + 1} == {sum(r["length"] for r in got[k])}
+        for r in got[k]:
+            assert r["ids_crc32"] == zlib.crc32(np.array([*ids, 0][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
 def test_packing_keeps_all_three_limits():
     limits = packing.Limits(64, 3, 20)
     packer = packing.Packer(limits, 0, pool=8)
