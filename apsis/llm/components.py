@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import beside, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: a > b. Links neighbours of a node to its least neighbour (or to itself if less): those above it in a
-    large step, itself and those below it in a small one."""
+    large step, itself and those below it in a small one. The neighbours of a hub are dealt over salts."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        linked = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = beside(both, "u", "v", m=("min", F.least("u", "v")))
+        linked = both.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        linked = both.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(own)
+        both = beside(both, "u", "v", m=("min", F.col("v")))
+        linked = both.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
     return linked.where("a <> b").distinct()
 
 

@@ -1,27 +1,30 @@
 """MinHash near-duplicates (operator 3): improved consistent weighted sampling over TF-IDF weighted word shingles.
 
-1. Document frequencies of all shingles of all documents, in a count-min sketch of fixed size (8 MB).
-2. Per document: a content key and a signature of `bands * rows` consistent weighted samples. A shingle's random draws
-   come from a fixed table row chosen by its hash; its identity in a sample is its full hash.
-3. Documents of equal content form a class; only class representatives go on.
-4. Bands are buckets. Every representative is compared with one bucket leader (the one it meets in most bands), then
-   linked documents are labelled by connected components. Buckets that still hold several labels are compared in
-   blocks of bounded size: members of different labels are verified there if their signatures agree often enough.
+1. In how many contexts (words before it) the corpus holds a shingle, in a sketch of fixed size (8 MB once broadcast).
+2. Per document: a content key and a signature of `bands * rows` consistent weighted samples.
+3. Documents of equal content form a class; only class representatives go on, each named by its id and content key.
+4. Bands are buckets. Every representative is verified against one bucket leader (the one it meets in most bands); linked
+   documents are labelled by connected components. In buckets that still hold several labels, members of different labels
+   whose signatures agree often enough are verified too, the likeliest first, in rounds until no such pair is left.
 5. Every link is verified by exact weighted Jaccard similarity on whole texts; components of all links are the classes.
 
-A group of many copies is thus one row, and one of many near copies costs a link each. No pair within one label is made.
+Candidates are chosen on signatures alone; texts move once a verified pair. A group of many copies is one row, and one of
+many near copies costs about a link each. Contents, buckets, hubs and leaders that many rows share are dealt over salts.
 
-Weights are tf * (floor + (1 - floor) * idf), idf between 0 and 1. The floor of 0.9 is there for large groups:
-plain idf would give the shingles that a big group shares so little weight that its own near copies fall under the threshold.
+Weights are tf * idf, idf = ln(1 + N / df) over that of a rare shingle. df counts contexts: a phrase that many unlike
+texts use follows many different words, while the shingles of copies follow the same word in every copy, so a group of copies
+counts once, however large it is, and its shingles keep their weight. Each of the two rows of the sketch holds a bitmap a slot
+(Flajolet-Martin: the number of trailing ones tells the count up to a factor of about two); shingles within two
+bits of the median slot are rare (idf 1), which sets the sketch's own noise apart at every size of the corpus.
 
 Cases: null text counts as empty; empty texts (no words) are equal contents and form one class; a text shorter than a
-shingle is one shingle; repeated rows get the same class; a row without an id is a class of its own (class_id null);
-an empty table gives an empty result; extra columns are ignored.
+shingle is one shingle; repeated rows get the same class; rows of one id and different texts are documents of their own
+(class_id is the least id); a row without an id is a class of its own (class_id null); an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, U64, Words, blocks, materialize, mix, window_hashes
+from .common import BLANK, LOWER, U64, Words, beside, blocks, materialize, mix, window_hashes
 from .components import components
 
-WIDTH, DEPTH, CHUNK = 1 << 20, 2, 1 << 13
+WIDTH, DEPTH, CHUNK = 1 << 22, 2, 1 << 15
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
-TABLE = 1 << 13
+TABLE = 1 << 12
+#: Members of one bucket block, and pairs verified beside one copy of a text.
+BLOCK = 256
+#: Candidates a member may name per bucket block in each round of verification; the last round names all.
+ROUNDS = (4, 64, None)
 _G = U64(0x9E3779B97F4A7C15)
 
 
@@ -59,6 +66,14 @@ class Shingles:
             own = words.hash[words.first[i] : words.first[i + 1]]
             self.hash[self.first[i]] = window_hashes(own, len(own))[0] ^ U64(len(own))
 
+    def contexts(self) -> np.ndarray:
+        """A hash of every shingle with the word before it (none at the beginning of a text)."""
+        start = self.words.first[:-1][self.row] + np.arange(len(self.row)) - self.first[:-1][self.row]
+        before = np.zeros(len(start), U64)
+        inner = start > self.words.first[:-1][self.row]
+        before[inner] = self.words.hash[start[inner] - 1]
+        return mix(self.hash * _G + mix(before + U64(1)))
+
     def counted(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.hash[self.first[i] : self.first[i + 1]], return_counts=True)
 
@@ -74,69 +89,70 @@ class Shingles:
 
 
 def slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes & U64(WIDTH - 1)).astype(np.int64), ((hashes >> U64(24)) & U64(WIDTH - 1)).astype(np.int64)
+    return (hashes & U64(WIDTH - 1)).astype(np.int64), ((hashes >> U64(32)) & U64(WIDTH - 1)).astype(np.int64)
 
 
 class Weights:
-    """Shingle weights from the sketch of document frequencies."""
+    """Shingle weights from the sketch: levels[d, slot] is the number of trailing ones of a bitmap."""
 
-    def __init__(self, sketch: np.ndarray, documents: int, floor: float):
-        self.sketch, self.floor, self.n = sketch, floor, max(1, documents)
-        load = float(sketch[0].sum()) / WIDTH
-        #: Frequencies up to this one (and the sketch's own noise) count as rare: full weight.
-        self.rare = max(8.0, self.n / 1000) + 2 * load
-        self.top = math.log1p(self.n / self.rare)
+    def __init__(self, levels: np.ndarray, documents: int):
+        self.levels = levels
+        self.rare = int(np.median(levels[0])) + 2
+        count = np.exp2(np.maximum(np.arange(34), self.rare)) / 0.77351
+        idf = np.log1p(max(1, documents) / count)
+        #: By level; 1 for rare ones.
+        self.idf = idf / idf[0]
 
     def of(self, hashes: np.ndarray, tf: np.ndarray) -> np.ndarray:
         a, b = slots(hashes)
-        df = np.minimum(self.sketch[0][a], self.sketch[1][b])
-        idf = np.ones(len(df))
-        often = df > self.rare
-        if often.any():
-            idf[often] = np.log1p(self.n / df[often]) / self.top
-        return tf * (self.floor + (1 - self.floor) * idf)
+        return tf * self.idf[np.minimum(self.levels[0][a], self.levels[1][b])]
 
 
 _draws: tuple[np.ndarray, ...] | None = None
 
 
 def draws() -> tuple[np.ndarray, ...]:
-    """r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), beta ~ U(0, 1), and ln a at weight 1, for every table row and sample."""
+    """Two rows of each table give an element its draws for every sample: r and c ~ Gamma(2, 1) as sums of two exponentials,
+    beta ~ U(0, 1) as a sum modulo 1. Elements share both rows once in TABLE^2."""
     global _draws
     if _draws is None:
-        random = np.random.default_rng(3)
-        shape = (TABLE, SAMPLES)
-        r = random.standard_gamma(2, shape, np.float32)
-        c = np.log(random.standard_gamma(2, shape, np.float32))
-        beta = random.random(shape, np.float32)
-        _draws = r, c, beta, c - r * (1 - beta)
+        random, shape = np.random.default_rng(3), (TABLE, SAMPLES)
+        _draws = *(random.standard_exponential(shape, np.float32) for _ in range(4)), *(random.random(shape, np.float32) for _ in range(2))
     return _draws
 
 
 def signature(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """SAMPLES 32-bit samples of a weighted set (not empty): per sample the (element, level) of the least ln a."""
-    r, c, beta, plain = draws()
+    r1, r2, c1, c2, b1, b2 = draws()
     best = np.full(SAMPLES, np.inf, np.float32)
     sample = np.zeros(SAMPLES, U64)
-    for at in range(0, len(hashes), 2048):
-        h, w = hashes[at : at + 2048], weights[at : at + 2048]
-        rows = (h >> U64(51)).astype(np.int64)
-        a = plain.take(rows, axis=0)
-        level = None
-        other = np.flatnonzero(w != 1)
-        if len(other):
-            rr, bb = r.take(rows[other], axis=0), beta.take(rows[other], axis=0)
-            t = np.floor(np.log(w[other]).astype(np.float32)[:, None] / rr + bb)
-            a[other] = c.take(rows[other], axis=0) - rr * (t - bb + 1)
+    each = np.arange(SAMPLES)
+    for at in range(0, len(hashes), 512):
+        h, w = hashes[at : at + 512], weights[at : at + 512]
+        i, j = (h >> U64(52)).astype(np.int64), ((h >> U64(40)) & U64(TABLE - 1)).astype(np.int64)
+        r, a, beta = r1.take(i, 0), c1.take(i, 0), b1.take(i, 0)
+        r += r2.take(j, 0)
+        a += c2.take(j, 0)
+        beta += b2.take(j, 0)
+        beta -= beta >= 1
+        np.log(a, out=a)
+        other, level = np.flatnonzero(w != 1), None
+        if len(other):  # the level of weight 1 is 0
+            t = np.floor(np.log(w[other]).astype(np.float32)[:, None] / r[other] + beta[other])
+            beta[other] -= t
             level = np.zeros(a.shape, np.int32)
             level[other] = t
+        # ln a = ln c - ln y - r, where ln y = r * (level - beta)
+        beta -= 1
+        beta *= r
+        a += beta
         k = a.argmin(0)
-        least = a[k, np.arange(SAMPLES)]
+        least = a[k, each]
         better = least < best
         best[better] = least[better]
         value = h[k]
         if level is not None:
-            value = value + level[k, np.arange(SAMPLES)].astype(np.int64).astype(U64) * _G
+            value = value + level[k, each].astype(np.int64).astype(U64) * _G
         sample[better] = value[better]
     return (mix(sample) >> U64(32)).astype(np.uint32)
 
@@ -150,31 +166,45 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """The count-min sketch of document frequencies (DEPTH rows of WIDTH counters) and the number of documents with words."""
+    """The levels of the sketch (DEPTH rows of WIDTH bitmaps) and the number of documents with words. Bitmaps are joined by
+    OR, so neither copies nor repeated tasks change them; each of the joining tasks holds a part of one sketch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, documents = np.zeros((DEPTH, WIDTH), np.uint32), 0
         for batch in batches:
             for part in blocks(batch, "_text"):
                 s = Shingles(part.column(part.schema.get_field_index("_text")), size)
-                _, once = np.unique(mix(s.hash + mix(s.row.astype(U64) + U64(1))), return_index=True)
-                for d, slot in enumerate(slots(s.hash[once])):
-                    sketch[d] += np.bincount(slot, minlength=WIDTH).astype(np.uint32)
+                seen = s.contexts()
+                for d, slot in enumerate(slots(s.hash)):
+                    bits = (seen >> U64(32 * d)).astype(np.uint32) | np.uint32(1 << 31)
+                    np.bitwise_or.at(sketch[d], slot, bits & (~bits + np.uint32(1)))
                 documents += int((np.diff(s.first) > 0).sum())
-        parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(-1, CHUNK)]
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([*range(len(parts)), -1], pa.int64()), "counts": pa.array([*parts, zlib.compress(np.array([documents], "<u4").tobytes())], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = 0
-        for x in table.column("counts"):
-            raw = zlib.decompress(x.as_py())
-            total = total + np.frombuffer(raw, "<u4" if len(raw) <= 4 * CHUNK else "<u8").astype("<u8")
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    parts = {r["chunk"]: np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u8") for r in rows.select("_text").mapInArrow(count, "chunk bigint, counts binary").groupBy("chunk").applyInArrow(add, "chunk bigint, counts binary").collect()}
-    if not parts:
-        return np.zeros((DEPTH, WIDTH), np.float32), 0
-    return np.concatenate([parts[k] for k in range(DEPTH * WIDTH // CHUNK)]).astype(np.float32).reshape(DEPTH, WIDTH), int(parts[-1][0])
+        for chunk, bitmaps in enumerate(sketch.reshape(-1, CHUNK)):
+            if bitmaps.any():
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "bitmaps": [zlib.compress(bitmaps.tobytes(), 1)], "documents": [0]})
+        yield pa.RecordBatch.from_pydict({"chunk": [-1], "bitmaps": pa.array([None], pa.binary()), "documents": [documents]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, np.ndarray] = {}
+        documents = 0
+        for batch in batches:
+            for chunk, packed, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                documents += n
+                if packed is not None:
+                    bitmaps = np.frombuffer(zlib.decompress(packed), np.uint32)
+                    joined[chunk] = joined[chunk] | bitmaps if chunk in joined else bitmaps
+        for chunk, bitmaps in joined.items():
+            ones = np.log2((bitmaps & (bitmaps + np.uint32(1))) ^ (bitmaps + np.uint32(1)), dtype=np.float64, where=bitmaps != 0xFFFFFFFF, out=np.full(len(bitmaps), 32.0))
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "levels": [zlib.compress(ones.astype(np.uint8).tobytes(), 1)], "documents": [0]})
+        yield pa.RecordBatch.from_pydict({"chunk": [-1], "levels": pa.array([None], pa.binary()), "documents": [documents]})
+
+    counted = rows.select("_text").mapInArrow(count, "chunk bigint, bitmaps binary, documents bigint")
+    levels, documents = np.zeros((DEPTH * WIDTH // CHUNK, CHUNK), np.uint8), 0
+    for r in counted.repartition("chunk").mapInArrow(add, "chunk bigint, levels binary, documents bigint").collect():
+        documents += r["documents"]
+        if r["levels"] is not None:
+            levels[r["chunk"]] = np.frombuffer(zlib.decompress(bytes(r["levels"])), np.uint8)
+    return levels.reshape(DEPTH, WIDTH), documents
 
 
 def _sign(rows: DataFrame, shared, size: int) -> DataFrame:
@@ -192,46 +222,66 @@ def _sign(rows: DataFrame, shared, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, content binary, sign binary")
 
 
+def _with_content(rows: DataFrame, text: str = "_text") -> DataFrame:
+    """rows with the content key of their text (null as empty) as `_content`."""
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(Shingles(part.column(at), 1).contents(), pa.binary())], names=[*part.schema.names, "_content"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "_content binary"]))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, shared, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a weighted Jaccard similarity of threshold or more."""
-    ta, tb = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb"))
+    """The pairs (a, b) whose texts have a weighted Jaccard similarity of threshold or more.
+
+    texts: node, _text. Each b, with at most about BLOCK of the texts it is compared with, is one run of rows: its own text first,
+    then theirs. A task holds one parsed text and one batch."""
+    cuts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    dealt = pairs.select("a", "b").join(cuts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("cuts")).cast("int").alias("cut"))
+    own = cuts.select(F.col("b").alias("node"), F.col("b"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(True).alias("lead"))
+    wanted = own.unionByName(dealt.select(F.col("a").alias("node"), "b", "cut", F.lit(False).alias("lead")))
+    run_rows = wanted.join(texts, "node").repartition("b", "cut").sortWithinPartitions("b", "cut", F.desc("lead")).select("node", "b", "lead", "_text")
     kind = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights: Weights = shared.value
-        kept: dict = {}
-
-        def parsed(key, text: str):
-            if key not in kept:
-                if len(kept) > 256:
-                    kept.clear()
-                hashes, tf = Shingles(pa.array([text], pa.large_string()), size).counted(0)
-                kept[key] = hashes, weights.of(hashes, tf)
-            return kept[key]
-
+        against = None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            s = [similarity(parsed(x, p.as_py()), parsed(y, q.as_py())) for x, y, p, q in zip(a, b, batch.column(2), batch.column(3), strict=True)]
-            good = pa.array(np.array(s) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"]).filter(good)
+            for part in blocks(batch, "_text"):
+                s, found = Shingles(part.column(3), size), []
+                for i, lead in enumerate(part.column(2).to_pylist()):
+                    hashes, tf = s.counted(i)
+                    own = hashes, weights.of(hashes, tf)
+                    if lead:
+                        against = own
+                    elif similarity(own, against) >= threshold:
+                        found.append(i)
+                at = pa.array(found, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], names=["a", "b"])
 
-    joined = pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "_ta", "_tb")
-    return joined.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return run_rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _block_links(members: DataFrame, shared, size: int, threshold: float, least: float, block: int) -> DataFrame:
-    """members: key, band, rep, label, sign, _text. Links (a, b) between members of one bucket with different labels.
+def _candidates(members: DataFrame, least: float, most: int | None) -> DataFrame:
+    """members: key, band, node, label, sign. Pairs (a, b) of members of one bucket with different labels whose signatures agree
+    in a share of `least` or more of the samples: for each member its `most` likeliest partners in a block (None: all).
 
-    Buckets are cut into blocks of about `block` members by hash; every two blocks of a bucket meet in one group of
-    bounded size. A pair is looked at in the first band only that it shares, verified if its signatures agree in a share of
-    `least` or more of the samples, and skipped once the group's links have joined its labels: a group emits fewer
-    links than it has members."""
-    sized = members.select("key", "rep").groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
-    own = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
+    Buckets are cut into blocks of about BLOCK members by hash; every two blocks of a bucket meet in one group of
+    bounded size. A pair is looked at in the first band only that it shares."""
+    sized = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))
-    dealt = members.join(sized, "key").withColumn("own", own).withColumn("at", F.explode(met)).select("key", "band", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "own", "rep", "label", "sign", "_text")
-    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "rep")
-    kind = dict(members.dtypes)["rep"]
+    dealt = members.join(sized, "key").withColumn("own", own).withColumn("at", F.explode(met)).select("key", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "own", "band", F.xxhash64("label").alias("label"), "sign", "node")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "node")
+    kind = dict(members.dtypes)["node"]
+
+    def bounds(table: pa.Table) -> list[int]:
+        k, x, y = (table.column(c).to_numpy() for c in ("key", "x", "y"))
+        new = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        return [0, *(np.flatnonzero(new) + 1).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -241,90 +291,97 @@ def _block_links(members: DataFrame, shared, size: int, threshold: float, least:
             groups = bounds(table)
             rest = table.slice(groups[-1])
             if len(groups) > 1:
-                yield links(table.slice(0, groups[-1]).combine_chunks(), groups)
+                yield pairs(table.slice(0, groups[-1]).combine_chunks(), groups)
         if rest is not None and rest.num_rows:
-            yield links(rest.combine_chunks(), [*bounds(rest), rest.num_rows])
+            yield pairs(rest.combine_chunks(), [*bounds(rest), rest.num_rows])
 
-    def bounds(table: pa.Table) -> list[int]:
-        k, x, y = (table.column(c).to_numpy() for c in ("key", "x", "y"))
-        new = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        return [0, *(np.flatnonzero(new) + 1).tolist()]
-
-    def links(table: pa.Table, groups: list[int]) -> pa.RecordBatch:
-        weights: Weights = shared.value
-        _, labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)
-        band, own, x, y = (table.column(c).to_numpy() for c in ("band", "own", "x", "y"))
+    def pairs(table: pa.Table, groups: list[int]) -> pa.RecordBatch:
+        band, own, x, y, label = (table.column(c).to_numpy() for c in ("band", "own", "x", "y", "label"))
         signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        texts = table.column("_text")
-        found: list[tuple[int, int]] = []
+        found: list[np.ndarray] = []
         for a, b in zip(groups[:-1], groups[1:], strict=True):
             same = x[a] == y[a]
             mid = b if same else a + int((own[a:b] == x[a]).sum())
-            now, sets = labels[a:b].copy(), {}
-
-            def parsed(i: int, sets=sets):
-                if i not in sets:
-                    hashes, tf = Shingles(pa.array([texts[i].as_py()], pa.large_string()), size).counted(0)
-                    sets[i] = hashes, weights.of(hashes, tf)
-                return sets[i]
-
             for i in range(a, mid):
                 js = np.arange(i + 1, b) if same else np.arange(mid, b)
-                js = js[now[js - a] != now[i - a]]
+                js = js[label[js] != label[i]]
                 if not len(js):
                     continue
                 agree = signs[js] == signs[i]
                 share = agree.mean(1)
                 likely = np.flatnonzero(share >= least)
                 likely = likely[agree[likely].reshape(len(likely), BANDS, ROWS).all(2).argmax(1) == band[a]]
-                for j in js[likely[np.argsort(-share[likely], kind="stable")]].tolist():
-                    if now[j - a] != now[i - a] and similarity(parsed(i), parsed(j)) >= threshold:
-                        found.append((i, j))
-                        now[now == now[j - a]] = now[i - a]
-        reps = table.column("rep").combine_chunks() if isinstance(table.column("rep"), pa.ChunkedArray) else table.column("rep")
-        ends = [reps.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+                js = js[likely[np.argsort(-share[likely], kind="stable")][:most]]
+                found.append(np.column_stack((np.full(len(js), i), js)))
+        ends = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        nodes = pa.concat_arrays(table.column("node").chunks) if table.num_rows else pa.array([], table.schema.field("node").type)
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(ends[:, k].astype(np.int64))) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    found = dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, floor: float = 0.9, slack: float = 0.11, block: int = 256) -> DataFrame:
-    """Per row of docs: id, rep_id (the least id with the same content) and class_id (the least id of its class).
-
-    slack: how far below the threshold two signatures may agree and still be verified (3 standard errors of SAMPLES).
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, slack: float) -> tuple[DataFrame, DataFrame]:
+    """(members, labels). members: _id, node per row with an id, node being struct(id, content) of the representative of its
+    content. labels: node, label (the least node of its class) for nodes that have a link."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sketch, documents = frequencies(rows, shingle)
-    shared = spark.sparkContext.broadcast(Weights(sketch, documents, floor))  # 8 MB at any input size
+    shared = spark.sparkContext.broadcast(Weights(*frequencies(rows, shingle)))  # 8 MB at any input size
     signed = materialize(_sign(rows.where("_id is not null"), shared, shingle), "signatures")
-    classes = signed.groupBy("content").agg(F.min("_id").alias("rep"))
-    members = materialize(signed.select("_id", "content").join(classes, "content").select("_id", "rep"), "members")
-    reps = signed.where("sign is not null").join(classes, [F.col("_id") == F.col("rep"), signed["content"] == classes["content"]]).select("rep", "sign").dropDuplicates(["rep"])
+    node = F.struct(F.col("rep").alias("id"), F.col("content").alias("content")).alias("node")
+    members = materialize(beside(signed.select("_id", "content"), "content", "_id", rep=("min", F.col("_id"))).select("_id", node), "members")
+    reps = signed.where("sign is not null").groupBy("content").agg(F.min("_id").alias("rep"), F.first("sign").alias("sign")).select(node, "sign")
+    reps = materialize(reps, "representatives")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.substr("sign", k * (4 * ROWS) + 1, F.lit(4 * ROWS)), k).alias("key")))
-    banded = materialize(reps.select("rep", F.explode(band).alias("s")).select("rep", "s.band", "s.key"), "bands")
-    shared_keys = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(banded.join(shared_keys, "key").select("key", "band", "rep", "n"), "buckets")
+    banded = reps.select("node", F.explode(band).alias("s")).select("node", "s.band", "s.key")
+    met = materialize(beside(banded, "key", "node", n=("count", F.lit(1))).where("n > 1"), "buckets")
     # A bucket's leader is its member with the most bucket neighbours: in a group of near copies, one near the middle.
-    degree = met.groupBy("rep").agg(F.sum("n").alias("degree"))
-    leaders = met.join(degree, "rep").groupBy("key").agg(F.min_by("rep", F.struct(-F.col("degree"), F.col("rep"))).alias("leader"))
-    led = met.join(leaders, "key").where("rep <> leader")
-    involved = met.select(F.col("rep").alias("_id")).distinct()
-    texts = materialize(rows.join(involved, "_id", "left_semi").dropDuplicates(["_id"]), "candidate-texts")
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    led = beside(met.join(degree, "node"), "key", "node", first=("min", F.struct(-F.col("degree"), F.col("node"))))
+    led = led.select("node", F.col("first.node").alias("leader")).where("node <> leader")
+    involved = met.select("node").distinct()
+    texts = rows.join(involved.select(F.col("node.id").alias("_id")).distinct(), "_id", "left_semi")
+    texts = _with_content(texts).select(F.struct(F.col("_id").alias("id"), F.col("_content").alias("content")).alias("node"), "_text")
+    texts = materialize(texts.join(involved, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
 
     # One leader per representative: the one it meets in most bands.
-    best = led.groupBy("rep", "leader").agg(F.count("*").alias("n")).groupBy("rep").agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("leader"))
-    first = materialize(_verify(best.select(F.col("rep").alias("a"), F.col("leader").alias("b")), texts, shared, shingle, threshold), "first-links")
-    labels = components(first)
-    labelled = met.join(labels, met["rep"] == labels["node"], "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("label"))
-    labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    active = labelled.join(mixed, "key", "left_semi").join(signed.select(F.col("_id").alias("rep"), "sign").dropDuplicates(["rep"]), "rep")
-    active = active.join(texts.select(F.col("_id").alias("rep"), "_text"), "rep")
-    more = materialize(_block_links(active, shared, shingle, threshold, threshold - slack, block), "more-links")
-    links = first.select("a", "b").unionByName(more)
-    final = materialize(components(links), "classes")
-    found = members.join(final, members["rep"] == final["node"], "left").select(F.col("_id").alias(id_col), F.col("rep").alias("rep_id"), F.coalesce("label", "rep").alias("class_id"))
-    none = F.lit(None).cast(dict(rows.dtypes)["_id"])
-    return found.unionByName(rows.where("_id is null").select(F.col("_id").alias(id_col), none.alias("rep_id"), none.alias("class_id")))
+    best = led.groupBy("node", "leader").agg(F.count("*").alias("n")).groupBy("node").agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("leader"))
+    tried = materialize(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "first-pairs")
+    links = materialize(_verify(tried, texts, shared, shingle, threshold), "first-links")
+    labels = components(links)
+    for most in ROUNDS:
+        labelled = met.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
+        ends = materialize(beside(labelled, "key", "node", lo=("min", F.col("label")), hi=("max", F.col("label"))).where("lo <> hi").drop("lo", "hi"), "mixed-buckets")
+        found = _candidates(ends.join(reps, "node"), threshold - slack, most)
+        both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = materialize(found.join(both, ["a", "b"], "left_anti"), "pairs")
+        if found.isEmpty():
+            break
+        tried = both.unionByName(found)
+        links = links.unionByName(materialize(_verify(found, texts, shared, shingle, threshold), "links"))
+        labels = components(links)
+    return members, labels
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, slack: float = 0.11) -> DataFrame:
+    """Per row of docs: id, rep_id (the least id with the same content) and class_id (the least id of its class).
+
+    slack: how far below the threshold two signatures may agree and still be verified (3 standard errors of SAMPLES).
+    """
+    members, labels = _classes(docs, id_col, text_col, threshold, shingle, slack)
+    found = members.join(labels, "node", "left").select(F.col("_id").alias(id_col), F.col("node.id").alias("rep_id"), F.coalesce("label", "node")["id"].alias("class_id"))
+    none = F.lit(None).cast(dict(found.dtypes)[id_col])
+    return found.unionByName(docs.where(F.col(id_col).isNull()).select(F.col(id_col), none.alias("rep_id"), none.alias("class_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, slack: float = 0.11) -> DataFrame:
+    """One row of every class of near duplicates, with all columns: that of the least id, of several texts with this id the
+    one with the least content key, of several rows with both the least by all columns. Rows without an id all stay."""
+    members, labels = _classes(docs, id_col, text_col, threshold, shingle, slack)
+    nodes = members.select("node").distinct().join(labels.where("node <> label"), "node", "left_anti")
+    chosen = nodes.select(F.col("node.id").alias("_chosen"), F.col("node.content").alias("_wanted"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    met = docs.select(F.col(id_col).alias("_chosen"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row.alias("_row")).join(chosen, "_chosen")
+    same = _with_content(met).where("_content = _wanted").groupBy("_chosen", "_content").agg(F.min("_row").alias("_row"))
+    return same.select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -11,10 +11,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from apsis.llm import components, doc_stats, near_duplicates, packing, quality_classifier, quality_rules, queries, secret_scan, spot_signatures, substring_dedup
-from apsis.llm.common import BLANK, SAME, Words, window_hashes
+from apsis.llm.common import BLANK, SAME, Words, beside, window_hashes
 
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -309,10 +310,12 @@ def near_texts(seed=6):
     return [*out, None, "", " ", "two words", "Two  words", "x y z w v"]
 
 
-def test_near_duplicates_against_all_pairs(spark, empty):
+def test_near_duplicates_against_all_pairs(spark, empty, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 3)
+    monkeypatch.setattr(near_duplicates, "ROUNDS", (1, 2, None))
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "loose")], "doc_id bigint, text string").repartition(3)
-    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs, block=3).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs.withColumn("rep_id", F.lit(1)).withColumn("node", F.lit(2))).collect()}
     assert len(got) == len(texts) + 1 and got[None] is None
 
     def shingles(t):
@@ -337,18 +340,102 @@ def test_near_duplicates_against_all_pairs(spark, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
-def test_signatures_estimate_weighted_jaccard():
-    random_ = np.random.default_rng(2)
-    hashes = np.unique(random_.integers(0, 1 << 63, 900).astype(np.uint64))
-    for share in (0.5, 0.8):
-        n = int(len(hashes) * share)
-        a, b = hashes[: (len(hashes) + n) // 2], hashes[(len(hashes) - n) // 2 :]
-        wa = np.where(np.arange(len(a)) % 5 == 0, 2.0, 1.0)
-        wb = wa[len(a) - n :] if n else wa
-        wb = np.concatenate((wa[(len(hashes) - n) // 2 :], np.ones(len(b) - (len(a) - (len(hashes) - n) // 2))))
-        exact = near_duplicates.similarity((a, wa), (b, wb))
-        estimate = (near_duplicates.signature(a, wa) == near_duplicates.signature(b, wb)).mean()
-        assert abs(exact - estimate) < 0.13
+def weighted_classes(spark, texts):
+    """Brute force: classes of exact weighted Jaccard similarity 0.8 over all pairs, the weights, and the number of linked pairs."""
+    rows = spark.createDataFrame([(t,) for t in texts], "_text string")
+    weights = near_duplicates.Weights(*near_duplicates.frequencies(rows, 5))
+    shingles = near_duplicates.Shingles(pa.array(texts), 5)
+    sets = [(h, weights.of(h, n)) for h, n in (shingles.counted(i) for i in range(len(texts)))]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near_duplicates.similarity(sets[i], sets[j]) >= 0.8]
+    return rooted(len(texts), pairs), weights, sets, pairs
+
+
+def rooted(n, pairs):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(k) for k in range(n)]
+
+
+def test_near_duplicates_with_common_phrases(spark):
+    """Half of all texts are made of a few common phrases, so that idf matters; copies of each have some words changed."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    phrases = [" ".join(word() for _ in range(5)) for _ in range(12)]
+    texts = []
+    for k in range(120):
+        base = [word() if k % 2 or r.random() < 0.6 else r.choice(phrases) for _ in range(120)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4):
+            copy = " ".join(base).split(" ")
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    want, weights, sets, pairs = weighted_classes(spark, texts)
+    common = near_duplicates.Shingles(pa.array(phrases), 5).hash
+    assert (weights.of(common, np.ones(len(common))) < 0.5).mean() > 0.8  # common phrases weigh little ...
+    assert np.mean(np.concatenate([w for _, w in sets[5:10]]) == 1) > 0.9  # ... and the shingles of a group of copies do not
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates.near_duplicates(docs).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs) > 200
+    assert all(want[k] == want[v] for k, v in got.items())  # nothing is linked that brute force does not link
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(7))
+    texts = []
+    for repeats in (1, 4):
+        base = [word() for _ in range(22_000)]
+        refrain = [word() for _ in range(60)]
+        texts.append(" ".join(base + refrain * repeats))
+        copy = list(base)
+        for _ in range(300):
+            copy[r.randrange(len(copy))] = word()
+        texts += [" ".join(copy + refrain * (2 * repeats)), " ".join(base[:15_000] + refrain * repeats)]
+    want, _, _, pairs = weighted_classes(spark, texts)
+    assert pairs == [(1, 0), (4, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {x["doc_id"]: x["class_id"] for x in near_duplicates.near_duplicates(docs).collect()} == dict(enumerate(want))
+
+
+def test_rows_of_one_id_and_different_texts_are_documents_of_their_own(spark, empty):
+    r = random.Random(13)
+    text = lambda: " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (2, b + " tail", "x"), (3, c, None), (3, c, None), (4, None, "x"), (4, "", "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, content string")
+    found = [tuple(x) for x in near_duplicates.near_duplicates(docs).collect()]
+    assert sorted(found, key=str) == sorted([(1, 1, 1)] * 3 + [(2, 2, 1), (3, 3, 3), (3, 3, 3), (4, 4, 4), (4, 4, 4), (None, None, None), (None, None, None)], key=str)
+    kept = near_duplicates.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(x) for x in kept.collect()), key=str) == sorted([(1, a, "x"), (1, b, "w"), (3, c, None), (4, None, "x"), (None, a, "x"), (None, a, "x")], key=str)
+    assert near_duplicates.one_of_each(empty).count() == 0
+
+
+@pytest.mark.parametrize("n", [900, 40_000, 200_000])
+def test_signatures_estimate_weighted_jaccard(n):
+    random_ = np.random.default_rng(n)
+    hashes = random_.integers(0, 1 << 64, n, dtype=np.uint64)
+    weigh = lambda: np.where(random_.random(n) < 0.05, 9.0, 1.0)
+    for a, b in (((hashes, weigh()), (hashes, weigh())), ((hashes[: n * 9 // 10], np.full(n * 9 // 10, 0.7)), (hashes[n // 10 :], np.full(n - n // 10, 0.7)))):
+        a, b = (tuple(x[np.argsort(s[0])] for x in s) for s in (a, b))
+        exact = near_duplicates.similarity(a, b)
+        assert abs(exact - (near_duplicates.signature(*a) == near_duplicates.signature(*b)).mean()) < 0.14  # 3 standard errors
+
+
+def test_results_beside_their_rows_are_those_of_a_window(spark):
+    rows = spark.createDataFrame([(None if k % 7 == 0 else k % 3, k) for k in range(200)], "k int, v int")
+    got = beside(rows.where("k is not null"), "k", "v", salts=4, low=("min", F.col("v")), high=("max", F.col("v")), n=("count", F.lit(1)))
+    own = Window.partitionBy("k")
+    want = rows.where("k is not null").select("k", "v", F.min("v").over(own).alias("low"), F.max("v").over(own).alias("high"), F.count("*").over(own).alias("n"))
+    assert sorted(map(tuple, got.select("k", "v", "low", "high", "n").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_packing_is_whole_and_gapless(spark, docs, empty):
