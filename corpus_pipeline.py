@@ -22,10 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of every class of near duplicates, that with the least id; of repeated rows, one. Rows without an id stay."""
-    found = near_duplicates.near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keeps one document of every class of near duplicates, that with the least id. Rows without an id stay."""
+    return near_duplicates.one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
