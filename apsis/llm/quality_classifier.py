@@ -1,8 +1,8 @@
 """Quality classifier (operator 2): random Fourier features, ridge regression, isotonic calibration.
 
-Document statistics (one pass over whole texts, written once) are standardised and mapped to random cosine features
-that approximate a Gaussian kernel. Every partition sums its part of the normal equations; Spark adds the sums, the
-driver solves one fixed-size system. Raw scores are calibrated by pool-adjacent-violators over a fixed number of score
+Document statistics (one pass over whole texts, written once) are standardised and mapped to random cosines and sines, whose
+inner products approximate a Gaussian kernel; the model is linear in these features alone. Every partition sums its part of
+the normal equations; Spark adds the sums a row of the matrix at a time, the driver solves one fixed-size system. Raw scores are calibrated by pool-adjacent-violators over a fixed number of score
 bins that Spark counts. Only the model (a few hundred kilobytes at any input size) passes through the driver.
 
 Cases: null or empty text has statistics of zero and is scored like any other; rows without a label, or with a null
@@ -30,7 +30,6 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     directions: np.ndarray
-    phases: np.ndarray
     weights: np.ndarray
     edges: np.ndarray  # upper raw score of each calibration step
     levels: np.ndarray  # its calibrated score
@@ -39,8 +38,15 @@ class Model:
         return self.expand(x) @ self.weights
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -5, 5)
-        return np.column_stack([np.ones(len(z)), z, np.sqrt(2 / len(self.phases)) * np.cos(z @ self.directions + self.phases)])
+        return np.column_stack([np.ones(len(x)), self.fourier(x)])
+
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -5, 5)
+
+    def fourier(self, x: np.ndarray) -> np.ndarray:
+        """Features whose inner products are near exp(-gamma * squared distance) of the standardised statistics."""
+        angle = self.standard(x) @ self.directions
+        return np.hstack([np.cos(angle), np.sin(angle)]) / np.sqrt(angle.shape[1])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), self.edges, self.levels)
@@ -65,10 +71,10 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.repeat(level, size)
 
 
-def fit(train: DataFrame, label: str, n_features: int = 192, gamma: float = 0.04, ridge: float = 1.0, bins: int = 512, seed: int = 20) -> Model:
-    """train: COUNTS and a 0/1 label column. Two Spark passes over it: normal equations, then calibration counts."""
+def fit(train: DataFrame, label: str, n_features: int = 256, gamma: float = 0.04, ridge: float = 0.3, bins: int = 512, seed: int = 20) -> Model:
+    """train: COUNTS and a 0/1 label column. Three Spark passes over it: moments, normal equations, calibration counts."""
     random, d = np.random.default_rng(seed), len(FEATURES)
-    model = Model(np.zeros(d), np.ones(d), random.normal(0, np.sqrt(2 * gamma), (d, n_features)), random.uniform(0, 2 * np.pi, n_features), np.zeros(1 + d + n_features), np.zeros(1), np.full(1, 0.5))
+    model = Model(np.zeros(d), np.ones(d), random.normal(0, np.sqrt(2 * gamma), (d, n_features // 2)), np.zeros(1 + n_features // 2 * 2), np.zeros(1), np.full(1, 0.5))
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, d))
@@ -95,12 +101,17 @@ def fit(train: DataFrame, label: str, n_features: int = 192, gamma: float = 0.04
             gram[:, m] += z.T @ batch.column(batch.schema.get_field_index("_y")).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array(list(gram), pa.list_(pa.float64()))], names=["i", "row"])
 
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.column("row").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, m + 1)
-        return pa.table({"i": table.column("i").slice(0, 1), "row": pa.array([rows[np.lexsort(rows.T[::-1])].sum(0)], pa.list_(pa.float64()))})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one index are in one task, which holds a sum per index."""
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, m + 1)
+            for i, row in zip(batch.column(0).to_pylist(), rows, strict=True):
+                total[i] = total[i] + row if i in total else row
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["i", "row"])
 
     labelled = train.select(*COUNTS, F.col(label).cast("double").alias("_y"))
-    parts = labelled.mapInArrow(normal, "i bigint, row array<double>").groupBy("i").applyInArrow(add, "i bigint, row array<double>").collect()
+    parts = labelled.mapInArrow(normal, "i bigint, row array<double>").repartition("i").mapInArrow(add, "i bigint, row array<double>").collect()
     gram = np.zeros((m, m + 1))
     for part in parts:
         gram[part["i"]] = part["row"]
