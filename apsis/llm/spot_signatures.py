@@ -12,12 +12,13 @@ get equal fingerprints; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NON_ALNUM, U64, Words, blocks, is_in, materialize, mix
@@ -110,35 +111,58 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return members, checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
-def with_next(docs: DataFrame, work: Callable[[pa.Table, pa.Array], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def _leading(text: Column) -> Column:
+    """The first six bytes of a text as a number, in the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def with_next(docs: DataFrame, work: Callable[[pa.Table, pa.Array], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, most: int = 4000) -> DataFrame:
     """Runs work(rows, texts of the next rows) over blocks of rows in descending id order; after the last comes the first.
 
-    Blocks are ranges of ids at sampled quantiles. The first row of each block also goes to the block before it, so
-    every text is shuffled once and only block heads twice. Equal ids are ordered by text; null ids come last.
-    rows: _id, _text, in order.
+    Ids are cut at sampled quantiles into at most about `most` ranges, and a range evenly into blocks of about block_bytes, so
+    the number of blocks grows with the input. The first row of each block also goes to the block before it: every text is
+    shuffled once and only block heads twice. An id that is a quantile more than once is a range of its own. Equal ids are
+    ordered by text, and a range of one id is cut into blocks by text; null ids come last and are such a range. Ids that
+    are texts are dealt by their first six bytes. rows: _id, _text, in order.
     """
     from pyspark.ml.feature import Bucketizer
 
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    most = 4000
-    size = rows.agg(F.sum(F.octet_length("_text") + 64).alias("bytes"), F.percentile_approx("_id", [k / most for k in range(1, most)], 20000).alias("cuts")).first()
+    order = _leading(F.col("_id")) if dict(rows.dtypes)["_id"] == "string" else F.col("_id").cast("double")
+    rows = rows.withColumn("_d", order).withColumn("_t", _leading(F.col("_text")))
+    size = rows.agg(F.sum(F.octet_length("_text") + 64).alias("bytes"), F.percentile_approx("_d", [k / most for k in range(1, most)], 20000).alias("cuts")).first()
     wanted = min(most, max(1, -(-(size["bytes"] or 0) // block_bytes)))
-    cuts = sorted(set((size["cuts"] or [])[most // wanted - 1 :: max(1, most // wanted)]))
-    null_block = -1.0
-    numbered = rows.withColumn("_d", F.coalesce(F.col("_id").cast("double"), F.lit(0.0)))
-    if cuts:
-        numbered = Bucketizer(splits=[float("-inf"), *map(float, cuts), float("inf")], inputCol="_d", outputCol="_block").transform(numbered)
-    else:
-        numbered = numbered.withColumn("_block", F.lit(0.0))
-    numbered = numbered.withColumn("_block", F.when(F.col("_id").isNull(), null_block).otherwise(F.col("_block"))).drop("_d")
-    # One row per block, at most `most` + 2 of them: its head is the greatest (id, text hash) pair's id.
-    heads = sorted(((r["_block"], r["head"]) for r in numbered.groupBy("_block").agg(F.max("_id").alias("head")).collect()), reverse=True)
-    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(h, float(b)) for h, b in before.items()], f"_head {dict(rows.dtypes)['_id']}, _to double")
-    homes = F.array(F.struct(F.col("_block").alias("block"), F.lit(False).alias("guest")))
-    both = F.when(F.col("_to").isNotNull(), F.concat(homes, F.array(F.struct(F.col("_to").alias("block"), F.lit(True).alias("guest"))))).otherwise(homes)
-    placed = numbered.join(F.broadcast(table), F.col("_id").eqNullSafe(F.col("_head")), "left").select("_id", "_text", F.explode(both).alias("_at")).select("_id", "_text", F.col("_at.block").alias("_block"), F.col("_at.guest").alias("_guest"))
+    cuts = (size["cuts"] or [])[most // wanted - 1 :: max(1, most // wanted)]
+    often = {a for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a == b}
+    cuts = sorted({*cuts, *(math.nextafter(c, math.inf) for c in often)})
+    bucket = Bucketizer(splits=[-math.inf, *cuts, math.inf] if cuts else [-math.inf, 0.0, math.inf], inputCol="_d", outputCol="_range", handleInvalid="keep")
+    # Null ids (kept apart as the last bucket) come last: below all others.
+    ranged = bucket.transform(rows).withColumn("_range", F.when(F.col("_d").isNull(), -1).otherwise(F.col("_range")).cast("int"))
+    # At most 2 * most + 2 rows, whatever the input.
+    spans = ranged.groupBy("_range").agg(F.sum(F.octet_length("_text") + 64).alias("_bytes"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"), F.min("_t").alias("_tlo"), F.max("_t").alias("_thi"))
+    spans = materialize(spans.withColumn("_parts", F.ceil(F.col("_bytes") / block_bytes)).drop("_bytes"), "spot-ranges")
+    by_id = F.col("_lo") < F.col("_hi")
+    place = F.when(by_id, F.try_divide(F.col("_d") - F.col("_lo"), F.col("_hi") - F.col("_lo"))).otherwise(F.try_divide(F.col("_thi") - F.col("_t"), F.col("_thi") - F.col("_tlo")))
+    part = F.least(F.floor(F.coalesce(place, F.lit(0.0)) * F.col("_parts")), F.col("_parts") - 1)
+    block = (F.col("_range").cast("bigint") * (1 << 40) + part).alias("_block")
+    numbered = ranged.join(F.broadcast(spans), "_range").select("_id", "_text", "_d", "_t", "_range", block)
+    # The head of a block is its first row: the greatest id, then the least text (by what is known of both).
+    first = F.min(F.struct((-F.col("_d")).alias("d"), F.col("_t").alias("t")))
+    heads = materialize(numbered.groupBy("_range", "_block").agg(first.alias("_head")), "spot-heads")
+    above = heads.groupBy("_range").agg(F.min("_block").alias("_to")).orderBy("_range").collect()  # a row for each range
+    if not above:
+        return docs.sparkSession.createDataFrame([], schema)
+    over = dict(zip([r["_range"] for r in above], [*(r["_to"] for r in above[1:]), above[0]["_to"]], strict=True))
+    over = docs.sparkSession.createDataFrame(list(over.items()), "_range int, _over bigint")
+    to = F.lag("_block").over(Window.partitionBy("_range").orderBy(F.desc("_block")))
+    # Joined by its measured size: Spark broadcasts the table of heads if it is small, and sorts otherwise.
+    heads = materialize(heads.withColumn("_to", to).join(F.broadcast(over), "_range").select("_block", "_head", F.coalesce("_to", "_over").alias("_to")), "spot-heads")
+    heads = heads.withColumnsRenamed({"_block": "_of"})
+    same = (F.col("_block") == F.col("_of")) & (-F.col("_d")).eqNullSafe(F.col("_head.d")) & F.col("_t").eqNullSafe(F.col("_head.t"))
+    at = lambda block, guest: F.array(F.struct(F.col(block).alias("block"), F.lit(guest).alias("guest")))
+    places = F.when(F.col("_to").isNotNull(), F.concat(at("_block", False), at("_to", True))).otherwise(at("_block", False))
+    placed = numbered.join(heads, same, "left").select("_id", "_text", F.explode(places).alias("_at"))
+    placed = placed.select("_id", "_text", F.col("_at.block").alias("_block"), F.col("_at.guest").alias("_guest"))
 
     def run(group: pa.Table) -> pa.Table:
         order = lambda t: t.sort_by([("_id", "descending"), ("_text", "ascending")])
