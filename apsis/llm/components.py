@@ -19,15 +19,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = beside(both, "u", "v", m=("min", F.col("v")))
         linked = both.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
-    return linked.where("a <> b").distinct()
+    return linked.where("a <> b")
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether the links are stars already: each upper end has one link, and no lower end is an upper one."""
-    upper = edges.groupBy("a").agg(F.count("*").alias("n"))
-    if not upper.where("n > 1").isEmpty():
-        return False
-    return edges.select(F.col("b").alias("a")).join(upper, "a", "left_semi").isEmpty()
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    each = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("low"))
+    return each.where("up > 1 or (up > 0 and low = 0)").isEmpty()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -39,5 +38,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if _settled(now):
             nodes = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
             return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        now = materialize(_star(_star(now, large=True), large=False), "links")
+        now = materialize(_star(_star(now, large=True), large=False).distinct(), "links")
     raise RuntimeError("components did not settle")

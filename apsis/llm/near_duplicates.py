@@ -1,6 +1,6 @@
 """MinHash near-duplicates (operator 3): improved consistent weighted sampling over TF-IDF weighted word shingles.
 
-1. In how many contexts (words before it) the corpus holds a shingle, in a sketch of fixed size (8 MB once broadcast).
+1. In how many contexts (words before it) the corpus holds a shingle, in a sketch of fixed size (4 MB once broadcast).
 2. Per document: a content key and a signature of `bands * rows` consistent weighted samples.
 3. Documents of equal content form a class; only class representatives go on, each named by its id and content key.
 4. Bands are buckets. Every representative is verified against one bucket leader (the one it meets in most bands); linked
@@ -36,14 +36,16 @@ from pyspark.sql import functions as F
 from .common import BLANK, LOWER, U64, Words, beside, blocks, materialize, mix, window_hashes
 from .components import components
 
-WIDTH, DEPTH, CHUNK = 1 << 22, 2, 1 << 15
+WIDTH, DEPTH, CHUNK = 1 << 21, 2, 1 << 15
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 TABLE = 1 << 12
-#: Members of one bucket block, and pairs verified beside one copy of a text.
-BLOCK = 256
+#: Members of one bucket block (two megabytes of signatures).
+BLOCK = 4096
+#: Over how many tasks at most the texts compared with one text are dealt.
+SALTS = 64
 #: Candidates a member may name per bucket block in each round of verification; the last round names all.
-ROUNDS = (4, 64, None)
+ROUNDS = (4, None)
 _G = U64(0x9E3779B97F4A7C15)
 
 
@@ -237,11 +239,10 @@ def _with_content(rows: DataFrame, text: str = "_text") -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame, shared, size: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts have a weighted Jaccard similarity of threshold or more.
 
-    texts: node, _text. Each b, with at most about BLOCK of the texts it is compared with, is one run of rows: its own text first,
-    then theirs. A task holds one parsed text and one batch."""
-    cuts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
-    dealt = pairs.select("a", "b").join(cuts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("cuts")).cast("int").alias("cut"))
-    own = cuts.select(F.col("b").alias("node"), F.col("b"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(True).alias("lead"))
+    texts: node, _text. Each b, with a share of the texts it is compared with, is one run of rows: its own text first, then
+    theirs. A task holds one parsed text and one batch."""
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("cut"))
+    own = dealt.select("b", "cut").distinct().select(F.col("b").alias("node"), "b", "cut", F.lit(True).alias("lead"))
     wanted = own.unionByName(dealt.select(F.col("a").alias("node"), "b", "cut", F.lit(False).alias("lead")))
     run_rows = wanted.join(texts, "node").repartition("b", "cut").sortWithinPartitions("b", "cut", F.desc("lead")).select("node", "b", "lead", "_text")
     kind = dict(pairs.dtypes)["a"]
@@ -266,15 +267,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, shared, size: int, threshold: fl
 
 
 def _candidates(members: DataFrame, least: float, most: int | None) -> DataFrame:
-    """members: key, band, node, label, sign. Pairs (a, b) of members of one bucket with different labels whose signatures agree
-    in a share of `least` or more of the samples: for each member its `most` likeliest partners in a block (None: all).
+    """members: key, n (members of the bucket), band, node, label, sign. Pairs (a, b) of members of one bucket with different labels whose signatures agree
+    in a share of `least` or more of the samples: for each member its `most` likeliest partners in a block (None: all),
+    and whether it has more.
 
     Buckets are cut into blocks of about BLOCK members by hash; every two blocks of a bucket meet in one group of
     bounded size. A pair is looked at in the first band only that it shares."""
-    sized = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    sized = members.withColumn("cuts", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))
-    dealt = members.join(sized, "key").withColumn("own", own).withColumn("at", F.explode(met)).select("key", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "own", "band", F.xxhash64("label").alias("label"), "sign", "node")
+    dealt = sized.withColumn("own", own).withColumn("at", F.explode(met)).select("key", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "own", "band", F.xxhash64("label").alias("label"), "sign", "node")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "node")
     kind = dict(members.dtypes)["node"]
 
@@ -312,13 +314,13 @@ def _candidates(members: DataFrame, least: float, most: int | None) -> DataFrame
                 likely = np.flatnonzero(share >= least)
                 likely = likely[agree[likely].reshape(len(likely), BANDS, ROWS).all(2).argmax(1) == band[a]]
                 js = js[likely[np.argsort(-share[likely], kind="stable")][:most]]
-                found.append(np.column_stack((np.full(len(js), i), js)))
-        ends = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                found.append(np.column_stack((np.full(len(js), i), js, np.full(len(js), len(likely) > len(js)))))
+        ends = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         nodes = pa.concat_arrays(table.column("node").chunks) if table.num_rows else pa.array([], table.schema.field("node").type)
-        return pa.RecordBatch.from_arrays([nodes.take(pa.array(ends[:, k].astype(np.int64))) for k in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([*(nodes.take(pa.array(ends[:, k].astype(np.int64))) for k in (0, 1)), pa.array(ends[:, 2] > 0)], names=["a", "b", "more"])
 
-    found = dealt.mapInArrow(run, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = dealt.mapInArrow(run, f"a {kind}, b {kind}, more boolean")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, slack: float) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +328,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shin
     content. labels: node, label (the least node of its class) for nodes that have a link."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    shared = spark.sparkContext.broadcast(Weights(*frequencies(rows, shingle)))  # 8 MB at any input size
+    shared = spark.sparkContext.broadcast(Weights(*frequencies(rows, shingle)))  # 4 MB at any input size
     signed = materialize(_sign(rows.where("_id is not null"), shared, shingle), "signatures")
     node = F.struct(F.col("rep").alias("id"), F.col("content").alias("content")).alias("node")
     members = materialize(beside(signed.select("_id", "content"), "content", "_id", rep=("min", F.col("_id"))).select("_id", node), "members")
@@ -341,26 +343,28 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shin
     led = beside(met.join(degree, "node"), "key", "node", first=("min", F.struct(-F.col("degree"), F.col("node"))))
     led = led.select("node", F.col("first.node").alias("leader")).where("node <> leader")
     involved = met.select("node").distinct()
-    texts = rows.join(involved.select(F.col("node.id").alias("_id")).distinct(), "_id", "left_semi")
-    texts = _with_content(texts).select(F.struct(F.col("_id").alias("id"), F.col("_content").alias("content")).alias("node"), "_text")
-    texts = materialize(texts.join(involved, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
+    # Of rows that share an id, those with the wanted content. Repeated rows are repeated here, which verifies a pair again.
+    texts = rows.join(involved.select(F.col("node.id").alias("_id"), "node"), "_id").select("node", "_text")
+    texts = materialize(_with_content(texts).where("_content = node.content").drop("_content"), "candidate-texts")
 
     # One leader per representative: the one it meets in most bands.
-    best = led.groupBy("node", "leader").agg(F.count("*").alias("n")).groupBy("node").agg(F.min_by("leader", F.struct(-F.col("n"), F.col("leader"))).alias("leader"))
+    best = led.groupBy("node").agg(F.mode("leader", deterministic=True).alias("leader"))
     tried = materialize(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "first-pairs")
-    links = materialize(_verify(tried, texts, shared, shingle, threshold), "first-links")
-    labels = components(links)
+    labels = components(_verify(tried, texts, shared, shingle, threshold))
     for most in ROUNDS:
         labelled = met.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
-        ends = materialize(beside(labelled, "key", "node", lo=("min", F.col("label")), hi=("max", F.col("label"))).where("lo <> hi").drop("lo", "hi"), "mixed-buckets")
+        ends = materialize(beside(labelled, "key", "node", n=("count", F.lit(1)), lo=("min", F.col("label")), hi=("max", F.col("label"))).where("lo <> hi").drop("lo", "hi"), "mixed-buckets")
         found = _candidates(ends.join(reps, "node"), threshold - slack, most)
         both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = materialize(found.join(both, ["a", "b"], "left_anti"), "pairs")
-        if found.isEmpty():
+        seen = found.agg(F.count("*").alias("pairs"), F.max("more").alias("more")).first()
+        if not seen["pairs"]:
             break
-        tried = both.unionByName(found)
-        links = links.unionByName(materialize(_verify(found, texts, shared, shingle, threshold), "links"))
+        tried = both.unionByName(found.select("a", "b"))
+        links = _verify(found, texts, shared, shingle, threshold).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(links)
+        if not seen["more"]:
+            break
     return members, labels
 
 
