@@ -2,10 +2,12 @@
 
 Pieces have three sizes: tokens, segments (1) and loss-bearing tokens. A bin takes, of the pieces at hand, the one
 whose size vector has the largest dot product with what the bin has left (each dimension over its limit); when none
-fits whole, the best one is cut to fill the bin. Every input partition packs its own rows with a bounded pool of
-pieces, so nothing is shuffled and memory does not grow with the input. A bin that cannot be filled (the end of a
-partition, or a segment or loss limit) is split into sequences whose lengths are powers of two, which need no padding.
+fits whole, the best one is cut to fill the bin; when no loss-bearing token is left to a bin, it is filled with tokens that bear
+none. Every input partition packs its own rows with a bounded pool of pieces, so nothing is shuffled and memory does not
+grow with the input. A bin that cannot be filled (the end of a partition, or a segment or loss limit) is split into
+sequences whose lengths are powers of two, which need no padding.
 
+Ids come from the `tokenizers` library. The vocabulary file is read on the driver and broadcast (two megabytes).
 Sequence ids are partition * 2^33 + number: unique, and the same on a rerun of the task.
 Cases: null text is empty and gives a piece with the end token alone; a long text fills whole sequences by itself;
 repeated rows are packed separately; an empty table gives an empty result; extra columns are ignored.
@@ -13,8 +15,6 @@ repeated rows are packed separately; an empty table gives an empty result; extra
 
 from __future__ import annotations
 
-import base64
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,73 +27,85 @@ from pyspark.sql import functions as F
 
 from .common import blocks
 
-#: Fixed value: the pre-token pattern of the byte-level vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 150_000
-_encoders: dict[tuple, "Encoder"] = {}
+#: Words a worker remembers; beyond it begins anew.
+CACHE = 600_000
+_encoders: dict[int, "Encoder"] = {}
 
 
 class Encoder:
-    """Byte-level BPE with a bounded cache of what stands between single blanks.
+    """Ids of a byte-level tokenizer, with a bounded memory of what stands between single blanks.
 
     A cut before a single blank between other characters, or on either side of a single line feed between them, never
-    divides a pre-token, so such parts are encoded (or looked up) on their own; a text with other white space is
-    encoded at once. A text is first split at the strings of `special`, which have ids of their own; other special
-    tokens' strings are ordinary text.
+    divides a pre-token, so such parts are encoded once: the new words of a block in one text, where every token that
+    begins with a blank begins a word. A text with other white space or with an added token's string is encoded as it is.
     """
 
-    def __init__(self, ranks_path: str, special: dict[str, int] | None = None):
-        import tiktoken
-
-        with open(ranks_path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.special = special or {}
-        self.splits = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-
-    def _part(self, part: str) -> bytes:
-        found = np.array(self.bpe.encode_ordinary(part), "<u4").tobytes()
-        if len(self.known) < CACHE:
-            self.known[part] = found
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.splits and any(s in text for s in self.special):
-            parts = [np.array([self.special[p]], "<u4") if k % 2 else self._plain(p) for k, p in enumerate(self.splits.split(text)) if p]
-            return np.concatenate(parts)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> np.ndarray:
-        if not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n":
-            return np.array(self.bpe.encode_ordinary(text), "<u4")
-        known, out = self.known.get, []
-        for number, line in enumerate(text.split("\n")):
-            if number:
-                out.append(known("\n") or self._part("\n"))
-            first, *rest = line.split(" ")
-            out.append(known(first) or self._part(first))
-            for word in rest:
-                word = " " + word
-                out.append(known(word) or self._part(word))
-        return np.frombuffer(b"".join(out), "<u4")
-
-
-def encoder(ranks_path: str, special: dict[str, int] | None = None) -> Encoder:
-    """One encoder per worker process and set of special tokens."""
-    key = (ranks_path, *sorted((special or {}).items()))
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.bpe = Tokenizer.from_str(vocabulary)
+        self.begins = np.zeros(self.bpe.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.bpe.get_vocab().items() if t.startswith("\u0120")]] = True  # how the vocabulary writes a blank
+        self.added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}  # after a blank
+        self.firsts: dict[str, bytes] = {}  # at the beginning of a line
+        self.line = self._ids("\n").tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.bpe.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _plain(self, text: str) -> bool:
+        odd = not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n"
+        return not odd and not any(t in text for t in self.added)
+
+    def _learn(self, firsts: set[str], words: set[str]) -> None:
+        for first in firsts:
+            self.firsts[first] = self._ids(first).tobytes()
+        new = list(words)
+        if new:
+            ids = self._ids(" " + " ".join(new))
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(new):
+                raise ValueError("the vocabulary does not mark the beginning of words")
+            packed, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            self.words.update((word, packed[a:b]) for word, a, b in zip(new, cuts[:-1], cuts[1:], strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.words) + len(self.firsts) > CACHE:
+            self.words.clear()
+            self.firsts.clear()
+        found, firsts, words = [], set(), set()
+        for text in texts:
+            lines = [line.split(" ") for line in text.split("\n")] if self._plain(text) else []
+            for k, line in enumerate(lines):
+                ids = [self.firsts.get(line[0]), *map(self.words.get, line[1:])]
+                if None in ids:
+                    firsts.update(line[:1] if ids[0] is None else ())
+                    words.update(word for word, known in zip(line[1:], ids[1:], strict=True) if known is None)
+                else:
+                    lines[k] = ids
+            found.append(lines)
+        self._learn(firsts, words)
+        known = self.words.__getitem__
+        whole = lambda line: b"".join(line if isinstance(line[0], bytes) else [self.firsts[line[0]], *map(known, line[1:])])
+        return [np.frombuffer(self.line.join(map(whole, lines)), "<u4") if lines else self._ids(text) for text, lines in zip(texts, found, strict=True)]
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """One encoder per worker process and vocabulary."""
+    key = hash(vocabulary)
     if key not in _encoders:
-        _encoders[key] = Encoder(ranks_path, special)
+        _encoders[key] = Encoder(vocabulary)
     return _encoders[key]
 
 
 @dataclass
 class Limits:
-    """Of one sequence. loss counts tokens that bear loss; by default all of a document's but its end token."""
+    """Of one sequence. loss counts tokens that bear loss."""
 
     tokens: int = 1024
-    segments: int = 256
-    loss: int = 1024
+    segments: int = 5
+    loss: int = 1008
 
 
 class Packer:
@@ -103,38 +115,41 @@ class Packer:
         self.limits, self.next, self.pool = limits, first_sequence, pool
         self.cap = np.array([limits.tokens, limits.segments, limits.loss], np.float64)
         self.size = np.zeros((pool + 1, 3))  # tokens, segments, loss of the pieces at hand
+        self.lead = np.zeros(pool + 1, np.int64)  # how many tokens before the first that bears loss
         self.held: list[tuple] = []  # (row, start, ids, loss mask)
         self.bin: list[tuple] = []
         self.left = self.cap.copy()
-        self.done: list[tuple] = []  # row, start, ids, sequence, offset
+        self.done: list[tuple] = []  # row, start, ids, loss mask, sequence, offset
 
     def add(self, row: tuple, ids: np.ndarray, loss: np.ndarray) -> None:
-        """A whole document; what is longer than a sequence fills sequences by itself."""
+        """A whole document; what is longer than a sequence fills sequences by itself where the loss limit lets it."""
         at, whole = 0, self.limits.tokens
-        while len(ids) - at >= whole and loss[at : at + whole].sum() <= self.limits.loss:
-            self._emit([(row, at, ids[at : at + whole])])
-            at += whole
         while at < len(ids):
+            if len(ids) - at >= whole and loss[at : at + whole].sum() <= self.limits.loss:
+                self._emit([(row, at, ids[at : at + whole], loss[at : at + whole])])
+                at += whole
+                continue
             to = min(len(ids), at + whole)
-            bearing = np.cumsum(loss[at:to])
-            to = at + max(1, int(np.searchsorted(bearing, self.limits.loss, "right")))
+            to = at + max(1, int(np.searchsorted(np.cumsum(loss[at:to]), self.limits.loss, "right")))
             self._hold(row, at, ids[at:to], loss[at:to])
             at = to
             while len(self.held) >= self.pool:
                 self._step()
 
     def _hold(self, row, start, ids, loss) -> None:
-        self.size[len(self.held)] = len(ids), 1, loss.sum()
+        k = len(self.held)
+        self.size[k] = len(ids), 1, loss.sum()
+        self.lead[k] = int(loss.argmax()) if self.size[k, 2] else len(ids)
         self.held.append((row, start, ids, loss))
 
     def _take(self, k: int) -> tuple:
         piece, last = self.held[k], len(self.held) - 1
-        self.held[k], self.size[k] = self.held[last], self.size[last]
+        self.held[k], self.size[k], self.lead[k] = self.held[last], self.size[last], self.lead[last]
         self.held.pop()
         return piece
 
     def _put(self, row, start, ids, loss) -> None:
-        self.bin.append((row, start, ids))
+        self.bin.append((row, start, ids, loss))
         self.left -= len(ids), 1, loss.sum()
 
     def _step(self) -> None:
@@ -144,8 +159,9 @@ class Packer:
         score = size @ (self.left / self.cap**2)
         if fits.any():
             self._put(*self._take(int(np.argmax(np.where(fits, score, -1)))))
-        elif self.left[1] >= 1 and self.left[0] >= 1 and self.left[2] >= 1:
-            row, start, ids, loss = self._take(int(np.argmax(score)))
+        elif self.left[1] >= 1 and (self.left[2] >= 1 or self.lead[: len(self.held)].any()):
+            # Without room for loss, the piece that begins with the most tokens that bear none.
+            row, start, ids, loss = self._take(int(np.argmax(score if self.left[2] >= 1 else self.lead[: len(self.held)])))
             cut = min(int(self.left[0]), int(np.searchsorted(np.cumsum(loss), self.left[2], "right")))
             self._put(row, start, ids[:cut], loss[:cut])
             self._hold(row, start + cut, ids[cut:], loss[cut:])
@@ -155,15 +171,15 @@ class Packer:
             self._close()
 
     def _close(self) -> None:
-        total = sum(len(ids) for _, _, ids in self.bin)
+        total = sum(len(ids) for _, _, ids, _ in self.bin)
         while self.bin:
             take = total if total == self.limits.tokens else 1 << (total.bit_length() - 1)
             part, room = [], take
             while room:
-                row, start, ids = self.bin[0]
-                part.append((row, start, ids[:room]))
+                row, start, ids, loss = self.bin[0]
+                part.append((row, start, ids[:room], loss[:room]))
                 if len(ids) > room:
-                    self.bin[0] = (row, start + room, ids[room:])
+                    self.bin[0] = (row, start + room, ids[room:], loss[room:])
                 else:
                     self.bin.pop(0)
                 room -= len(part[-1][2])
@@ -173,8 +189,8 @@ class Packer:
 
     def _emit(self, part: list[tuple]) -> None:
         at = 0
-        for row, start, ids in part:
-            self.done.append((row, start, ids, self.next, at))
+        for row, start, ids, loss in part:
+            self.done.append((row, start, ids, loss, self.next, at))
             at += len(ids)
         self.next += 1
 
@@ -184,31 +200,35 @@ class Packer:
         self._close()
 
 
-def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, end_id: int = 0, loss_from: str | None = None, special: dict[str, int] | None = None) -> DataFrame:
-    """One row per piece: id, start, length, ids (array of int), doc_tokens, loss_tokens, sequence_id, offset.
+def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, end_id: int = 0, loss_from: str | None = None, prompt_share: float = 0.125) -> DataFrame:
+    """One row per piece: id, start, length, ids (array of int), ids_crc32, doc_tokens, loss_tokens, sequence_id, offset.
 
-    A document is its ids, then end_id. loss_from names a column with the code point at which loss begins (instruction
-    data: the prompt before it bears none); without it all ids but the end token bear loss. special maps strings that are
-    tokens of their own wherever they stand in a text to their ids.
+    A document is its ids, then end_id, which bears no loss. Its prompt bears none either: the tokens of what stands before the
+    code point in the column loss_from (a null: no prompt), encoded alone; without such a column the first
+    floor(prompt_share * ids) of its ids. vocabulary_path: a `tokenizers` file of the byte-level kind.
     """
     limits = limits or Limits()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), (F.coalesce(F.col(loss_from), F.lit(0)) if loss_from else F.lit(0)).cast("bigint").alias("_from"))
+    begin = F.col(loss_from) if loss_from else F.lit(-1)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(begin, F.lit(0)).cast("bigint").alias("_from"))
     id_type = rows.schema["_id"].dataType
+    with open(vocabulary_path, encoding="utf-8") as file:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(ranks_path, special)
+        bpe = encoder(vocabulary.value)
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         kind = None
         for batch in batches:
             for part in blocks(batch, "_text"):
                 kind = part.schema.field("_id").type
-                for key, text, begin in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    ids = np.append(bpe.encode(text), np.uint32(end_id)) if begin <= 0 else np.concatenate((bpe.encode(text[:begin]), bpe.encode(text[begin:]), [end_id])).astype("<u4")
+                texts, starts = part.column(1).to_pylist(), part.column(2).to_pylist()
+                prompts = bpe.encode([t[: max(0, k)] for t, k in zip(texts, starts, strict=True)]) if loss_from else texts
+                for key, ids, begin, prompt in zip(part.column(0).to_pylist(), bpe.encode(texts), starts, prompts, strict=True):
+                    ids = np.append(ids, np.uint32(end_id))
                     loss = np.ones(len(ids), np.int8)
+                    loss[: int(prompt_share * (len(ids) - 1)) if begin < 0 else len(prompt)] = 0
                     loss[-1] = 0
-                    if begin > 0:
-                        loss[: len(bpe.encode(text[:begin]))] = 0
-                    packer.add((key, len(ids)), ids.astype("<u4", copy=False), loss)
+                    packer.add((key, len(ids)), ids, loss)
                 yield table(packer, kind)
         packer.finish()
         if kind is not None:
@@ -218,19 +238,21 @@ def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
         done, packer.done = packer.done, []
         sizes = np.array([len(x[2]) for x in done], np.int64)
         ids = np.concatenate([x[2] for x in done]) if done else np.zeros(0, np.uint32)
+        whole = lambda values: pa.array(values, pa.int64())
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([x[0][0] for x in done], kind),
-                pa.array([x[1] for x in done], pa.int64()),
+                whole([x[1] for x in done]),
                 pa.array(sizes),
                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids.astype(np.int32))),
-                pa.array([zlib.crc32(x[2].tobytes()) for x in done], pa.int64()),
-                pa.array([x[0][1] for x in done], pa.int64()),
-                pa.array([x[3] for x in done], pa.int64()),
-                pa.array([x[4] for x in done], pa.int64()),
+                whole([zlib.crc32(x[2].tobytes()) for x in done]),
+                whole([x[0][1] for x in done]),
+                whole([int(x[3].sum()) for x in done]),
+                whole([x[4] for x in done]),
+                whole([x[5] for x in done]),
             ],
-            names=["_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            names=["_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"],
         )
 
-    schema = f"_id {id_type.simpleString()}, start bigint, length bigint, ids array<int>, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+    schema = f"_id {id_type.simpleString()}, start bigint, length bigint, ids array<int>, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint"
     return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)

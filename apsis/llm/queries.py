@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, mixing, near_duplicates, packing, quality_classifier, quality_rules, secret_scan, spot_signatures, substring_dedup, warc_store
 
-#: Vocabulary files; a parameter of the packing operator.
-TOKENIZERS = os.environ.get("APSIS_TOKENIZERS", "/opt/tokenizers")
-RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-#: The added tokens of byte_bpe_50k.json, which the rank file leaves out.
-SPECIAL = {"<|endoftext|>": 50256}
+#: The vocabulary of the packing query; a parameter of the operator.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -112,12 +109,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), RANKS, special=SPECIAL).drop("ids")
+    return packing.pack(read(spark, sf_dir, "documents"), VOCABULARY).drop("ids")
 
 
 def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc_store.write_archive(read(spark, sf_dir, "pages"))
-    return warc_store.read_index(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc_store.read_fields(warc_store.read_records(archive))
+    return found.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
 OP9_SQL = """

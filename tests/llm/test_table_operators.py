@@ -119,25 +119,45 @@ def test_mixing_pools_small_values_and_keeps_columns(spark):
     assert {r["doc_id"] for r in kept.collect()} == ids
 
 
-def test_warc_records_are_rebuilt(spark):
+def test_warc_records_are_rebuilt(spark, monkeypatch):
+    monkeypatch.setattr(warc_store, "PER_PART", 3)  # so that the shared payloads are read in parts
     big = "é" * 600
-    rows = [(1, "http://a\r\nb", big), (2, "u", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", "x" * 1000), (7, "u", "y" * 999), (8, "u", "y" * 999)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("header", F.lit(1))
+    rows = [(1, "http://a\r\nb\u2028WARC-Payload-Digest: sha1:00", big), (2, "u", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", "x" * 1000), (7, "u", "y" * 999), (8, "u", "y" * 999), (9, "u", "\r\n\r\nz" * 300)]
+    rows += [(100 + k, "u", "w" * 2_000_000) for k in range(8)] + [(107, "v", "w" * 2_000_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("header", F.lit(1)).withColumn("parts", F.lit(1))
     archive = warc_store.write_archive(pages)
-    assert archive.payloads.count() == 5
-    found = {r["page_id"]: r for r in warc_store.read_index(archive).collect()}
-    assert [(k, found[k]["record_type"], found[k]["refers_to"]) for k in (1, 2, 3, 4, 5, 6, 7, 8)] == [(1, "revisit", 3), (2, "revisit", 3), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (8, "response", None)]
-    assert all(r["declared_digest"] == r["payload_digest"] for r in found.values()) and found[1]["payload_bytes"] == 1200
-    records = [bytes(r["record"]) for r in warc_store.read_records(archive).collect()]
-    assert len(records) == len(rows)
-    for record in records:
+    assert archive.payloads.count() == 7
+    records = warc_store.read_records(archive)
+    found = {int(r["page_id"] or -1): r for r in warc_store.read_fields(records).collect()}
+    assert [(k, found[k]["record_type"], found[k]["refers_to"]) for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, -1)] == [(1, "revisit", "3"), (2, "revisit", "3"), *((k, "response", None) for k in (3, 4, 5, 6, 7, 8, 9, -1))]
+    assert [(k, found[k]["record_type"], found[k]["refers_to"]) for k in range(100, 108)] == [*((k, "revisit", "107") for k in range(100, 107)), (107, "response", None)]
+    assert all(r["declared_digest"] == r["payload_digest"] for r in found.values()) and found[1]["payload_bytes"] == 1200 and found[100]["payload_bytes"] == 2_000_000
+    written = [bytes(r["record"]) for r in records.collect()]
+    assert len(written) == len(rows) and sum(b"WARC-Type: response" in r for r in written) == 10  # both rows of page 107
+    for record in written:
         head, _, rest = record.partition(b"\r\n\r\n")
         fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
         body = rest[: int(fields[b"Content-Length"])]
         assert rest[len(body) :] == b"\r\n\r\n"
         if fields[b"WARC-Type"] == b"response":
             assert fields[b"WARC-Payload-Digest"] == b"sha1:" + hashlib.sha1(body).hexdigest().encode()
-    assert warc_store.read_index(warc_store.write_archive(pages.limit(0))).count() == 0
+    assert warc_store.read_records(warc_store.write_archive(pages.limit(0))).count() == 0
+
+
+def test_warc_ids_may_be_texts(spark):
+    pages = spark.createDataFrame([("a b>\r\nc", "u", "p" * 1200), ("é", "u", "p" * 1200)], "page_id string, url string, html string")
+    found = warc_store.read_fields(warc_store.read_records(warc_store.write_archive(pages))).collect()
+    assert sorted((r["page_id"], r["refers_to"]) for r in found) == [("a b>\r\nc", "é"), ("é", None)]
+
+
+def test_rebuilding_records_shuffles_headers_and_shared_payloads_only(spark):
+    archive = warc_store.write_archive(spark.read.parquet(f"{SF}/pages.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = warc_store.read_records(archive)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(payload_key") == 3  # headers, and the two sides of the shared payloads
 
 
 def test_a_damaged_payload_is_noticed(spark):
@@ -145,6 +165,9 @@ def test_a_damaged_payload_is_noticed(spark):
     broken = warc_store.Archive(archive.records, archive.payloads.withColumn("payload", F.encode(F.lit("other"), "utf-8")))
     with pytest.raises(Exception, match="does not match its digest"):
         warc_store.read_records(broken).collect()
+    cut = warc_store.read_records(archive).withColumn("record", F.expr("concat(substring(record, 1, octet_length(record) - 6), encode('\r\n\r\n', 'utf-8'))"))
+    with pytest.raises(Exception, match="record without its payload"):
+        warc_store.read_fields(cut).collect()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

@@ -87,6 +87,24 @@ def test_substring_removal(docs, block_bytes):
         assert sum(x["end"] - x["start"] for x in got[k]["removed"]) == gone
 
 
+def test_windows_of_one_hash_are_told_apart():
+    r = np.random.default_rng(4)
+    hashes, checks = r.integers(0, 40, 3000).astype(np.uint64) << np.uint64(58), r.integers(0, 6, 3000).astype(np.uint32)
+    count = Counter(zip(hashes.tolist(), checks.tolist(), strict=True))
+    windows = substring_dedup.Windows(hashes, checks)
+    at, times = windows.runs()
+    distinct = windows.only(at)
+    assert dict(zip(zip(distinct.hash.tolist(), distinct.check.tolist(), strict=True), times.tolist(), strict=True)) == count
+    some = distinct.only(np.arange(0, len(at), 3))
+    held = set(zip(some.hash.tolist(), some.check.tolist(), strict=True))
+    assert some.have(hashes, checks).tolist() == [k in held for k in zip(hashes.tolist(), checks.tolist(), strict=True)]
+    for n in (1, 2, 240):
+        near = substring_dedup.Windows(np.sort(r.integers(0, 1 << 50, n).astype(np.uint64)), checks[:n])
+        for w in (near, distinct):
+            back = substring_dedup._unpack(substring_dedup._pack(w, 0, min(n, len(w.hash))))
+            assert back[0].tolist() == w.hash[:n].tolist() and back[1].tolist() == w.check[:n].tolist()
+
+
 def test_substring_removal_counts_repeated_rows_and_takes_none(spark, docs, empty):
     assert substring_dedup.repeated_windows(empty).count() == 0
     text = " ".join(f"q{i}" for i in range(36))
@@ -139,6 +157,18 @@ def test_quality_classifier_cases(spark, docs, empty):
     assert quality_classifier.accepted(docs, labels).columns == docs.columns
 
 
+def test_fourier_features_approximate_a_gaussian_kernel():
+    r = np.random.default_rng(8)
+    d = len(doc_stats.FEATURES)
+    for gamma in (0.02, 0.04, 0.2):
+        model = quality_classifier.Model(r.normal(size=d), r.uniform(0.5, 2, d), r.normal(0, np.sqrt(2 * gamma), (d, 128)), np.zeros(257), np.zeros(1), np.zeros(1))
+        x = r.normal(size=(200, d))
+        z, s = model.fourier(x), model.standard(x)
+        kernel = np.exp(-gamma * ((s[:, None] - s[None]) ** 2).sum(2))
+        assert np.abs(z @ z.T - kernel).mean() < 1 / np.sqrt(128) and np.allclose((z * z).sum(1), 1)
+        assert model.expand(x).shape == (200, 257)  # nothing but these features and a constant
+
+
 def test_isotonic_is_the_nearest_rising_sequence():
     got = quality_classifier.isotonic(np.array([0.1, 0.5, 0.3, 0.9, 0.2]), np.array([1.0, 1, 1, 1, 2]))
     assert np.all(np.diff(got) >= 0)
@@ -266,17 +296,28 @@ def test_op5_follows_descending_ids(spark, monkeypatch):
         assert got[a]["near_next"] == pytest.approx(spot_signatures.jaccard(*[np.unique([got[x]["fingerprint"][i : i + 8] for i in range(0, len(got[x]["fingerprint"]), 8)]) for x in (a, b)]))
 
 
-def test_next_rows_over_several_blocks(spark):
-    rows = [(k * 3, f"t{k}") for k in range(50)] + [(None, "n"), (30, "again"), (30, "t10")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+@pytest.mark.parametrize("most", [4000, 4, 1])
+def test_next_rows_over_several_blocks(spark, most):
+    rows = [(k * 3, f"t{k}") for k in range(50)] + [(None, chr(97 + k % 25) * 9) for k in range(40)] + [(30, chr(97 + k % 25) * 5) for k in range(40)] + [(30, "t10"), (-(10**15), ""), (10**15, "x" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_d", F.lit("clash")).withColumn("_block", F.lit("clash"))
 
     def work(own, following):
-        return pa.table({"t": own.column("_text"), "f": following.cast(pa.string())})
+        return pa.table({"i": own.column("_id"), "t": own.column("_text"), "f": following.cast(pa.string()), "n": pa.array([own.num_rows] * own.num_rows)})
 
-    got = {(r["t"], r["f"]) for r in spot_signatures.with_next(docs, work, "t string, f string", block_bytes=400).collect()}
-    line = [t for _, t in sorted(((k, t) for k, t in rows if k is not None), key=lambda x: (-x[0], x[1]))] + ["n"]
-    assert got == set(zip(line, [*line[1:], line[0]], strict=True))
-    assert spot_signatures.with_next(docs.limit(0), work, "t string, f string").count() == 0
+    got = spot_signatures.with_next(docs, work, "i bigint, t string, f string, n bigint", block_bytes=400, most=most).collect()
+    line = [t for _, t in sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))]
+    assert Counter((r["t"], r["f"]) for r in got) == Counter(zip(line, [*line[1:], line[0]], strict=True))
+    if most == 4000:  # neither the repeated id nor the null ones are one block
+        assert max(r["n"] for r in got) < 12
+    assert spot_signatures.with_next(docs.limit(0), work, "i bigint, t string, f string, n bigint").count() == 0
+
+
+def test_next_rows_of_text_ids(spark):
+    rows = [(f"k{k:03}é", f"t{k}") for k in range(60)] + [("", "e"), (None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = spot_signatures.with_next(docs, lambda own, f: pa.table({"t": own.column("_text"), "f": f.cast(pa.string())}), "t string, f string", block_bytes=400).collect()
+    line = [t for _, t in sorted(((k, t) for k, t in rows if k is not None), reverse=True)] + ["n"]
+    assert {(r["t"], r["f"]) for r in got} == set(zip(line, [*line[1:], line[0]], strict=True))
 
 
 def test_components(spark):
@@ -438,50 +479,73 @@ def test_results_beside_their_rows_are_those_of_a_window(spark):
     assert sorted(map(tuple, got.select("k", "v", "low", "high", "n").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_packing_is_whole_and_gapless(spark, docs, empty):
+ODD_TEXTS = ["tab\there  two", " lead", "end ", "a\n\nb\r\nc", "don't <|endoftext|> é🙂　x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c\n", " x <|endoftext|>", "<|endoftext| > <|endo", "Ġ ĠĠx don't\nwe'll Ġ", "one\ntwo\nthree", "-", "x" * 300_000, "ab cd " * 60_000 + "ef"]
+
+
+def packed_by_tokenizer(rows, texts, limits=(1024, 5, 1008), prompt_share=0.125):
+    """Checks pieces against the tokenizer with its defaults; returns the sizes of the sequences."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
-    tokenizer.encode_special_tokens = True
-    texts = made_texts() + ["tab\there  two", " lead", "end ", "a\n\nb\r\nc", "don't <|endoftext|> é🙂　x"]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    rows = packing.pack(table, queries.RANKS).collect()
+    tokenizer = Tokenizer.from_file(queries.VOCABULARY)
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
         by_sequence.setdefault(r["sequence_id"], []).append(r)
-    for k, text in enumerate(texts):
-        want = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
-        parts = sorted(by_doc[k], key=lambda r: r["start"])
-        assert [i for r in parts for i in r["ids"]] == want
-        for r in parts:
-            assert r["ids"] == want[r["start"] : r["start"] + r["length"]] and r["doc_tokens"] == len(want)
-            assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    assert set(by_doc) == set(texts)
+    for k, text in texts.items():
+        want = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        at, prompt = 0, int(prompt_share * (len(want) - 1))
+        for r in sorted(by_doc[k], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(want)
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(want[r["start"] : at].tobytes())
+            assert r["loss_tokens"] == max(0, min(at, len(want) - 1) - max(r["start"], prompt))
+        assert at == len(want)
+    sizes = []
     for parts in by_sequence.values():
         at = 0
         for r in sorted(parts, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at <= 1024 and at & (at - 1) == 0
-    assert packing.pack(empty, queries.RANKS).count() == 0
+        assert at & (at - 1) == 0
+        sizes.append((at, len(parts), sum(r["loss_tokens"] for r in parts)))
+        assert all(x <= y for x, y in zip(sizes[-1], limits, strict=True))
+    return sizes
 
 
-def test_op8_recognises_added_tokens_as_the_tokenizer_does(spark, tmp_path):
-    from tokenizers import Tokenizer
+def test_packing_is_whole_and_gapless(spark, docs, empty):
+    texts = dict(enumerate(made_texts() + ODD_TEXTS))
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("_text", F.lit("clash")).withColumn("length", F.lit(1)).repartition(3)
+    rows = packing.pack(table, queries.VOCABULARY).collect()
+    packed_by_tokenizer(rows, texts)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    assert packing.pack(empty, queries.VOCABULARY).count() == 0
 
-    tokenizer = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
-    texts = ["don't <|endoftext|> é🙂　x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c\n", " x <|endoftext|>", "<|endoftext| > <|endo", "plain words", ""]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {}
-    for r in queries.op8_packing(spark, str(tmp_path)).collect():
-        got.setdefault(r["doc_id"], []).append(r)
-    encoder = packing.encoder(queries.RANKS, queries.SPECIAL)
-    for k, text in enumerate(texts):
-        ids = tokenizer.encode(text, add_special_tokens=False).ids
-        assert encoder.encode(text).tolist() == ids
-        assert {r["doc_tokens"] for r in got[k]} == {len(ids) + 1} == {sum(r["length"] for r in got[k])}
-        for r in got[k]:
-            assert r["ids_crc32"] == zlib.crc32(np.array([*ids, 0][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+def test_packing_takes_prompts_from_a_column(spark):
+    rows = [(1, "ask me tell you", 6), (2, "all of it", None), (3, "none of it", 99), (4, None, 3)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, begin int"), queries.VOCABULARY, loss_from="begin").collect()
+    loss = {}
+    for r in got:
+        loss[r["doc_id"]] = loss.get(r["doc_id"], 0) + r["loss_tokens"]
+    assert loss == {1: 2, 2: 3, 3: 0, 4: 0}
+
+
+def test_op8_packs_the_whole_table_and_all_limits_bind(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sizes = packed_by_tokenizer(queries.op8_packing(spark, SF).collect(), texts)
+    assert [max(x) for x in zip(*sizes, strict=True)] == [1024, 5, 1008]
+    assert sum(n for n, *_ in sizes if n == 1024) > 0.9 * sum(n for n, *_ in sizes)
+
+
+def test_an_encoder_forgets_and_goes_on(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 10)
+    with open(queries.VOCABULARY, encoding="utf-8") as file:
+        encoder = packing.Encoder(file.read())
+    texts = [t or "" for t in made_texts()] + ODD_TEXTS
+    for k in range(0, len(texts), 5):
+        for text, ids in zip(texts[k : k + 5], encoder.encode(texts[k : k + 5]), strict=True):
+            assert ids.tolist() == encoder.bpe.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_keeps_all_three_limits():
@@ -493,7 +557,7 @@ def test_packing_keeps_all_three_limits():
         packer.add((k, len(ids)), ids, (np.random.default_rng(k).random(len(ids)) < 0.3).astype(np.int8))
     packer.finish()
     size, segments = Counter(), Counter()
-    for _, _, ids, sequence, _ in packer.done:
+    for _, _, ids, _, sequence, _ in packer.done:
         size[sequence] += len(ids)
         segments[sequence] += 1
     assert max(size.values()) <= 64 and max(segments.values()) <= 3
