@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from apsis.llm import mixing, near_duplicates, packing, quality_classifier, secret_scan
 from apsis.llm.common import materialize
-from apsis.llm.queries import RANKS, SPECIAL, read
+from apsis.llm.queries import VOCABULARY, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
-    return packing.pack(docs, RANKS, special=SPECIAL)
+    return packing.pack(docs, VOCABULARY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixture", mixture), ("packing", packed)]
