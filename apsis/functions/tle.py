@@ -15,7 +15,10 @@ def field(line: Column, place: tuple[int, int]) -> Column:
 def checksum(line: Column) -> Column:
     """Digits of the first 68 characters, each minus sign as 1, modulo 10."""
     body = F.substring(line, 1, S.TLE_LENGTH - 1)
-    return F.aggregate(F.split(body, ""), F.lit(0), lambda n, c: n + F.when(c == "-", 1).otherwise(F.coalesce(c.try_cast("int"), F.lit(0)))) % 10
+    # Each digit as the sum of its binary places: how often those with a place occur is what leaving them out takes away.
+    places = {1: "13579-", 2: "2367", 4: "4567", 8: "89"}
+    times = [value * (F.length(body) - F.length(F.translate(body, digits, ""))) for value, digits in places.items()]
+    return sum(times[1:], times[0]) % 10
 
 
 def right_checksum(line: Column) -> Column:

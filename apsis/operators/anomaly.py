@@ -73,9 +73,9 @@ def detect_anomalies(stats: DataFrame, expected: str = "constant", detected_at:
 
 
 def severe_events(events: DataFrame) -> DataFrame:
-    """High and extreme events, each id once: that with the earliest ingestion."""
-    severe = events.where(F.col("severity").isin(*S.SEVERE)).where("event_id is not null")
-    row = F.struct(*events.columns)
+    """High and extreme events, each id once: that with the earliest ingestion. Only the columns that correlation needs."""
+    severe = events.select("event_id", "severity", "start_time", "end_time", "ingestion_time").where(F.col("severity").isin(*S.SEVERE) & F.col("event_id").isNotNull())
+    row = F.struct(*severe.columns)
     return severe.groupBy("event_id").agg(F.min_by(row, F.struct("ingestion_time", "start_time")).alias("e")).select("e.*")
 
 

@@ -1,13 +1,16 @@
-"""Two-line elements: decode, consecutive drift per satellite, flags, weekly report. One exchange on satellite_id
-serves the window and the report's aggregation."""
+"""Two-line elements: decode, consecutive drift per satellite, flags, weekly report.
+
+Drift reads its elements twice (for the rows, and for the last row of every week of a satellite): where they are decoded from
+text, write them first."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import calendar, tle
+from . import tracks
 
 #: Elements that drift, with the digits of their daily rates.
 RATES = {"mean_motion": 6, "inclination": 6, "eccentricity": 8, "raan": 6, "arg_perigee": 6, "bstar": 10}
@@ -16,20 +19,25 @@ ANGLES = ("raan", "arg_perigee")
 
 def parse_tle(rows: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(element rows, rejects). A line must have 69 characters after trimming; strict also wants right checksums."""
-    one, two = F.trim("tle_line1"), F.trim("tle_line2")
-    named = rows.withColumns({"_one": one, "_two": two})
+    named = rows.withColumns({"_one": F.trim("tle_line1"), "_two": F.trim("tle_line2")})
     one, two = F.col("_one"), F.col("_two")
     empty = F.col("satellite_id").isNull() | (F.coalesce(one, F.lit("")) == "") | (F.coalesce(two, F.lit("")) == "")
     short = (F.length(one) != S.TLE_LENGTH) | (F.length(two) != S.TLE_LENGTH)
     fault = F.when(empty, "incomplete").when(short, "length").when(~one.startswith("1") | ~two.startswith("2"), "line number")
     if strict:
         fault = fault.when(~tle.right_checksum(one) | ~tle.right_checksum(two), "checksum")
-    decoded = named.withColumn("_fault", fault).withColumns({k: v for k, v in tle.elements(one, two).items() if k != "epoch"}).withColumn("tle_epoch", tle.elements(one, two)["epoch"])
-    wrong = F.when(F.col("_fault").isNull() & (F.col("epoch_time").isNull() | F.col("mean_motion").isNull() | F.col("inclination").isNull() | F.col("eccentricity").isNull()), "number").otherwise(F.col("_fault"))
-    decoded = decoded.withColumn("_fault", wrong)
+    # A generator of one row: what comes after uses the decoded fields instead of decoding the lines again.
+    fields = tle.elements(one, two)
+    fields["tle_epoch"] = fields.pop("epoch")
+    decoded = named.select("satellite_id", "satellite_name", "tle_line1", "tle_line2", F.inline(F.array(F.struct(fault.alias("_fault"), *[c.alias(k) for k, c in fields.items()]))))
+    no_number = F.col("epoch_time").isNull() | F.col("mean_motion").isNull() | F.col("inclination").isNull() | F.col("eccentricity").isNull()
+    decoded = decoded.withColumn("_fault", F.coalesce("_fault", F.when(no_number, "number")))
     rejects = decoded.where("_fault is not null").select(F.lit("tle").alias("source"), F.col("_fault").alias("reason"), F.concat_ws("\n", "tle_line1", "tle_line2").alias("raw"))
     good = decoded.where("_fault is null")
-    return good.select("satellite_id", "satellite_name", "tle_epoch", "epoch_time", "norad_id", "classification", "intl_designator", "bstar", "mean_motion_dot", "inclination", "raan", "eccentricity", "arg_perigee", "mean_anomaly", "mean_motion", "rev_number"), rejects
+    return good.select(
+        "satellite_id", "satellite_name", "tle_epoch", "epoch_time", "norad_id", "classification", "intl_designator", "bstar", "mean_motion_dot",
+        "inclination", "raan", "eccentricity", "arg_perigee", "mean_anomaly", "mean_motion", "rev_number",
+    ), rejects
 
 
 def in_week(elements: DataFrame, label: str | None) -> DataFrame:
@@ -42,47 +50,60 @@ def _shortest(angle: Column) -> Column:
     return F.pmod(angle + 180, F.lit(360.0)) - 180
 
 
-def tle_drift(elements: DataFrame, wrap: bool = False) -> DataFrame:
-    """Daily rates between consecutive elements of a satellite; pairs that are not apart in time give no row. wrap:
-    take the shorter way round for angles."""
-    tie = [F.col(c) for c in ("mean_motion", "eccentricity", "inclination", "raan", "arg_perigee", "bstar")]
-    track = Window.partitionBy("satellite_id").orderBy("epoch_time", *tie)
-    before = F.lag(F.struct("epoch_time", *RATES)).over(track)
-    pairs = elements.withColumn("_p", before).where(F.col("_p").isNotNull())
+def _week(at: str) -> Column:
+    """A chunk of a track."""
+    return F.floor(F.unix_seconds(at) / 604_800)
+
+
+def _beside(elements: DataFrame) -> DataFrame:
+    """elements with _p, the satellite's element set before."""
+    order = ["epoch_time", "mean_motion", "eccentricity", "inclination", "raan", "arg_perigee", "bstar"]
+    return tracks.with_previous(elements, "satellite_id", order, ["epoch_time", *RATES], _week("epoch_time"), "_p")
+
+
+def _pair(wrap: bool) -> tuple[Column, Column]:
+    """(days between the two sets of a row, the drift between them as a struct)."""
     days = (F.unix_micros("epoch_time") - F.unix_micros("_p.epoch_time")) / 86_400_000_000
-    pairs = pairs.withColumn("_days", days).where("_days > 0")
 
     def rate(name: str, digits: int) -> Column:
         change = F.col(name) - F.col(f"_p.{name}")
         change = _shortest(change) if wrap and name in ANGLES else change
-        return F.round(change / F.col("_days"), digits).alias(f"{name}_drift")
+        return F.round(change / days, digits).alias(f"{name}_drift")
+
+    return days, F.struct(F.col("_p.epoch_time").alias("from_epoch"), F.col("epoch_time").alias("to_epoch"), F.round(days, 4).alias("dt_days"), *[rate(n, d) for n, d in RATES.items()])
+
 
-    return pairs.select("satellite_id", F.col("_p.epoch_time").alias("from_epoch"), F.col("epoch_time").alias("to_epoch"), F.round("_days", 4).alias("dt_days"), *[rate(n, d) for n, d in RATES.items()])
+def tle_drift(elements: DataFrame, wrap: bool = False) -> DataFrame:
+    """Daily rates between consecutive elements of a satellite; pairs that are not apart in time give no row. wrap:
+    take the shorter way round for angles."""
+    days, pair = _pair(wrap)
+    return _beside(elements).where(days > 0).select("satellite_id", pair.alias("d")).select("satellite_id", "d.*")
 
 
-def drift_flags() -> Column:
-    """Flags of one drift row, from its rounded rates, in fixed order."""
-    at = calendar.utc_iso(F.col("to_epoch"))
+def drift_flags(drift: Column | None = None) -> Column:
+    """Flags of one drift row (columns, or a struct), from its rounded rates, in fixed order."""
+    of = F.col if drift is None else lambda c: drift[c]
+    at = calendar.utc_iso(of("to_epoch"))
     rules = [("mean_motion_drift", S.MEAN_MOTION_LIMIT, "MEAN_MOTION_MANEUVER"), ("inclination_drift", S.INCLINATION_LIMIT, "INCLINATION_CHANGE"), ("eccentricity_drift", S.ECCENTRICITY_LIMIT, "ECCENTRICITY_CHANGE")]
-    return F.array_compact(F.array(*[F.when(F.abs(F.col(c)) > limit, F.concat(F.lit(f"{name} at "), at)) for c, limit, name in rules]))
+    return F.array_compact(F.array(*[F.when(F.abs(of(c)) > limit, F.concat(F.lit(f"{name} at "), at)) for c, limit, name in rules]))
 
 
 def drift_report(elements: DataFrame, wrap: bool = False) -> DataFrame:
-    """Per satellite: period, count, ordered drift rows, flags and means. A single element gives an empty drift list."""
-    drift = tle_drift(elements, wrap).withColumn("flags", drift_flags())
-    entry = F.struct("from_epoch", "to_epoch", "dt_days", *[f"{n}_drift" for n in RATES], "flags")
-    lists = drift.groupBy("satellite_id").agg(F.array_sort(F.collect_list(entry)).alias("_d"))
-    totals = elements.groupBy("satellite_id").agg(
+    """Per satellite: period, count, ordered drift rows, flags and means. A single element gives an empty drift list. One
+    aggregation gives the totals and the list."""
+    days, pair = _pair(wrap)
+    rows = _beside(elements).withColumn("_d", F.when(days > 0, pair))
+    report = rows.groupBy("satellite_id").agg(
         F.struct(F.min("epoch_time").alias("start"), F.max("epoch_time").alias("end")).alias("analysis_period"), F.count("*").alias("tle_count"),
+        F.array_sort(F.collect_list("_d")).alias("drift_analysis"),
         F.struct(F.round(F.avg("mean_motion"), 6).alias("mean_mean_motion"), F.round(F.avg("eccentricity"), 8).alias("mean_eccentricity"), F.round(F.avg("inclination"), 4).alias("mean_inclination")).alias("summary"),
     )
-    entries = F.coalesce("_d", F.array().cast(lists.schema["_d"].dataType))
-    joined = totals.join(lists, "satellite_id", "left").withColumn("_d", entries)
-    flags = F.flatten(F.transform("_d", lambda d: d["flags"]))
-    return joined.select("satellite_id", "analysis_period", "tle_count", F.transform("_d", lambda d: d.dropFields("flags")).alias("drift_analysis"), (F.size(flags) > 0).alias("anomaly_detected"), flags.alias("anomaly_flags"), "summary")
+    flagged = report.withColumn("anomaly_flags", F.flatten(F.transform("drift_analysis", drift_flags)))
+    return flagged.select("satellite_id", "analysis_period", "tle_count", "drift_analysis", (F.size("anomaly_flags") > 0).alias("anomaly_detected"), "anomaly_flags", "summary")
 
 
 def changed_tles(rows: DataFrame, order: str = "ingestion_time") -> DataFrame:
-    """Rows whose first line differs from the satellite's one before: A, A, B, A gives A, B, A."""
-    before = F.lag("tle_line1").over(Window.partitionBy("satellite_id").orderBy(order, "tle_line1", "tle_line2"))
-    return rows.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col("tle_line1")) | F.col("_b").isNull()).drop("_b")
+    """Rows whose first line differs from the satellite's one before: A, A, B, A gives A, B, A. order: a text that begins
+    with the date, whose days are the chunks of the track."""
+    met = tracks.with_previous(rows, "satellite_id", [order, "tle_line1", "tle_line2"], ["tle_line1"], F.substring(order, 1, 10), "_b")
+    return met.where(F.col("_b").isNull() | ~F.col("_b.tle_line1").eqNullSafe(F.col("tle_line1"))).drop("_b")

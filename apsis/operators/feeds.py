@@ -9,8 +9,22 @@ from .. import schemas as S
 from ..functions import calendar, events, tle
 
 
+def _decoded(payloads: DataFrame, schema: str) -> DataFrame:
+    """payloads with p, the decoded payload. A generator of one row, so that it is decoded once, however often p is used."""
+    body = F.from_json("payload", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return payloads.select("*", F.inline(F.array(F.struct(body.alias("p")))))
+
+
 def _parsed(payloads: DataFrame, schema: str) -> DataFrame:
-    return payloads.withColumn("p", F.from_json("payload", schema)).where(F.col("p").isNotNull())
+    return _decoded(payloads, schema).where(F.col("p").isNotNull() & F.col("p._bad").isNull())
+
+
+def rejected(payloads: DataFrame, feed: str) -> DataFrame:
+    """The payloads of a feed (iss, n2yo, donki, tle) that its normaliser leaves out because they are no JSON of its kind:
+    source, reason, raw."""
+    schema = {"iss": S.ISS_PAYLOAD, "n2yo": S.N2YO_PAYLOAD, "donki": S.DONKI_PAYLOAD, "tle": S.TLE_PAYLOAD}[feed]
+    bad = _decoded(payloads, schema).where(F.col("p").isNull() | F.col("p._bad").isNotNull())
+    return bad.select(F.lit(feed).alias("source"), F.when(F.col("payload").isNull(), "no payload").otherwise("malformed JSON").alias("reason"), F.col("payload").alias("raw"))
 
 
 def _position(**given: Column) -> list[Column]:

@@ -16,8 +16,8 @@ def partition_ready(table: DataFrame, day: str) -> bool:
 
 def partition_counts(table: DataFrame, files: bool = False) -> DataFrame:
     """Rows (and files, for a table read from files) per date."""
-    extra = [F.count_distinct(F.input_file_name()).alias("files")] if files else []
-    return table.groupBy("date").agg(F.count("*").alias("rows"), *extra)
+    extra = [F.count_distinct("_file").alias("files")] if files else []
+    return (table.withColumn("_file", F.input_file_name()) if files else table).groupBy("date").agg(F.count("*").alias("rows"), *extra)
 
 
 def missing_partitions(table: DataFrame, start: str, end: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from . import tracks
+
+#: Length of the chunks into which a satellite's track is cut.
+CHUNK_SECONDS = 86_400
 
 
 def one_day(archive: DataFrame, day: str) -> DataFrame:
@@ -50,8 +54,8 @@ def country_stats(positions: DataFrame) -> DataFrame:
 def altitude_deltas(positions: DataFrame, tie: list[str] | None = None) -> DataFrame:
     """Adds prev_altitude and altitude_delta along each satellite's track; its first position is dropped. tie: columns
     that order equal times."""
-    track = Window.partitionBy("satellite_id").orderBy("timestamp", *(tie or ["altitude_km"]))
-    out = positions.withColumn("prev_altitude", F.lag("altitude_km").over(track)).where(F.col("prev_altitude").isNotNull())
+    met = tracks.with_previous(positions, "satellite_id", ["timestamp", *(tie or ["altitude_km"])], ["altitude_km"], F.floor(F.col("timestamp") / CHUNK_SECONDS), "_p")
+    out = met.withColumn("prev_altitude", F.col("_p.altitude_km")).drop("_p").where(F.col("prev_altitude").isNotNull())
     return out.withColumn("altitude_delta", F.col("altitude_km") - F.col("prev_altitude"))
 
 
@@ -68,11 +72,17 @@ def orbit_health(positions: DataFrame, tie: list[str] | None = None) -> DataFram
 
 def daily_summary(stats: DataFrame) -> DataFrame:
     """One row over satellite_stats: satellites, positions, mean altitude, mean altitude per orbit type as JSON."""
-    per_orbit = stats.groupBy("orbit_type").agg(F.count_distinct("satellite_id").alias("n"), F.sum("position_count").alias("positions"), F.avg("avg_altitude_km").alias("mean"), F.sum("avg_altitude_km").alias("total"), F.count("*").alias("rows"))
-    # A handful of orbit types, so the second step is over a handful of rows.
-    orbits = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("orbit_type", F.round("mean", 1))))))
-    summed = per_orbit.agg(F.sum("positions").alias("total_positions"), F.round(F.sum("total") / F.nullif(F.sum("rows"), F.lit(0)), 1).alias("avg_altitude_km"), orbits.alias("orbit_altitudes"))
-    return summed.crossJoin(stats.agg(F.count_distinct("satellite_id").alias("satellites_tracked")))
+    both = stats.rollup("orbit_type").agg(
+        F.grouping("orbit_type").alias("all"), F.count_distinct("satellite_id").alias("n"), F.sum("position_count").alias("positions"),
+        F.avg("avg_altitude_km").alias("mean"),
+    )
+    # A handful of orbit types and their total, so the second step is over a handful of rows.
+    total = lambda c: F.max(F.when(F.col("all") == 1, F.col(c)))
+    orbits = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("all") == 0, F.struct("orbit_type", F.round("mean", 1))))))
+    return both.agg(
+        total("positions").alias("total_positions"), F.round(total("mean"), 1).alias("avg_altitude_km"), F.to_json(orbits).alias("orbit_altitudes"),
+        F.coalesce(total("n"), F.lit(0)).alias("satellites_tracked"),
+    )
 
 
 def summary_document(stats: DataFrame, day: str) -> DataFrame:

@@ -92,16 +92,20 @@ def position_flat(messages: DataFrame) -> DataFrame:
 def geo_join(points: DataFrame, regions: DataFrame, latitude: str = "latitude", longitude: str = "longitude", cell: float = 10.0) -> DataFrame:
     """points with the first region (least priority) that holds each, by an equality join on grid cells.
 
-    regions: priority, lat_min, lat_max, lon_min, lon_max, code, name, region. Boxes are spread over the cells they touch;
-    the join side is broadcast only if Spark finds it small. Use this for large region tables, orbit.geo for small
-    ones. A point that no box holds keeps null region columns.
+    regions: priority, lat_min, lat_max, lon_min, lon_max, code, name, region. Boxes are spread over the cells they touch, and
+    each cell is one row with its boxes in order of priority: a point meets one row, so it is neither multiplied nor
+    grouped again. Spark broadcasts the cells if it finds them small. Use this for large region tables, orbit.geo for
+    small ones. A point that no box holds keeps null region columns.
     """
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int")))
-    cells = regions.withColumn("_y", span("lat_min", "lat_max")).withColumn("_x", span("lon_min", "lon_max"))
-    keyed = points.withColumn("_row", F.struct(*points.columns)).select("_row", F.floor(F.col(latitude) / cell).cast("int").alias("_y"), F.floor(F.col(longitude) / cell).cast("int").alias("_x"), F.monotonically_increasing_id().alias("_n"))
-    inside = F.col(f"_row.{latitude}").between(F.col("lat_min"), F.col("lat_max")) & F.col(f"_row.{longitude}").between(F.col("lon_min"), F.col("lon_max"))
-    met = keyed.join(cells, ["_y", "_x"], "left").withColumn("_hit", F.when(inside, F.struct("priority", "code", "name", "region")))
-    return met.groupBy("_n", "_row").agg(F.min("_hit").alias("_hit")).select("_row.*", F.col("_hit.code").alias("country_code"), F.col("_hit.name").alias("country_name"), F.col("_hit.region").alias("region"))
+    box = F.struct("priority", "lat_min", "lat_max", "lon_min", "lon_max", "code", "name", "region")
+    touched = regions.withColumn("_y", span("lat_min", "lat_max")).withColumn("_x", span("lon_min", "lon_max"))
+    cells = touched.groupBy("_y", "_x").agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
+    at = lambda c: F.floor(F.col(c) / cell).cast("int")
+    keyed = points.withColumn("_y", at(latitude)).withColumn("_x", at(longitude))
+    inside = lambda b: F.col(latitude).between(b["lat_min"], b["lat_max"]) & F.col(longitude).between(b["lon_min"], b["lon_max"])
+    met = keyed.join(cells, ["_y", "_x"], "left").withColumn("_hit", F.get(F.filter("_boxes", inside), F.lit(0)))
+    return met.select(*points.columns, F.col("_hit.code").alias("country_code"), F.col("_hit.name").alias("country_name"), F.col("_hit.region").alias("region"))
 
 
 def tracked_satellites(lists: DataFrame, catalogue: DataFrame, column: str = "satellites") -> DataFrame:

@@ -12,6 +12,17 @@ def alive(at: Column, now: Column, ttl: str) -> Column:
     return at >= now - F.expr(f"interval {ttl}")
 
 
+def with_ids(messages: DataFrame) -> DataFrame:
+    """Messages whose id and name may come under either spelling (satellite_id or satelliteId, satellite_name or
+    satelliteName): both under the first, those without any id left out. An id of 0 or an empty name counts as none."""
+    out = messages
+    for name, alias in (("satellite_id", "satelliteId"), ("satellite_name", "satelliteName")):
+        given = [F.when(F.col(c).cast("string").isin("", "0"), None).otherwise(F.col(c)) for c in (name, alias) if c in messages.columns]
+        if given:
+            out = out.withColumn(name, F.coalesce(*given)).drop(alias)
+    return out.where(F.col("satellite_id").isNotNull())
+
+
 def latest_position(flat: DataFrame, now: Column, ttl: str = S.POSITION_TTL, tie: str | None = None) -> DataFrame:
     """The latest row per satellite, if it is younger than the time to live. Aggregates; no sort."""
     rows = flat.where(F.col("satellite_id").isNotNull() & alive(F.col("event_time"), now, ttl) & (F.col("event_time") <= now))
@@ -56,6 +67,11 @@ def active_events(events: DataFrame, now: Column, ttl: str = S.EVENT_TTL) -> Dat
     return rows.groupBy("event_id").agg(F.max_by(F.struct(*[c for c in events.columns if c != "event_id"]), order).alias("r")).select("event_id", "r.*")
 
 
+def listed_events(active: DataFrame) -> DataFrame:
+    """Active events as a list shows them: the latest start first, ties by id; those without a start last."""
+    return active.orderBy(F.desc_nulls_last("start_time"), "event_id")
+
+
 def active_count(events: DataFrame, now: Column) -> DataFrame:
     return active_events(events, now).agg(F.count("*").alias("active_events"))
 

@@ -10,7 +10,7 @@ from ..sources import readers, writers
 
 
 def run_daily(spark: SparkSession, archive: str, out: str, day: str) -> DataFrame:
-    """Writes satellite_stats (by orbit type), country_stats and orbit_health as ORC, then returns the daily summary.
+    """Writes satellite_stats (by orbit type), country_stats and orbit_health as ORC, the satellites of the day as keyed JSON rows, then returns the daily summary.
 
     The day's rows are read three times from pruned, column-pruned Parquet rather than cached: each mart needs few columns.
     """
@@ -21,5 +21,6 @@ def run_daily(spark: SparkSession, archive: str, out: str, day: str) -> DataFram
     stats = spark.read.orc(f"{out}/satellite_stats/date={day}")
     summary = marts.daily_summary(stats).withColumn("date", F.lit(day))
     summary.write.mode("overwrite").json(f"{out}/summary/date={day}")
+    marts.summary_document(stats, day).write.mode("overwrite").json(f"{out}/summary_document/date={day}")
     writers.write_trigger(spark, f"{out}/batch_trigger", "daily_aggregation", day, "run_daily")
     return spark.read.json(f"{out}/summary/date={day}")

@@ -16,6 +16,8 @@ def run_weekly(spark: SparkSession, tles: str, out: str, day: str, scope: str =
     start, end = (str(week["monday"]), str(week["sunday"])) if scope == "week" else (f"{day[:4]}-01-01", f"{day[:4]}-12-31")
     rows, malformed = readers.read_tles(spark, tles, start, end)
     elements, rejects = drift.parse_tle(rows, strict=False)
-    report = drift.drift_report(elements, wrap)
+    # Decoded once; the report reads its elements twice.
+    elements.write.mode("overwrite").parquet(f"{out}/elements/week={week['label']}")
+    report = drift.drift_report(spark.read.schema(elements.schema).parquet(f"{out}/elements/week={week['label']}"), wrap)
     writers.write_weekly_report(report, out, week["label"])
     return report, malformed.unionByName(rejects)

@@ -169,10 +169,11 @@ def orbit_health(spark, sf_dir):
 
 
 @registered(f"""WITH {ENRICHED}, s AS (SELECT satellite_id, orbit_type, count(*) AS n, avg(altitude_km) AS a FROM enriched WHERE strftime(ts, '%Y-%m-%d') = '2024-01-10' GROUP BY ALL)
-SELECT count(DISTINCT satellite_id) AS satellites_tracked, sum(n)::BIGINT AS total_positions, round(avg(a), 1) AS avg_altitude_km FROM s""")
+SELECT count(DISTINCT satellite_id) AS satellites_tracked, sum(n)::BIGINT AS total_positions, round(avg(a), 1) AS avg_altitude_km,
+  (SELECT '{{' || string_agg('"' || orbit_type || '":' || m::VARCHAR, ',' ORDER BY orbit_type) || '}}' FROM (SELECT orbit_type, round(avg(a), 1) AS m FROM s GROUP BY orbit_type)) AS orbit_altitudes FROM s""")
 def daily_summary(spark, sf_dir):
     day = marts.one_day(enriched(spark, sf_dir), "2024-01-10")
-    return marts.daily_summary(marts.satellite_stats(day)).select("satellites_tracked", "total_positions", "avg_altitude_km")
+    return marts.daily_summary(marts.satellite_stats(day)).select("satellites_tracked", "total_positions", "avg_altitude_km", "orbit_altitudes")
 
 
 # --- Anomalies ----------------------------------------------------------------------------------------------------
@@ -229,12 +230,20 @@ def elements(spark, sf_dir):
     """Element sets landed as JSON lines by date, read back and decoded."""
     from .sources import readers
 
-    rows = X.tle_rows(spark, sf_dir).withColumn("date", F.to_date("ingestion_time"))
+    rows = X.tle_rows(spark, sf_dir).drop("event_type").withColumn("date", F.to_date("ingestion_time"))
     root = f"{scratch_dir(spark)}/apsis/tle-{uuid.uuid4().hex}"
     rows.repartition("date").write.partitionBy("date").json(root)
     return drift.parse_tle(readers.read_tles(spark, root)[0])[0]
 
 
+def decoded(spark, sf_dir):
+    """The same elements, decoded and written once, for queries that read them more than once."""
+    root = f"{scratch_dir(spark)}/apsis/elements-{uuid.uuid4().hex}"
+    found = elements(spark, sf_dir)
+    found.write.parquet(root)
+    return spark.read.schema(found.schema).parquet(root)
+
+
 @registered(f"WITH {TLES} SELECT satellite_id, epoch_us, round(mean_motion, 6) AS mean_motion, round(eccentricity, 8) AS eccentricity, round(inclination, 4) AS inclination, round(raan, 4) AS raan, rev_number::INTEGER AS rev_number, 0.0001027 AS bstar FROM tle")
 def parse_tle(spark, sf_dir):
     r = lambda c, n: F.round(c, n).alias(c)
@@ -243,21 +252,25 @@ def parse_tle(spark, sf_dir):
 
 _ORDER = "PARTITION BY satellite_id ORDER BY epoch_us, mean_motion, eccentricity, inclination, raan, arg_perigee"
 DRIFT = f"""{TLES}, pairs AS (SELECT *, (epoch_us - lag(epoch_us) OVER w)::DOUBLE / 86400000000 AS days, mean_motion - lag(mean_motion) OVER w AS dm, inclination - lag(inclination) OVER w AS di,
-  eccentricity - lag(eccentricity) OVER w AS de, raan - lag(raan) OVER w AS dr FROM tle WINDOW w AS ({_ORDER})),
-drift AS (SELECT satellite_id, epoch_us, round(days::DECIMAL(20, 10), 4)::DOUBLE AS dt_days, round(dm / days, 6) AS mm, round(di / days, 6) AS inc, round(de / days, 8) AS ecc, round(dr / days, 6) AS rd FROM pairs WHERE days > 0)"""
+  eccentricity - lag(eccentricity) OVER w AS de, raan - lag(raan) OVER w AS dr, arg_perigee - lag(arg_perigee) OVER w AS da, lag(epoch_us) OVER w AS from_us FROM tle WINDOW w AS ({_ORDER})),
+drift AS (SELECT satellite_id, from_us, epoch_us, da / days AS ap, round(days::DECIMAL(20, 10), 4)::DOUBLE AS dt_days, round(dm / days, 6) AS mm, round(di / days, 6) AS inc, round(de / days, 8) AS ecc, round(dr / days, 6) AS rd FROM pairs WHERE days > 0)"""
 
 
-@registered(f"WITH {DRIFT} SELECT satellite_id, epoch_us, dt_days, round(mm::DECIMAL(20, 10), 4)::DOUBLE AS mean_motion_drift, round(inc::DECIMAL(20, 10), 3)::DOUBLE AS inclination_drift, round(ecc::DECIMAL(20, 10), 6)::DOUBLE AS eccentricity_drift, round(rd::DECIMAL(20, 10), 2)::DOUBLE AS raan_drift FROM drift")
+@registered(f"""WITH {DRIFT} SELECT satellite_id, from_us, epoch_us, dt_days, round(mm::DECIMAL(20, 10), 5)::DOUBLE AS mean_motion_drift, round(inc::DECIMAL(20, 10), 4)::DOUBLE AS inclination_drift,
+  round(ecc::DECIMAL(20, 10), 7)::DOUBLE AS eccentricity_drift, round(round(rd, 6)::DECIMAL(20, 10), 4)::DOUBLE AS raan_drift, round(round(ap, 6)::DECIMAL(20, 10), 4)::DOUBLE AS arg_perigee_drift, 0.0::DOUBLE AS bstar_drift FROM drift""")
 def tle_drift(spark, sf_dir):
     r = lambda c, n: F.round(c, n).alias(c)
-    return drift.tle_drift(elements(spark, sf_dir)).select("satellite_id", F.unix_micros("to_epoch").alias("epoch_us"), "dt_days", r("mean_motion_drift", 4), r("inclination_drift", 3), r("eccentricity_drift", 6), r("raan_drift", 2))
+    return drift.tle_drift(decoded(spark, sf_dir)).select(
+        "satellite_id", F.unix_micros("from_epoch").alias("from_us"), F.unix_micros("to_epoch").alias("epoch_us"), "dt_days",
+        r("mean_motion_drift", 5), r("inclination_drift", 4), r("eccentricity_drift", 7), r("raan_drift", 4), r("arg_perigee_drift", 4), r("bstar_drift", 8),
+    )
 
 
 @registered(f"""WITH {DRIFT}, f AS (SELECT satellite_id, count(*) AS drifts, sum((abs(mm) > 0.001)::INT + (abs(inc) > 0.01)::INT + (abs(ecc) > 0.0001)::INT)::BIGINT AS flags FROM drift GROUP BY satellite_id)
 SELECT t.satellite_id, count(*) AS tle_count, coalesce(max(drifts), 0)::BIGINT AS drifts, coalesce(max(flags), 0)::BIGINT AS flags, coalesce(max(flags), 0) > 0 AS anomaly_detected, round(round(avg(mean_motion)::DECIMAL(20, 10), 6), 5)::DOUBLE AS mean_mean_motion, round(round(avg(inclination)::DECIMAL(20, 10), 4), 3)::DOUBLE AS mean_inclination,
   min(epoch_us) AS first_us, max(epoch_us) AS last_us FROM tle t LEFT JOIN f USING (satellite_id) GROUP BY t.satellite_id""")
 def drift_report(spark, sf_dir):
-    report = drift.drift_report(elements(spark, sf_dir))
+    report = drift.drift_report(decoded(spark, sf_dir))
     return report.select(
         "satellite_id", "tle_count", F.size("drift_analysis").cast("bigint").alias("drifts"), F.size("anomaly_flags").cast("bigint").alias("flags"), "anomaly_detected",
         F.round("summary.mean_mean_motion", 5).alias("mean_mean_motion"), F.round("summary.mean_inclination", 3).alias("mean_inclination"), F.unix_micros("analysis_period.start").alias("first_us"), F.unix_micros("analysis_period.end").alias("last_us"),
@@ -271,6 +284,19 @@ def changed_tles(spark, sf_dir):
     return drift.changed_tles(X.tle_rows(spark, sf_dir)).groupBy("satellite_id").agg(F.count("*").alias("changes"))
 
 
+@registered(f"""WITH {POS}, l AS (SELECT satellite_id, event_id, seconds, ts, CASE WHEN event_type <> 'signup' THEN strftime(make_timestamp((seconds // 86400) * 86400000000 + round_even(round((seconds % 86400)::DOUBLE / 86400, 8) * 86400000000, 0)::BIGINT), '%Y-%m-%dT%H:%M:%SZ') END AS epoch FROM pos)
+SELECT satellite_id, count(epoch) AS sets, min(epoch) AS first_epoch, max(epoch) AS last_epoch, count(*) FILTER (epoch IS NULL)::BIGINT AS rejected FROM l GROUP BY satellite_id""")
+def normalize_tle(spark, sf_dir):
+    """The TLE feed: answers of signup events are cut short, and are rejects."""
+    rows = X.tle_rows(spark, sf_dir).select("satellite_id", F.lit("unnamed").alias("default_name"), "ingestion_time", "satellite_name", "tle_line1", "tle_line2", "event_type")
+    body = F.to_json(F.struct(F.concat(F.lit(" "), F.col("satellite_name")).alias("name"), F.col("tle_line1").alias("line1"), F.concat(F.col("tle_line2"), F.lit(" ")).alias("line2")))
+    payloads = rows.withColumn("payload", F.when(F.col("event_type") == "signup", F.concat(F.lit('{"id": '), F.col("satellite_id").cast("string"), F.lit(", "), body)).otherwise(body))
+    good = feeds.normalize_tle(payloads).groupBy("satellite_id").agg(F.count("epoch").alias("sets"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"))
+    bad = feeds.rejected(payloads, "tle").select(F.regexp_extract("raw", "[0-9]+", 0).cast("int").alias("satellite_id")).groupBy("satellite_id").agg(F.count("*").alias("rejected"))
+    both = good.join(bad, "satellite_id", "full_outer")
+    return both.select("satellite_id", F.coalesce("sets", F.lit(0)).alias("sets"), "first_epoch", "last_epoch", F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
 # --- Views --------------------------------------------------------------------------------------------------------
 
 

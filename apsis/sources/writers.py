@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.positions import to_archive
 
 
+def in_key_order(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of one key in one partition and in order, as a keyed log wants them. Use it right before a keyed sink."""
+    return rows.repartition(key).sortWithinPartitions(key, order)
+
+
 def write_messages(messages: DataFrame, where: str, kind: str = "files", servers: str = "localhost:9092") -> None:
     """Keyed messages (key, value) to a JSON folder or a topic."""
     if kind == "kafka":
@@ -16,11 +21,11 @@ def write_messages(messages: DataFrame, where: str, kind: str = "files", servers
         messages.write.mode("append").json(where)
 
 
-def write_positions_archive(enriched: DataFrame, root: str, batch_id: int | None = None, by: tuple[str, ...] = ("date", "satellite_id")) -> None:
-    """Appends to the archive by date and satellite, rows of one folder in one task. With a batch id, a replayed
+def write_positions_archive(enriched: DataFrame, root: str, batch_id: int | None = None, by: tuple[str, ...] = ("date", "satellite_id"), tasks: int = 1) -> None:
+    """Appends to the archive by date and satellite; the rows of one folder are dealt over at most `tasks` tasks, and so files. With a batch id, a replayed
     micro-batch replaces its own folder instead of appending twice. With many satellites, partition by date alone: their
     rows are then sorted by satellite within the files, and row-group statistics prune instead of folders."""
-    rows = to_archive(enriched).repartition(*by).sortWithinPartitions(*by, "satellite_id", "timestamp")
+    rows = to_archive(enriched).repartition(*by, F.pmod(F.xxhash64("satellite_id", "timestamp"), F.lit(tasks))).sortWithinPartitions(*by, "satellite_id", "timestamp")
     if batch_id is None:
         rows.write.mode("append").partitionBy(*by).parquet(root)
     else:

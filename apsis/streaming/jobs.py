@@ -32,7 +32,8 @@ def start_enrichment(messages: DataFrame, archive: str, topic: str, rejects: str
             rows, malformed = positions.decode(batch, S.POSITION)
             good, invalid = positions.validate_positions(rows)
             enriched = positions.enrich_positions(good)
-            positions.to_messages(positions.to_enriched_message(enriched), "satellite_id").write.mode("overwrite").json(f"{topic}/batch={batch_id}")
+            ordered = writers.in_key_order(positions.to_enriched_message(enriched), "satellite_id", "timestamp")
+            positions.to_messages(ordered, "satellite_id").write.mode("overwrite").json(f"{topic}/batch={batch_id}")
             writers.write_positions_archive(enriched, archive, batch_id, by)
             malformed.unionByName(invalid).write.mode("overwrite").json(f"{rejects}/batch={batch_id}")
         finally:
@@ -48,8 +49,9 @@ def alert_stream(enriched_messages: DataFrame, watermark: str = "30 seconds", ex
     return anomaly.detect_anomalies(anomaly.sliding_stats(flat, watermark=watermark), expected)
 
 
-def start_alerts(enriched_messages: DataFrame, events: str, out: str, checkpoint: str, seconds: int | None = None, mode: str = "all"):
-    """Alerts and their space-weather correlations. The event table is read anew in each micro-batch."""
+def start_alerts(enriched_messages: DataFrame, events: str, out: str, checkpoint: str, seconds: int | None = None, mode: str = "all", topic: str | None = None):
+    """Alerts and their space-weather correlations, as rows and, with a topic, as messages keyed by satellite. The event
+    table is read anew in each micro-batch. Undecodable messages are filed by start_rejects."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -57,12 +59,21 @@ def start_alerts(enriched_messages: DataFrame, events: str, out: str, checkpoint
             known = batch.sparkSession.read.schema(S.EVENT).json(events)
             every = anomaly.all_alerts(batch, anomaly.correlate_space_weather(batch, known, mode))
             every.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            if topic:
+                written = batch.sparkSession.read.parquet(f"{out}/batch={batch_id}")
+                positions.to_messages(writers.in_key_order(written, "satellite_id", "detected_at"), "satellite_id").write.mode("overwrite").json(f"{topic}/batch={batch_id}")
         finally:
             batch.unpersist()
 
     return _trigger(alert_stream(enriched_messages).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint), seconds).start()
 
 
+def start_rejects(messages: DataFrame, schema: str, rejects: str, checkpoint: str, seconds: int | None = None):
+    """Files the messages of a stream that a schema cannot decode: source, reason, raw."""
+    _, bad = positions.decode(messages, schema)
+    return _trigger(bad.writeStream.format("json").option("path", rejects).option("checkpointLocation", checkpoint), seconds).start()
+
+
 def new_events(events: DataFrame, column: str = "event_time", look_back: str = "7 days") -> DataFrame:
     """Each event id once over overlapping polls, within the look-back."""
     return events.withWatermark(column, look_back).dropDuplicatesWithinWatermark(["event_id"])
@@ -96,26 +107,53 @@ def changed_lines(rows: DataFrame) -> DataFrame:
     return rows.groupBy("satellite_id").transformWithStateInPandas(LastLine(), schema, "append", "none")
 
 
-def latest_positions(flat: DataFrame, ttl_seconds: int = 60) -> DataFrame:
-    """Pushes the latest position per satellite whenever a newer one comes; its state is dropped after the time to live."""
+def keyed_state(rows: DataFrame, key: str, order: str, columns: list[str], ttl_seconds: int, merge: bool = False) -> DataFrame:
+    """Keeps the latest row per key (by order, a bigint) and emits it whenever it changes; its state is dropped after the time
+    to live. merge: of each column the last value that is not null, as a record that several messages fill in."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    types = dict(rows.dtypes)
+    kept = ", ".join(f"{c} {types[c]}" for c in [order, *columns])
+
     class Latest(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.seen = handle.getValueState("seen", "timestamp bigint", ttlDurationMs=ttl_seconds * 1000)
+            self.seen = handle.getValueState("seen", kept, ttlDurationMs=ttl_seconds * 1000)
 
-        def handleInputRows(self, key, batches, timerValues):
+        def handleInputRows(self, key_values, batches, timerValues):
             import pandas as pd
 
-            got = pd.concat(list(batches))
-            top = got.sort_values("timestamp", kind="stable").tail(1)
-            seen = self.seen.get()[0] if self.seen.exists() else None
-            if len(top) and (seen is None or int(top["timestamp"].iloc[0]) > seen):
-                self.seen.update((int(top["timestamp"].iloc[0]),))
-                yield top[["satellite_id", "latitude", "longitude", "altitude_km", "timestamp"]]
+            plain = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
+            got = pd.concat(list(batches)).sort_values(order, kind="stable")
+            held = dict(zip([order, *columns], self.seen.get(), strict=True)) if self.seen.exists() else None
+            now = dict(held or {})
+            for row in got[[order, *columns]].to_dict("records"):
+                row = {c: plain(v) for c, v in row.items()}
+                newer = not now or row[order] > now[order]
+                if merge:
+                    now = {c: (row[c] if newer and row[c] is not None or now.get(c) is None else now[c]) for c in row} | {order: max(row[order], now.get(order, row[order]))}
+                elif newer:
+                    now = row
+            if now and now != held:
+                self.seen.update(tuple(now[c] for c in [order, *columns]))
+                yield pd.DataFrame({key: [key_values[0]], **{c: pd.Series([now[c]], dtype=object if now[c] is None else None) for c in [order, *columns]}})
 
         def close(self) -> None:
             pass
 
-    rows = flat.select("satellite_id", "latitude", "longitude", "altitude_km", "timestamp")
-    return rows.groupBy("satellite_id").transformWithStateInPandas(Latest(), "satellite_id int, latitude double, longitude double, altitude_km double, timestamp bigint", "append", "processingTime")
+    chosen = rows.select(key, order, *columns).where(F.col(key).isNotNull() & F.col(order).isNotNull())
+    return chosen.groupBy(key).transformWithStateInPandas(Latest(), f"{key} {types[key]}, {kept}", "append", "processingTime")
+
+
+def latest_positions(flat: DataFrame, ttl_seconds: int = 60) -> DataFrame:
+    """The latest position per satellite, pushed whenever a newer one comes."""
+    return keyed_state(flat, "satellite_id", "timestamp", ["latitude", "longitude", "altitude_km"], ttl_seconds)
+
+
+def latest_metadata(flat: DataFrame, ttl_seconds: int = 3600, columns: tuple[str, ...] = ("satellite_name", "orbit_type")) -> DataFrame:
+    """What is known of each satellite: the last value of every field that has one, and when it was last seen."""
+    return keyed_state(flat, "satellite_id", "timestamp", list(columns), ttl_seconds, merge=True)
+
+
+def live_events(events: DataFrame, ttl_seconds: int = 72 * 3600) -> DataFrame:
+    """Active space-weather events by id, pushed when they come or change. events: event_id, ingested (epoch seconds), ..."""
+    return keyed_state(events, "event_id", "ingested", ["event_type", "severity", "start_time", "end_time"], ttl_seconds)

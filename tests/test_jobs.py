@@ -59,12 +59,34 @@ def test_alert_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, "A", 1.0, 2.0, 400.0 + 10 * k, base + k, "x", "t") for k in range(4)] + [(1, "A", 1.0, 2.0, 400.0, base + 600, "x", "t")], "satellite_id int, satellite_name string, latitude double, longitude double, altitude_km double, timestamp bigint, source string, ingestion_time string")
     positions.to_messages(positions.to_enriched_message(positions.enrich_positions(rows)), "satellite_id").write.json(f"{tmp_path}/in")
     spark.createDataFrame([("e1", "FLR", "2024-01-15T11:00:00Z", "extreme", "t")], "event_id string, event_type string, start_time string, severity string, ingestion_time string").write.json(f"{tmp_path}/events")
-    query = jobs.start_alerts(readers.read_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/events", f"{tmp_path}/out", f"{tmp_path}/cp")
+    with open(f"{tmp_path}/in/bad.json", "w") as f:
+        f.write('{"key": "1", "value": "{broken"}\n')
+    query = jobs.start_alerts(readers.read_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/events", f"{tmp_path}/out", f"{tmp_path}/cp", topic=f"{tmp_path}/topic")
     query.awaitTermination()
+    jobs.start_rejects(readers.read_stream(spark, f"{tmp_path}/in"), S.ENRICHED, f"{tmp_path}/rejects", f"{tmp_path}/cp2").awaitTermination()
+    assert [r["raw"] for r in spark.read.json(f"{tmp_path}/rejects").collect()] == ["{broken"]
     found = spark.read.parquet(f"{tmp_path}/out")
     kinds = {r["alert_type"]: r["count"] for r in found.groupBy("alert_type").count().collect()}
     assert kinds["ALTITUDE_ANOMALY"] == 6 and kinds["SPACE_WEATHER_CORRELATION"] == 1
     assert found.where("alert_type = 'ALTITUDE_ANOMALY'").first()["details"]["samples"] == 4
+    messages = spark.read.schema("key string, value string").json(f"{tmp_path}/topic").select("key", F.from_json("value", S.ALERT).alias("a")).collect()
+    assert len(messages) == found.count() and {m["key"] for m in messages} == {"1"} and {m["a"]["alert_id"] for m in messages} == {r["alert_id"] for r in found.collect()}
+
+
+def test_late_rows_are_left_out_of_closed_windows(spark, tmp_path):
+    """A row behind the watermark of an earlier batch joins no window; one within it does."""
+    base = int(dt.datetime(2024, 1, 15, 12, tzinfo=dt.UTC).timestamp())
+    schema = "satellite_id int, satellite_name string, latitude double, longitude double, altitude_km double, timestamp bigint, source string, ingestion_time string"
+    (tmp_path / "in").mkdir()
+    source = readers.read_stream(spark, f"{tmp_path}/in", most_per_trigger=1)
+    for batch in ([400.0, 410.0], None, [420.0, 430.0], None):
+        rows = [(1, "A", 1.0, 2.0, a, base + k, "x", "t") for k, a in enumerate(batch)] if batch else [(2, "B", 1.0, 2.0, 400.0, base + (200 if len(list((tmp_path / "in").glob("*.json"))) < 2 else 900), "x", "t")]
+        messages = positions.to_messages(positions.to_enriched_message(positions.enrich_positions(spark.createDataFrame(rows, schema))), "satellite_id")
+        messages.coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        query = jobs.alert_stream(source).writeStream.format("json").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+    # Two samples in time and two late ones: never the three that an alert needs.
+    assert spark.read.schema(S.ALERT).json(f"{tmp_path}/out").where("satellite_id = 1").count() == 0
 
 
 def run(query_frame, tmp_path, name):
@@ -112,5 +134,33 @@ def test_sources(spark, tmp_path):
     assert readers.read_payloads(spark, f"{tmp_path}/p.txt").first()["payload"] == '{"message": "success"}'
     writers.write_messages(spark.createDataFrame([("1", "{}")], "key string, value string"), f"{tmp_path}/log")
     assert readers.read_log(spark, f"{tmp_path}/log").count() == 1
-    assert readers.local_rows(spark, [(1,)], "a int").count() == 1
     assert len(S.GEO_REGIONS) == 17
+
+
+def until_read(query):
+    for _ in range(240):
+        if any(p.numInputRows for p in query.recentProgress):
+            break
+        time.sleep(0.25)
+    query.stop()
+
+
+def test_metadata_and_event_streams(spark, tmp_path):
+    schema = "satellite_id int, timestamp bigint, satellite_name string, orbit_type string"
+    events = "event_id string, ingested bigint, event_type string, severity string, start_time string, end_time string"
+    batches = [
+        ([(1, 10, "A", None), (None, 11, "x", "x")], [("e", 10, "FLR", "low", "s", None)]),
+        ([(1, 20, None, "LEO")], [("e", 9, "FLR", "old", "s", None), (None, 12, "FLR", "x", "s", None)]),
+        ([(1, 15, "late", None), (2, 5, "B", "GEO")], [("e", 30, "FLR", "high", "s", "t")]),
+    ]
+    for name in ("m", "e"):
+        (tmp_path / name).mkdir()
+    for meta, weather in batches:
+        for name, kind, rows, make in (("m", schema, meta, jobs.latest_metadata), ("e", events, weather, jobs.live_events)):
+            spark.createDataFrame(rows, kind).write.mode("append").json(f"{tmp_path}/{name}")
+            stream = make(spark.readStream.schema(kind).json(f"{tmp_path}/{name}"))
+            until_read(stream.writeStream.format("json").option("path", f"{tmp_path}/out-{name}").option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(processingTime="1 second").start())
+    found = spark.read.schema(schema).json(f"{tmp_path}/out-m").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, 10, "A", None), (1, 20, "A", "LEO"), (2, 5, "B", "GEO")], key=str)
+    found = spark.read.schema(events).json(f"{tmp_path}/out-e").collect()
+    assert sorted((r["event_id"], r["ingested"], r["severity"]) for r in found) == [("e", 10, "low"), ("e", 30, "high")]

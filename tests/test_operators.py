@@ -5,11 +5,17 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from apsis import fixtures as X
 from apsis import schemas as S
 from apsis.functions import tle
-from apsis.operators import anomaly, drift, feeds, health, marts, positions, views
+from apsis.operators import anomaly, drift, feeds, health, marts, positions, tracks, views
+from apsis.sources import readers, writers
+from apsis.sources.scratch import scratch_dir
+
+SF = "/root/testdata/sf0.001"
 
 T0 = dt.datetime(2024, 1, 15, 12)
 
@@ -174,3 +180,70 @@ def test_tracked_satellites(spark):
     lists = spark.createDataFrame([("25544, x,,99999",)], "satellites string")
     catalogue = spark.createDataFrame(list(S.CATALOGUE.items()), "satellite_id int, satellite_name string")
     assert {tuple(r) for r in positions.tracked_satellites(lists, catalogue).collect()} == {(25544, "ISS"), (99999, "SAT-99999")}
+
+
+def test_previous_rows_over_chunks(spark):
+    rows = [(k % 3 if k % 5 else None, k, float(k * 7 % 11)) for k in range(90)] + [(1, None, 0.5), (1, None, 0.25), (7, 5, None)]
+    table = spark.createDataFrame(rows, "k int, t int, v double")
+    got = tracks.with_previous(table, "k", ["t", "v"], ["v"], F.floor(F.col("t") / 10), "before").select("k", "t", "v", F.col("before.v").alias("before"), F.col("before").isNull().alias("first"))
+    track = Window.partitionBy("k").orderBy("t", "v")
+    want = table.select("k", "t", "v", F.lag("v").over(track).alias("before"), (F.row_number().over(track) == 1).alias("first"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_lines_are_decoded_once_a_row(spark, tmp_path):
+    rows = X.tle_rows(spark, SF).drop("event_type").withColumn("date", F.to_date("ingestion_time"))
+    rows.write.partitionBy("date").json(f"{tmp_path}/tle")
+    elements = drift.parse_tle(readers.read_tles(spark, f"{tmp_path}/tle")[0])[0]
+    plan = drift.drift_report(elements)._jdf.queryExecution().optimizedPlan().toString()
+    # Two scans of what is read twice; each decodes a line's checksums and fields once.
+    assert plan.count("from_json") == 0 and plan.count("_fault") and plan.count("Generate inline") == 2
+    assert plan.count("translate(") <= 2 * 2 * 4
+    weather = feeds.normalize_events(X.event_payloads(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert weather.count("from_json(") == 1
+
+
+def test_feeds_file_what_is_no_json(spark):
+    payloads = spark.createDataFrame([(1, "A", '{"name": " ", "line1": " 1 x ", "line2": "2 y"}', "t"), (2, "B", '{"name": "b", "line1": "", "line2": "2"}', "t"), (3, "C", "{broken", "t"), (4, "D", None, "t"), (5, "E", '{"line1": "1"}', "t")], "satellite_id int, default_name string, payload string, ingestion_time string")
+    good = feeds.normalize_tle(payloads).collect()
+    assert [(r["satellite_id"], r["satellite_name"], r["tle_line1"], r["tle_line2"]) for r in good] == [(1, "A", "1 x", "2 y")]
+    assert sorted((r["reason"], r["raw"]) for r in feeds.rejected(payloads, "tle").collect()) == [("malformed JSON", "{broken"), ("no payload", None)]
+    events = spark.createDataFrame([("FLR", '{"flrID": "f", "startTime": "2024-01-01T00:00Z"}', "t"), ("FLR", "[1, 2", "t")], "event_type string, payload string, ingestion_time string")
+    assert feeds.normalize_events(events).count() == 1 and feeds.rejected(events, "donki").count() == 1
+
+
+def test_ids_may_come_under_an_alias(spark):
+    rows = spark.read.json(spark.sparkContext.parallelize(['{"satellite_id": 1, "satelliteName": "A"}', '{"satelliteId": 2, "satellite_name": "B"}', '{"satellite_id": 0, "satelliteId": 3, "satellite_name": "", "satelliteName": "C"}', '{"satellite_name": "none"}']))
+    assert sorted(tuple(r) for r in views.with_ids(rows).select("satellite_id", "satellite_name").collect()) == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_active_events_are_listed_by_start(spark):
+    events = spark.createDataFrame([("a", "2024-01-01"), ("b", None), ("c", "2024-01-03"), ("d", "2024-01-03")], "event_id string, start_time string")
+    assert [r["event_id"] for r in views.listed_events(events).collect()] == ["c", "d", "a", "b"]
+
+
+def test_points_meet_the_first_of_overlapping_boxes_once(spark):
+    points = spark.createDataFrame([(1, 5.0, 5.0), (1, 5.0, 5.0), (2, 50.0, 50.0), (3, None, 1.0), (4, 10.0, -10.0)], "p int, latitude double, longitude double").withColumn("name", F.lit("own"))
+    boxes = spark.createDataFrame([(2, 0.0, 20.0, -20.0, 20.0, "B", "b", "r"), (1, 4.0, 6.0, 4.0, 6.0, "A", "a", "r")], "priority int, lat_min double, lat_max double, lon_min double, lon_max double, code string, name string, region string")
+    got = positions.geo_join(points, boxes)
+    assert sorted((r["p"], r["country_code"]) for r in got.collect()) == [(1, "A"), (1, "A"), (2, None), (3, None), (4, "B")]
+    assert "Exchange hashpartitioning(_n" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_archive_folders_are_dealt_over_tasks(spark, tmp_path):
+    enriched = positions.enrich_positions(X.positions(spark, SF))
+    writers.write_positions_archive(enriched, f"{tmp_path}/a", by=("date",), tasks=3)
+    table = spark.read.parquet(f"{tmp_path}/a")
+    counts = health.partition_counts(table, files=True).collect()
+    assert sum(r["rows"] for r in counts) == enriched.count() and 1 < max(r["files"] for r in counts) <= 3
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    class Fake:
+        def __init__(self, master, folder):
+            self.sparkContext = type("C", (), {"master": master})
+            self.conf = type("C", (), {"get": staticmethod(lambda key, default: folder)})
+
+    assert scratch_dir(Fake("spark://x", "file:///s/")) == "file:///s" and scratch_dir(Fake("local[4]", None)).startswith("file:")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(Fake("spark://x", None))
