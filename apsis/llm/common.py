@@ -35,11 +35,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def beside(rows: DataFrame, key: str, spread: str, salts: int = 64, **wanted: tuple[str, Column]) -> DataFrame:
-    """rows with columns (name: ("min" | "max" | "count", column)) of all rows that share their key.
+    """rows with columns (name: ("min" | "max" | "sum" | "count", column)) of all rows that share their key.
 
     Like a window over the key, but rows of one key are dealt over salts by a hash of the column `spread`, so a key with a
     third of all rows is no single task: partial results per (key, salt) are merged and go back to those salts alone."""
-    kinds = {"min": (F.min, F.min), "max": (F.max, F.max), "count": (F.count, F.sum)}
+    kinds = {"min": (F.min, F.min), "max": (F.max, F.max), "sum": (F.sum, F.sum), "count": (F.count, F.sum)}
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     parts = salted.groupBy(key, "_salt").agg(*[kinds[kind][0](column).alias(name) for name, (kind, column) in wanted.items()])
     whole = parts.groupBy(key).agg(*[kinds[kind][1](name).alias(name) for name, (kind, _) in wanted.items()], F.collect_list("_salt").alias("_salts"))

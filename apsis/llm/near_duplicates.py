@@ -4,12 +4,12 @@
 2. Per document: a content key and a signature of `bands * rows` consistent weighted samples.
 3. Documents of equal content form a class; only class representatives go on, each named by its id and content key.
 4. Bands are buckets. Every representative is verified against one bucket leader (the one it meets in most bands); linked
-   documents are labelled by connected components. In buckets that still hold several labels, members of different labels
-   whose signatures agree often enough are verified too, the likeliest first, in rounds until no such pair is left.
+   documents are labelled by connected components. Buckets that still hold several labels are compared in blocks of
+   bounded size: members of different labels are verified there if their signatures agree often enough, the likeliest first.
 5. Every link is verified by exact weighted Jaccard similarity on whole texts; components of all links are the classes.
 
-Candidates are chosen on signatures alone; texts move once a verified pair. A group of many copies is one row, and one of
-many near copies costs about a link each. Contents, buckets, hubs and leaders that many rows share are dealt over salts.
+A group of many copies is one row, and one of many near copies costs about a link each: no pair within one label is made, and a
+block gives fewer links than it has members. Contents, buckets, hubs and leaders that many rows share are dealt over salts.
 
 Weights are tf * idf, idf = ln(1 + N / df) over that of a rare shingle. df counts contexts: a phrase that many unlike
 texts use follows many different words, while the shingles of copies follow the same word in every copy, so a group of copies
@@ -40,12 +40,10 @@ WIDTH, DEPTH, CHUNK = 1 << 21, 2, 1 << 15
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 TABLE = 1 << 12
-#: Members of one bucket block (two megabytes of signatures).
-BLOCK = 4096
+#: Members, and bytes of their texts, of one bucket block, about.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Over how many tasks at most the texts compared with one text are dealt.
 SALTS = 64
-#: Candidates a member may name per bucket block in each round of verification; the last round names all.
-ROUNDS = (4, None)
 _G = U64(0x9E3779B97F4A7C15)
 
 
@@ -219,9 +217,10 @@ def _sign(rows: DataFrame, shared, size: int) -> DataFrame:
                 for i in range(part.num_rows):
                     hashes, tf = s.counted(i)
                     signs.append(signature(hashes, weights.of(hashes, tf)).tobytes() if len(hashes) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.contents(), pa.binary()), pa.array(signs, pa.binary())], names=["_id", "content", "sign"])
+                length = pa.array(np.diff(s.words.offsets))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.contents(), pa.binary()), pa.array(signs, pa.binary()), length], names=["_id", "content", "sign", "length"])
 
-    return rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, content binary, sign binary")
+    return rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, content binary, sign binary, length bigint")
 
 
 def _with_content(rows: DataFrame, text: str = "_text") -> DataFrame:
@@ -266,17 +265,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, shared, size: int, threshold: fl
     return run_rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _candidates(members: DataFrame, least: float, most: int | None) -> DataFrame:
-    """members: key, n (members of the bucket), band, node, label, sign. Pairs (a, b) of members of one bucket with different labels whose signatures agree
-    in a share of `least` or more of the samples: for each member its `most` likeliest partners in a block (None: all),
-    and whether it has more.
+def _block_links(members: DataFrame, shared, size: int, threshold: float, least: float) -> DataFrame:
+    """members: key, n and bytes (of all members of the bucket), band, node, label, sign, _text. Links (a, b) between members
+    of one bucket with different labels.
 
-    Buckets are cut into blocks of about BLOCK members by hash; every two blocks of a bucket meet in one group of
-    bounded size. A pair is looked at in the first band only that it shares."""
-    sized = members.withColumn("cuts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    Buckets are cut by hash into blocks of about BLOCK members or BLOCK_BYTES of text; every two blocks of a bucket meet in
+    one group of bounded size. A pair is looked at in the first band only that it shares, verified if its signatures agree
+    in a share of `least` or more of the samples, and skipped once the group's links have joined its labels."""
+    cuts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))
-    dealt = sized.withColumn("own", own).withColumn("at", F.explode(met)).select("key", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "own", "band", F.xxhash64("label").alias("label"), "sign", "node")
+    dealt = members.withColumn("cuts", cuts).withColumn("own", own).withColumn("at", F.explode(met))
+    dealt = dealt.select("key", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "own", "band", F.xxhash64("label").alias("label"), "sign", "node", "_text")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "node")
     kind = dict(members.dtypes)["node"]
 
@@ -293,34 +293,44 @@ def _candidates(members: DataFrame, least: float, most: int | None) -> DataFrame
             groups = bounds(table)
             rest = table.slice(groups[-1])
             if len(groups) > 1:
-                yield pairs(table.slice(0, groups[-1]).combine_chunks(), groups)
+                yield links(table.slice(0, groups[-1]).combine_chunks(), groups)
         if rest is not None and rest.num_rows:
-            yield pairs(rest.combine_chunks(), [*bounds(rest), rest.num_rows])
+            yield links(rest.combine_chunks(), [*bounds(rest), rest.num_rows])
 
-    def pairs(table: pa.Table, groups: list[int]) -> pa.RecordBatch:
+    def links(table: pa.Table, groups: list[int]) -> pa.RecordBatch:
+        weights: Weights = shared.value
         band, own, x, y, label = (table.column(c).to_numpy() for c in ("band", "own", "x", "y", "label"))
         signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        found: list[np.ndarray] = []
+        texts = table.column("_text")
+        found: list[tuple[int, int]] = []
         for a, b in zip(groups[:-1], groups[1:], strict=True):
             same = x[a] == y[a]
             mid = b if same else a + int((own[a:b] == x[a]).sum())
+            now, sets = label[a:b].copy(), {}
+
+            def parsed(i: int, sets=sets):
+                if i not in sets:
+                    hashes, tf = Shingles(pa.array([texts[i].as_py()], pa.large_string()), size).counted(0)
+                    sets[i] = hashes, weights.of(hashes, tf)
+                return sets[i]
+
             for i in range(a, mid):
                 js = np.arange(i + 1, b) if same else np.arange(mid, b)
-                js = js[label[js] != label[i]]
+                js = js[now[js - a] != now[i - a]]
                 if not len(js):
                     continue
                 agree = signs[js] == signs[i]
                 share = agree.mean(1)
                 likely = np.flatnonzero(share >= least)
                 likely = likely[agree[likely].reshape(len(likely), BANDS, ROWS).all(2).argmax(1) == band[a]]
-                js = js[likely[np.argsort(-share[likely], kind="stable")][:most]]
-                found.append(np.column_stack((np.full(len(js), i), js, np.full(len(js), len(likely) > len(js)))))
-        ends = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+                for j in js[likely[np.argsort(-share[likely], kind="stable")]].tolist():
+                    if now[j - a] != now[i - a] and similarity(parsed(i), parsed(j)) >= threshold:
+                        found.append((i, j))
+                        now[now == now[j - a]] = now[i - a]
         nodes = pa.concat_arrays(table.column("node").chunks) if table.num_rows else pa.array([], table.schema.field("node").type)
-        return pa.RecordBatch.from_arrays([*(nodes.take(pa.array(ends[:, k].astype(np.int64))) for k in (0, 1)), pa.array(ends[:, 2] > 0)], names=["a", "b", "more"])
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)], names=["a", "b"])
 
-    found = dealt.mapInArrow(run, f"a {kind}, b {kind}, more boolean")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, slack: float) -> tuple[DataFrame, DataFrame]:
@@ -332,11 +342,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shin
     signed = materialize(_sign(rows.where("_id is not null"), shared, shingle), "signatures")
     node = F.struct(F.col("rep").alias("id"), F.col("content").alias("content")).alias("node")
     members = materialize(beside(signed.select("_id", "content"), "content", "_id", rep=("min", F.col("_id"))).select("_id", node), "members")
-    reps = signed.where("sign is not null").groupBy("content").agg(F.min("_id").alias("rep"), F.first("sign").alias("sign")).select(node, "sign")
+    reps = signed.where("sign is not null").groupBy("content").agg(F.min("_id").alias("rep"), F.first("sign").alias("sign"), F.max("length").alias("length")).select(node, "sign", "length")
     reps = materialize(reps, "representatives")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.substr("sign", k * (4 * ROWS) + 1, F.lit(4 * ROWS)), k).alias("key")))
-    banded = reps.select("node", F.explode(band).alias("s")).select("node", "s.band", "s.key")
+    banded = reps.select("node", "length", F.explode(band).alias("s")).select("node", "length", "s.band", "s.key")
     met = materialize(beside(banded, "key", "node", n=("count", F.lit(1))).where("n > 1"), "buckets")
     # A bucket's leader is its member with the most bucket neighbours: in a group of near copies, one near the middle.
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -349,22 +359,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shin
 
     # One leader per representative: the one it meets in most bands.
     best = led.groupBy("node").agg(F.mode("leader", deterministic=True).alias("leader"))
-    tried = materialize(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "first-pairs")
-    labels = components(_verify(tried, texts, shared, shingle, threshold))
-    for most in ROUNDS:
-        labelled = met.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
-        ends = materialize(beside(labelled, "key", "node", n=("count", F.lit(1)), lo=("min", F.col("label")), hi=("max", F.col("label"))).where("lo <> hi").drop("lo", "hi"), "mixed-buckets")
-        found = _candidates(ends.join(reps, "node"), threshold - slack, most)
-        both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = materialize(found.join(both, ["a", "b"], "left_anti"), "pairs")
-        seen = found.agg(F.count("*").alias("pairs"), F.max("more").alias("more")).first()
-        if not seen["pairs"]:
-            break
-        tried = both.unionByName(found.select("a", "b"))
-        links = _verify(found, texts, shared, shingle, threshold).unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(links)
-        if not seen["more"]:
-            break
+    pairs = materialize(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "first-pairs")
+    labels = components(_verify(pairs, texts, shared, shingle, threshold))
+    labelled = met.drop("n").join(labels, "node", "left").select("key", "band", "node", "length", F.coalesce("label", "node").alias("label"))
+    mixed = beside(labelled, "key", "node", n=("count", F.lit(1)), bytes=("sum", F.col("length")), lo=("min", F.col("label")), hi=("max", F.col("label"))).where("lo <> hi")
+    active = materialize(mixed.drop("lo", "hi", "length"), "mixed-buckets").join(reps.select("node", "sign"), "node").join(texts, "node")
+    more = materialize(_block_links(active, shared, shingle, threshold, threshold - slack), "more-links")
+    if not more.isEmpty():
+        labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     return members, labels
 
 

@@ -353,7 +353,6 @@ def near_texts(seed=6):
 
 def test_near_duplicates_against_all_pairs(spark, empty, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 3)
-    monkeypatch.setattr(near_duplicates, "ROUNDS", (1, 2, None))
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "loose")], "doc_id bigint, text string").repartition(3)
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs.withColumn("rep_id", F.lit(1)).withColumn("node", F.lit(2))).collect()}
