@@ -27,7 +27,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     made = chat_format.format_conversations(rows)
     turns = chat_format.parse_turns(F.col("formatted"))
-    back = made.select("conv_id", "formatted", turns.alias("turns"), chat_format.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    back = made.select("conv_id", "formatted", "attachments", "attachment_tokens", turns.alias("turns"), chat_format.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -36,6 +36,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("bigint").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        F.size("attachments").cast("bigint").alias("n_attachments"),
+        "attachment_tokens",
     )
 
 
@@ -53,7 +55,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(shown)::BIGINT AS formatted_chars
+  sum(shown)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
 FROM sized GROUP BY conv_id
 """
 

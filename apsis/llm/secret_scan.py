@@ -10,8 +10,8 @@ the texts again. Automata are fitted on a bounded sample (sample_per_kind distin
 longer than max_example characters: parameters), which does not depend on how rows are ordered or dealt to tasks; all
 candidates of all rows are scored.
 
-Cases: null text counts as empty; repeated rows give the same spans; without labelled examples of a kind no format of
-that kind is added; an empty table gives an empty result; extra columns are ignored.
+Cases: null text counts as empty; repeated rows give the same spans; a kind with fewer than min_examples labelled examples
+(a parameter: too few to tell a format) adds no format; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     return materialize(rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, base {span}, others {span}"), "secret-evidence")
 
 
-def learn(found: DataFrame, sample_per_kind: int = 600, max_example: int = 256, margin: float = 0.6, alpha: float = 0.05) -> Formats:
+def learn(found: DataFrame, sample_per_kind: int = 600, max_example: int = 256, margin: float = 0.6, alpha: float = 0.05, min_examples: int = 10) -> Formats:
     """Automata from the labelled base values and the ordinary tokens of an evidence table, which must have been made
     with no smaller sample_per_kind and the same max_example."""
 
@@ -219,7 +219,7 @@ def learn(found: DataFrame, sample_per_kind: int = 600, max_example: int = 256,
         return [r["v"] for r in values.orderBy(rank("v"), "v").limit(sample_per_kind).collect()]
 
     known = {kind: sample("base", kind) for kind in KINDS[:3]}
-    return Formats({k: infer(v, alpha) for k, v in known.items() if len(v) >= 10}, infer(sample("others", "ordinary", F.md5), alpha), margin)
+    return Formats({k: infer(v, alpha) for k, v in known.items() if len(v) >= min_examples}, infer(sample("others", "ordinary", F.md5), alpha), margin)
 
 
 def score(found: DataFrame, formats: Formats, id_col: str = "doc_id") -> DataFrame:
@@ -271,7 +271,8 @@ def redact(docs: DataFrame, formats: Formats, text_col: str = "text", mark: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field(at).type
-            texts = pa.array([clean(t) for t in batch.column(at).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+            for part in blocks(batch, text_col, 8 << 20):
+                texts = pa.array([clean(t) for t in part.column(at).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(part.columns)], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

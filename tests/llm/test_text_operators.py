@@ -190,6 +190,33 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.judge(empty, labels).count() == 0
 
 
+def test_op6_base_columns(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op6_quality_rules(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute_counts(texts[r["doc_id"]])
+        assert {k: r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} == {k: want[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+        assert r["base_failed"] == (want["n_words"] < 20 or 100 * want["n_repeat_words"] > 30 * want["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_the_classifier_solves_the_normal_equations_of_all_training_rows(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    counts = doc_stats.document_counts(docs)
+    model = quality_classifier.learn(counts, labels)
+    rows = counts.toPandas().merge(labels.toPandas(), left_on="_id", right_on="doc_id")
+    rows = rows[[zlib.crc32(str(i).encode()) % 5 != 0 for i in rows["doc_id"]]]
+    x = doc_stats.features({c: rows[c].to_numpy() for c in doc_stats.COUNTS})
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(x.var(0), 1e-6)))
+    z, penalty = model.expand(x), np.full(len(model.weights), 0.3)
+    penalty[0] = 1e-9
+    assert np.allclose(np.linalg.solve(z.T @ z + np.diag(penalty), z.T @ rows["quality"].to_numpy()), model.weights, atol=1e-6)
+    scored = {r["doc_id"]: r for r in queries.op2_quality_classifier(spark, SF).collect()}
+    want = dict(zip(rows["doc_id"], np.round(model.score(x), 6), strict=True))
+    assert all(abs(scored[k]["score"] - v) < 1e-5 and scored[k]["predicted"] == int(scored[k]["score"] >= 0.3) for k, v in want.items())
+
+
 def test_forest_isolates_an_outlier():
     x = np.random.default_rng(1).normal(size=(500, 4))
     x[7] = 9
@@ -237,6 +264,43 @@ def test_secret_scan(spark, empty):
     assert texts[0] == "le mot [secret]\" et" and texts[201] is None and texts[200] == "loose [secret] here"
 
 
+def test_op4_base_columns_are_those_of_the_patterns(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = queries.op4_secret_scan(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute_base(texts[r["doc_id"]])
+        written = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for k, *_ in base) for kind in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(written).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in spans if not x.startswith("format")] == written and len(spans) == len(written) + r["n_format"]
+        text = texts[r["doc_id"]] or ""
+        for x in spans:
+            kind, a, b = x.split(":")
+            if kind == "format":  # a key-like token of its own, no part of a base span
+                assert secret_scan.CANDIDATE.fullmatch(text[int(a) : int(b)]) and not any(int(a) < e and st < int(b) for _, st, e in base)
+
+
+def test_formats_tell_credentials_from_words(spark):
+    """Precision and recall of the added spans on credentials that no base pattern finds, among ordinary long tokens."""
+    r = random.Random(21)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [(k, f"token = {hexes(40)} and AKIA{''.join(r.choice(alphabet) for _ in range(16))}") for k in range(300)]
+    words = ["configuration", "documentation", "internationalization", "section", "chapter", "figure"]
+    rows += [(1000 + k, f"see {r.choice(words)}-{r.choice(words)}-{r.randint(1, 30)} and {hexes(30)}") for k in range(200)]
+    found = {x["doc_id"]: x["spans"] for x in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    right = wrong = 0
+    for k, text in rows[300:]:
+        for s in found[k]:
+            if re.fullmatch("[0-9a-f]{30}", text[s["start"] : s["end"]]):
+                right += 1
+            else:
+                wrong += 1
+    assert right >= 190 and wrong <= 0.05 * right
+
+
 def test_ordinary_tokens_are_sampled_alike_however_rows_are_dealt(spark):
     r = random.Random(9)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(16, 24))) for _ in range(3000)]
