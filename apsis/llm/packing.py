@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import blocks
 
 #: Words a worker remembers; beyond it begins anew.
-CACHE = 600_000
+CACHE = 1_200_000
 _encoders: dict[int, "Encoder"] = {}
 
 
@@ -108,90 +108,105 @@ class Limits:
     loss: int = 1008
 
 
+@dataclass
+class Document:
+    """Ids with the end token; those from `prompt` to the end token bear loss."""
+
+    key: object
+    ids: np.ndarray
+    prompt: int
+
+    def loss(self, a: int, b: int) -> int:
+        return max(0, min(b, len(self.ids) - 1) - max(a, self.prompt))
+
+    def within(self, a: int, b: int, room: int) -> int:
+        """Where the longest piece from a, to b at most, ends that bears loss in at most `room` tokens."""
+        return b if self.loss(a, b) <= room else max(a, self.prompt) + room
+
+
 class Packer:
-    """Packs pieces as they come; keeps at most `pool` of them."""
+    """Packs pieces (document, from, to) as they come; keeps at most `pool` of them."""
 
     def __init__(self, limits: Limits, first_sequence: int, pool: int = 256):
         self.limits, self.next, self.pool = limits, first_sequence, pool
         self.cap = np.array([limits.tokens, limits.segments, limits.loss], np.float64)
         self.size = np.zeros((pool + 1, 3))  # tokens, segments, loss of the pieces at hand
         self.lead = np.zeros(pool + 1, np.int64)  # how many tokens before the first that bears loss
-        self.held: list[tuple] = []  # (row, start, ids, loss mask)
-        self.bin: list[tuple] = []
+        self.held: list[tuple[Document, int, int]] = []
+        self.bin: list[tuple[Document, int, int]] = []
         self.left = self.cap.copy()
-        self.done: list[tuple] = []  # row, start, ids, loss mask, sequence, offset
+        self.done: list[tuple[Document, int, int, int, int]] = []  # document, from, to, sequence, offset
 
-    def add(self, row: tuple, ids: np.ndarray, loss: np.ndarray) -> None:
+    def add(self, doc: Document) -> None:
         """A whole document; what is longer than a sequence fills sequences by itself where the loss limit lets it."""
-        at, whole = 0, self.limits.tokens
-        while at < len(ids):
-            if len(ids) - at >= whole and loss[at : at + whole].sum() <= self.limits.loss:
-                self._emit([(row, at, ids[at : at + whole], loss[at : at + whole])])
-                at += whole
-                continue
-            to = min(len(ids), at + whole)
-            to = at + max(1, int(np.searchsorted(np.cumsum(loss[at:to]), self.limits.loss, "right")))
-            self._hold(row, at, ids[at:to], loss[at:to])
+        at, n, whole = 0, len(doc.ids), self.limits.tokens
+        while at < n:
+            to = doc.within(at, min(n, at + whole), self.limits.loss)
+            if to - at == whole:
+                self._emit([(doc, at, to)])
+            else:
+                self._hold(doc, at, to)
+                while len(self.held) >= self.pool:
+                    self._step()
             at = to
-            while len(self.held) >= self.pool:
-                self._step()
 
-    def _hold(self, row, start, ids, loss) -> None:
+    def _hold(self, doc: Document, a: int, b: int) -> None:
         k = len(self.held)
-        self.size[k] = len(ids), 1, loss.sum()
-        self.lead[k] = int(loss.argmax()) if self.size[k, 2] else len(ids)
-        self.held.append((row, start, ids, loss))
+        self.size[k] = b - a, 1, doc.loss(a, b)
+        self.lead[k] = doc.within(a, b, 0) - a
+        self.held.append((doc, a, b))
 
-    def _take(self, k: int) -> tuple:
+    def _take(self, k: int) -> tuple[Document, int, int]:
         piece, last = self.held[k], len(self.held) - 1
         self.held[k], self.size[k], self.lead[k] = self.held[last], self.size[last], self.lead[last]
         self.held.pop()
         return piece
 
-    def _put(self, row, start, ids, loss) -> None:
-        self.bin.append((row, start, ids, loss))
-        self.left -= len(ids), 1, loss.sum()
+    def _put(self, doc: Document, a: int, b: int) -> None:
+        self.bin.append((doc, a, b))
+        self.left -= b - a, 1, doc.loss(a, b)
 
     def _step(self) -> None:
         """Put one more piece into the open bin, or close it."""
-        size = self.size[: len(self.held)]
+        n = len(self.held)
+        size = self.size[:n]
         fits = (size <= self.left).all(1)
         score = size @ (self.left / self.cap**2)
         if fits.any():
             self._put(*self._take(int(np.argmax(np.where(fits, score, -1)))))
-        elif self.left[1] >= 1 and (self.left[2] >= 1 or self.lead[: len(self.held)].any()):
+        elif self.left[1] >= 1 and (self.left[2] >= 1 or self.lead[:n].any()):
             # Without room for loss, the piece that begins with the most tokens that bear none.
-            row, start, ids, loss = self._take(int(np.argmax(score if self.left[2] >= 1 else self.lead[: len(self.held)])))
-            cut = min(int(self.left[0]), int(np.searchsorted(np.cumsum(loss), self.left[2], "right")))
-            self._put(row, start, ids[:cut], loss[:cut])
-            self._hold(row, start + cut, ids[cut:], loss[cut:])
+            doc, a, b = self._take(int(np.argmax(score if self.left[2] >= 1 else self.lead[:n])))
+            cut = doc.within(a, min(b, a + int(self.left[0])), int(self.left[2]))
+            self._put(doc, a, cut)
+            self._hold(doc, cut, b)
         else:
             self._close()
         if self.left[0] == 0:
             self._close()
 
     def _close(self) -> None:
-        total = sum(len(ids) for _, _, ids, _ in self.bin)
+        total = sum(b - a for _, a, b in self.bin)
         while self.bin:
             take = total if total == self.limits.tokens else 1 << (total.bit_length() - 1)
             part, room = [], take
             while room:
-                row, start, ids, loss = self.bin[0]
-                part.append((row, start, ids[:room], loss[:room]))
-                if len(ids) > room:
-                    self.bin[0] = (row, start + room, ids[room:], loss[room:])
+                doc, a, b = self.bin[0]
+                part.append((doc, a, min(b, a + room)))
+                if b - a > room:
+                    self.bin[0] = (doc, a + room, b)
                 else:
                     self.bin.pop(0)
-                room -= len(part[-1][2])
+                room -= part[-1][2] - a
             self._emit(part)
             total -= take
         self.left = self.cap.copy()
 
-    def _emit(self, part: list[tuple]) -> None:
+    def _emit(self, part: list[tuple[Document, int, int]]) -> None:
         at = 0
-        for row, start, ids, loss in part:
-            self.done.append((row, start, ids, loss, self.next, at))
-            at += len(ids)
+        for doc, a, b in part:
+            self.done.append((doc, a, b, self.next, at))
+            at += b - a
         self.next += 1
 
     def finish(self) -> None:
@@ -224,11 +239,7 @@ def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
                 texts, starts = part.column(1).to_pylist(), part.column(2).to_pylist()
                 prompts = bpe.encode([t[: max(0, k)] for t, k in zip(texts, starts, strict=True)]) if loss_from else texts
                 for key, ids, begin, prompt in zip(part.column(0).to_pylist(), bpe.encode(texts), starts, prompts, strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    loss = np.ones(len(ids), np.int8)
-                    loss[: int(prompt_share * (len(ids) - 1)) if begin < 0 else len(prompt)] = 0
-                    loss[-1] = 0
-                    packer.add((key, len(ids)), ids, loss)
+                    packer.add(Document(key, np.append(ids, np.uint32(end_id)), int(prompt_share * len(ids)) if begin < 0 else min(len(prompt), len(ids))))
                 yield table(packer, kind)
         packer.finish()
         if kind is not None:
@@ -236,20 +247,21 @@ def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
 
     def table(packer: Packer, kind) -> pa.RecordBatch:
         done, packer.done = packer.done, []
-        sizes = np.array([len(x[2]) for x in done], np.int64)
-        ids = np.concatenate([x[2] for x in done]) if done else np.zeros(0, np.uint32)
+        pieces = [doc.ids[a:b] for doc, a, b, *_ in done]
+        sizes = np.array([len(x) for x in pieces], np.int64)
+        ids = np.concatenate(pieces) if done else np.zeros(0, np.uint32)
         whole = lambda values: pa.array(values, pa.int64())
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([x[0][0] for x in done], kind),
-                whole([x[1] for x in done]),
+                pa.array([doc.key for doc, *_ in done], kind),
+                whole([a for _, a, *_ in done]),
                 pa.array(sizes),
-                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids.astype(np.int32))),
-                whole([zlib.crc32(x[2].tobytes()) for x in done]),
-                whole([x[0][1] for x in done]),
-                whole([int(x[3].sum()) for x in done]),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids.view(np.int32))),
+                whole([zlib.crc32(x) for x in pieces]),
+                whole([len(doc.ids) for doc, *_ in done]),
+                whole([doc.loss(a, b) for doc, a, b, *_ in done]),
+                whole([x[3] for x in done]),
                 whole([x[4] for x in done]),
-                whole([x[5] for x in done]),
             ],
             names=["_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"],
         )

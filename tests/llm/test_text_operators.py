@@ -615,13 +615,18 @@ def test_packing_keeps_all_three_limits():
     limits = packing.Limits(64, 3, 20)
     packer = packing.Packer(limits, 0, pool=8)
     r = random.Random(8)
-    for k in range(200):
-        ids = np.arange(r.randint(1, 150), dtype=np.uint32)
-        packer.add((k, len(ids)), ids, (np.random.default_rng(k).random(len(ids)) < 0.3).astype(np.int8))
+    docs = [packing.Document(k, np.arange(n, dtype=np.uint32), r.randint(0, n)) for k, n in enumerate(r.choice([1, 2, 10, 70, 150]) for _ in range(200))]
+    for doc in docs:
+        packer.add(doc)
     packer.finish()
-    size, segments = Counter(), Counter()
-    for _, _, ids, _, sequence, _ in packer.done:
-        size[sequence] += len(ids)
+    size, segments, loss, covered = Counter(), Counter(), Counter(), {}
+    for doc, a, b, sequence, offset in packer.done:
+        assert a < b and offset == size[sequence]
+        size[sequence] += b - a
         segments[sequence] += 1
-    assert max(size.values()) <= 64 and max(segments.values()) <= 3
-    assert sum(size.values()) == sum(row[1] for row in {x[0] for x in packer.done})
+        loss[sequence] += sum(doc.prompt <= i < len(doc.ids) - 1 for i in range(a, b))
+        covered.setdefault(doc.key, []).append((a, b))
+    assert (max(size.values()), max(segments.values()), max(loss.values())) == (64, 3, 20)
+    for doc in docs:
+        parts = sorted(covered[doc.key])
+        assert [0, *(b for _, b in parts)] == [*(a for a, _ in parts), len(doc.ids)]
