@@ -79,8 +79,13 @@ def tle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = lambda m: F.format_string("%8.4f", (F.col("event_id") * m % 36000) / F.lit(100.0))
     one = F.concat(F.lit("1 "), number, F.lit("U 98067A   "), epoch, F.lit("  .00001000  00000-0  10270-3 0  999"))
     two = F.concat(F.lit("2 "), number, F.lit(" "), F.format_string("%8.4f", 51 + F.col("k") / 100), F.lit(" "), angle(7), F.lit(" "), F.lpad((F.col("event_id") % 9999).cast("string"), 7, "0"), F.lit(" "), angle(11), F.lit(" "), angle(13), F.lit(" "), F.format_string("%11.8f", 15 + F.col("k") / 1000), F.lpad((F.col("event_id") % 99999).cast("string"), 5, " "))  # noqa: E501
-    closed = lambda line: F.concat(line, tle.checksum(line).cast("string"))
-    return e.select(F.col("user_id").cast("int").alias("satellite_id"), F.concat(F.lit("SAT-"), F.col("user_id").cast("string")).alias("satellite_name"), closed(one).alias("tle_line1"), closed(two).alias("tle_line2"), epoch.alias("epoch"), F.lit("tle-api").alias("source"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ingestion_time"), "event_type")
+    # A generator of one row, so that the checksums look at finished lines.
+    lines = e.select("user_id", "at", "event_type", epoch.alias("epoch"), F.inline(F.array(F.struct(one.alias("one"), two.alias("two")))))
+    closed = lambda line: F.concat(line, tle.checksum(F.col(line)).cast("string"))
+    return lines.select(
+        F.col("user_id").cast("int").alias("satellite_id"), F.concat(F.lit("SAT-"), F.col("user_id").cast("string")).alias("satellite_name"), closed("one").alias("tle_line1"), closed("two").alias("tle_line2"),
+        "epoch", F.lit("tle-api").alias("source"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ingestion_time"), "event_type",
+    )
 
 
 def region_table(spark: SparkSession) -> DataFrame:

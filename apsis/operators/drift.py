@@ -26,10 +26,12 @@ def parse_tle(rows: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFram
     fault = F.when(empty, "incomplete").when(short, "length").when(~one.startswith("1") | ~two.startswith("2"), "line number")
     if strict:
         fault = fault.when(~tle.right_checksum(one) | ~tle.right_checksum(two), "checksum")
-    # A generator of one row: what comes after uses the decoded fields instead of decoding the lines again.
     fields = tle.elements(one, two)
     fields["tle_epoch"] = fields.pop("epoch")
-    decoded = named.select("satellite_id", "satellite_name", "tle_line1", "tle_line2", F.inline(F.array(F.struct(fault.alias("_fault"), *[c.alias(k) for k, c in fields.items()]))))
+    worked = named.select("satellite_id", "satellite_name", "tle_line1", "tle_line2", fault.alias("_fault"), *[c.alias(k) for k, c in fields.items()])
+    # A generator of one row: what comes after uses the decoded fields instead of decoding the lines again.
+    lines = ["satellite_id", "satellite_name", "tle_line1", "tle_line2"]
+    decoded = worked.select(*lines, F.inline(F.array(F.struct("_fault", *fields))))
     no_number = F.col("epoch_time").isNull() | F.col("mean_motion").isNull() | F.col("inclination").isNull() | F.col("eccentricity").isNull()
     decoded = decoded.withColumn("_fault", F.coalesce("_fault", F.when(no_number, "number")))
     rejects = decoded.where("_fault is not null").select(F.lit("tle").alias("source"), F.col("_fault").alias("reason"), F.concat_ws("\n", "tle_line1", "tle_line2").alias("raw"))
