@@ -386,8 +386,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one with the least content key, of several rows with both the least by all columns. Rows without an id all stay."""
     members, labels = _classes(docs, id_col, text_col, threshold, shingle, slack)
     nodes = members.select("node").distinct().join(labels.where("node <> label"), "node", "left_anti")
-    chosen = nodes.select(F.col("node.id").alias("_chosen"), F.col("node.content").alias("_wanted"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    met = docs.select(F.col(id_col).alias("_chosen"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row.alias("_row")).join(chosen, "_chosen")
-    same = _with_content(met).where("_content = _wanted").groupBy("_chosen", "_content").agg(F.min("_row").alias("_row"))
-    return same.select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))
+    clash = members.groupBy("_id").agg((F.min("node.content") != F.max("node.content")).alias("_clash"))
+    chosen = nodes.select(F.col("node.id").alias("_id"), F.col("node.content").alias("_wanted")).join(clash, "_id")
+    chosen = materialize(chosen.withColumnsRenamed({"_id": "_chosen"}), "chosen")
+    rows = docs.select(F.col(id_col).alias("_chosen"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    # An id with one text needs no look at it: its rows are shuffled once, by id.
+    usual = rows.join(chosen.where("not _clash").select("_chosen"), "_chosen").groupBy("_chosen").agg(F.min("_row").alias("_row"))
+    several = rows.join(chosen.where("_clash").drop("_clash"), "_chosen").withColumn("_text", F.coalesce(F.col("_row")[text_col], F.lit("")))
+    several = _with_content(several).where("_content = _wanted").groupBy("_chosen", "_content").agg(F.min("_row").alias("_row"))
+    kept = usual.select("_row.*").unionByName(several.select("_row.*"))
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
