@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir
@@ -27,9 +29,29 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SAME = np.arange(256, dtype=np.uint8)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_temporary: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize writes inside the block, but for kept ones, are removed at its end: nothing lazy that
+    was made inside may be used after it."""
+    paths: list[str] = []
+    _temporary.append(paths)
+    try:
+        yield
+    finally:
+        _temporary.pop()
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write a DataFrame once to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/apsis/{label}-{uuid.uuid4().hex}"
+    if _temporary and not keep:
+        _temporary[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,8 @@ tokens; a cell's weight over its tokens is the rate at which its documents are s
 than all its tokens is sampled whole, and the others share what it lacks in proportion to their targets. Only the cells, never documents, pass through the
 iterations. Cells are bounded: sources beyond the max_sources largest share one margin called `other`, languages and
 topics likewise, so the raked table has at most (max_sources + 1) * (max_langs + 1) * (max_topics + 1) rows. Every
-document keeps its own row and its own draw.
+document keeps its own row and its own draw. Documents meet the table of rates by a join that Spark turns into a broadcast
+while that table is small; beyond it, adaptive execution splits the partitions of large cells.
 
 Cases: null source, language, topic count as the value `none`; null or empty text has no tokens, and such a
 document takes the probability of its cell, 0 if no document of the cell has tokens; repeated rows draw alike, since the draw hashes the id

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from apsis.llm import chat_format, mixing, queries, warc_store
+from apsis.llm import chat_format, common, mixing, queries, warc_store
 
 SF = "/root/testdata/sf0.001"
 ROWS = [(1, 1, "assistant", "b </turn>\n<turn x>"), (1, 0, "user", "\\l \\b <a>\\"), (1, 2, "assistant", None), (2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "assistant", "é🙂\\"), (3, 0, "user", "")]
@@ -218,3 +218,11 @@ def test_pipeline_stages_take_odd_rows(spark):
     for docs in (odd, odd.limit(0)):
         for _, stage in pipeline.STAGES:
             assert stage(spark, docs, SF).count() <= 7 * docs.count() + 200
+
+
+def test_pipeline_leaves_the_rows_of_its_stages_only(spark, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    rows = pipeline.run(spark, SF)
+    assert sorted(name.rsplit("-", 1)[0] for name in os.listdir(f"{tmp_path}/apsis")) == sorted(f"pipeline-{name}" for name, _ in pipeline.STAGES)
+    assert rows.count() > 100
