@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apsis.llm import mixing, near_duplicates, packing, quality_classifier, secret_scan
-from apsis.llm.common import materialize
+from apsis.llm.common import materialize, temporary
 from apsis.llm.queries import VOCABULARY, read
 
 
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary(spark):  # what a stage writes on its way goes once its rows are written
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs
