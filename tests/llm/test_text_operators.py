@@ -630,3 +630,31 @@ def test_packing_keeps_all_three_limits():
     for doc in docs:
         parts = sorted(covered[doc.key])
         assert [0, *(b for _, b in parts)] == [*(a for a, _ in parts), len(doc.ids)]
+
+
+def test_texts_of_megabytes(spark):
+    """Whole long texts, beside short ones, with columns whose names the operators use themselves."""
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefghijklmno") for _ in range(r.randint(3, 9))) for _ in range(4000)]
+    passage = " ".join(r.choice(words) for _ in range(50))
+    text = " ".join(r.choice(words) for _ in range(330_000))
+    cut = len(text) // 2
+    long = text[:cut] + f" {passage} password=abcdefgh123 \n" + text[cut:] + f" {'deadbeef' * 4} the one two three"
+    assert len(long) > 2_000_000
+    texts = [long, "short", f"x {passage} y", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for name in ("_text", "_id", "spans", "base", "n_words", "score", "_block", "content"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    removed = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in substring_dedup.repeated_windows(docs).collect()}
+    assert [removed[k] for k in range(len(texts))] == brute_removal(texts)
+    assert removed[0][1] == removed[2][1] == 50
+    found = {x["doc_id"]: x["spans"] for x in secret_scan.find_secrets(docs).collect()}
+    for k, text in enumerate(texts):
+        assert [(s["kind"], s["start"], s["end"]) for s in found[k] if s["kind"] != "format"] == brute_base(text)
+    for row in doc_stats.document_counts(docs).collect():
+        want = brute_counts(texts[row["_id"]])
+        assert {k: row[k] for k in want} == want
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, 1), (2, 1)], "doc_id bigint, quality int")  # two labels of one document
+    assert quality_classifier.classify(docs, labels).count() == quality_rules.judge(docs, labels).count() == len(texts)
+    marks = {x["doc_id"]: x["fingerprint"] for x in spot_signatures.fingerprints(docs).collect()}
+    assert marks[0] and marks[3] == marks[4] == ""
