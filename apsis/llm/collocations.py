@@ -1,6 +1,6 @@
 """Collocations: the best phrases of two to four words of every language, found best-first.
 
-A phrase is counted only if what is known of its parts leaves it a chance. With a = f(phrase), a cut into l = f(first part) and
+A phrase is counted only if what is known of its parts leaves it a chance; pairs, only of words that occur often enough. With a = f(phrase), a cut into l = f(first part) and
 r = f(rest) scores floor(SCALE * a / (l + r)), and the lowest cut counts. No part of a phrase is rarer than the phrase, and
 x / (x + c) grows with x, so a prefix p bounds every phrase that begins with it: its score is at most
 SCALE * f(p) / (f(p[:k]) + f(p)) for each cut k; suffixes bound alike. A language's threshold starts at the score of a rank
@@ -36,7 +36,7 @@ from .ordering import BROADCAST_ROWS
 TOP, LEAST, WORDS = 2000, 30, 4
 SCALE, LONGER = 2_000_000, 80
 #: Bytes of text in a block; bits of a frontier's filter.
-BLOCK, FILTER_BITS = 8 << 20, 25
+BLOCK, FILTER_BITS = 4 << 20, 25
 
 _STOP, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -69,7 +69,7 @@ class Grams:
         self.end = np.flatnonzero(closes) + 1
         self.lead = lead
         row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.start, offsets)))
-        piece = np.cumsum(stop, dtype=np.int64)[self.start]
+        piece = np.cumsum(stop, dtype=np.int32)[self.start]
         # joined[i]: word i + 1 stands in the same piece as word i.
         self.joined = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
         at = np.concatenate(([0], np.cumsum(self.end - self.start)))
@@ -162,18 +162,16 @@ def _summed(counts: DataFrame, least: int) -> DataFrame:
     return counts.groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("m") == 0))
 
 
-def _short(docs: DataFrame, least: int, limit: int) -> DataFrame:
-    """Words and pairs of words that occur often enough, and all words of a language as its phrase of no words."""
+def _words(docs: DataFrame, least: int, limit: int) -> DataFrame:
+    """Words that occur often enough, and the number of all words of a language as its phrase of no words."""
 
     def work(batches):
         for batch in batches:
             for grams in _grams(batch, limit):
-                grams.extend(2)
                 words = grams.counted(1)
                 totals = pa.table([words.column("lang"), words.column("n")], ["lang", "n"]).group_by("lang").aggregate([("n", "sum")])
                 yield _row(totals.column("lang").combine_chunks(), 0, pa.array([""] * len(totals)), totals.column("n_sum").to_numpy())
                 yield words
-                yield grams.counted(2)
 
     return _summed(docs.mapInArrow(work, COUNTS), least)
 
@@ -204,8 +202,8 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _long(docs: DataFrame, m: int, rounds: list[tuple[np.ndarray, ...]], least: int, limit: int) -> DataFrame:
     """Counts of the phrases of m words in the frontier of the last round, without those of the rounds before. A round has
-    filters of phrases of m - 1 words: of prefixes and of suffixes that a phrase may grow from, either (m = 3) or both (m > 3),
-    and of those that need all their longer phrases."""
+    filters of phrases of m - 1 words: of prefixes and of suffixes that a phrase may grow from, either (m = 3, since phrases of four
+    words need the counts of both their threes) or both, and of those that need all their longer phrases."""
     shared = docs.sparkSession.sparkContext.broadcast(rounds)
 
     def work(batches):
@@ -259,9 +257,10 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, rank: int | None =
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score. rank: that of the pair of words whose score
     is a language's first threshold (default: twice top); it goes up eightfold a round."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    base = materialize(_short(texts, least, limit), "phrases-1")
+    base = materialize(_words(texts, least, limit), "phrases-1")
     words, totals = base.where("m = 1").select("lang", F.col("phrase").alias("word"), F.col("n").alias("f")), base.where("m = 0").select("lang", "n")
-    pairs = base.where("m = 2").select("lang", "phrase", F.col("n").alias("a"), _first(1).alias("w1"), _last(1).alias("w2"))
+    often = _bitmap(words.withColumnRenamed("word", "phrase"), filter_bits)
+    pairs = _long(texts, 2, [(often, often, np.zeros_like(often))], least, limit).select("lang", "phrase", F.col("n").alias("a"), _first(1).alias("w1"), _last(1).alias("w2"))
     named = lambda side: words.select("lang", F.col("word").alias(f"w{side}"), F.col("f").alias(f"f_{side}"))
     two = materialize(_scored(pairs.join(named(1), ["lang", "w1"]).join(named(2), ["lang", "w2"]), [("f_1", "f_2")], ["f_1"], ["f_2"]), "phrases-2")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
