@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import calendar
+from . import intervals
 
 DETAILS = "average double, spread double, low double, high double, samples bigint, z_score double, event_id string"
 EVENTS_PER_BLOCK, SATELLITE_PARTS = 1000, 8
@@ -85,8 +86,9 @@ def correlate_space_weather(alerts: DataFrame, events: DataFrame, mode: str = "a
     mode "all": every severe event with every alerting satellite, whatever the time, for any number of either. Events are
     dealt by hash into blocks of about EVENTS_PER_BLOCK and satellites into SATELLITE_PARTS parts; a join on both
     numbers brings each pair together once. Only a caller's own max_events raises an error, when there are more.
-    mode "overlap": events active at the time of an alert's window, by an equality join on hours (an event covers
-    start to end, or `hours` after its start), so neither side is broadcast and no cross product is made.
+    mode "overlap": events active at the time of an alert's window (an event covers start to end, or `hours` after its start),
+    by an equality join on dyadic cells of time: an event has twice the logarithm of its length as rows at most, so one that
+    ends in the year 9999 is no burden.
     """
     severe = severe_events(events).select(F.col("event_id").alias("_event"), F.col("severity").alias("_severity"), F.try_to_timestamp("start_time").alias("_from"), F.try_to_timestamp("end_time").alias("_to"))
     level = F.when(F.col("_severity") == "extreme", "CRITICAL").otherwise("WARNING")
@@ -103,9 +105,8 @@ def correlate_space_weather(alerts: DataFrame, events: DataFrame, mode: str = "a
         met = sats.join(blocked, ["_block", "_part"]).withColumn("window", F.lit(None).cast("struct<start: timestamp, end: timestamp>"))
     else:
         last = F.coalesce("_to", F.col("_from") + F.make_interval(hours=F.lit(hours)))
-        hourly = severe.where("_from is not null").withColumn("_last", last).where("_last >= _from").withColumn("_hour", F.explode(F.sequence(F.date_trunc("hour", "_from"), F.date_trunc("hour", "_last"), F.expr("interval 1 hour"))))
-        sats = alerts.select("satellite_id", "satellite_name", "window", F.date_trunc("hour", "window.start").alias("_hour")).distinct()
-        met = sats.join(hourly, "_hour").where(F.col("window.start").between(F.col("_from"), F.col("_last")))
+        sats = alerts.select("satellite_id", "satellite_name", "window", F.col("window.start").alias("_at")).distinct()
+        met = intervals.within(sats, "_at", severe.withColumn("_last", last), "_from", "_last")
     return met.select(
         alert_id(F.concat_ws("|", F.lit("SPACE_WEATHER_CORRELATION"), "_event"), F.col("satellite_id"), F.coalesce(F.col("window.start").cast("string"), F.lit(""))).alias("alert_id"),
         F.lit("SPACE_WEATHER_CORRELATION").alias("alert_type"), level.alias("severity"), "satellite_id", "satellite_name", calendar.utc_iso(at).alias("detected_at"),

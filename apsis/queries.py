@@ -413,3 +413,6 @@ def stream_enrichment(spark, sf_dir):
     query.awaitTermination()
     table = spark.read.parquet(f"{root}/archive")
     return table.groupBy(F.col("satellite_id").cast("int").alias("satellite_id"), F.col("geo.country_code").alias("country_code"), F.col("orbit.type").alias("orbit_type"), F.col("lighting.in_sunlight").alias("in_sunlight")).agg(F.count("*").alias("n"))
+
+
+from . import stream_queries  # noqa: E402,F401  it registers its queries here
