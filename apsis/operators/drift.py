@@ -104,6 +104,29 @@ def drift_report(elements: DataFrame, wrap: bool = False) -> DataFrame:
     return flagged.select("satellite_id", "analysis_period", "tle_count", "drift_analysis", (F.size("anomaly_flags") > 0).alias("anomaly_detected"), "anomaly_flags", "summary")
 
 
+def drift_partials(elements: DataFrame, wrap: bool = False) -> DataFrame:
+    """Reports of a satellite's ISO weeks (by their Monday) that add up: period, count, sums, number of drift rows and of flags, and
+    the week's own drift rows and flags in order. A pair of elements belongs to the week of its second one, so that weeks can be
+    computed, stored and replaced one by one (given the last element before); no row grows with the track."""
+    days, pair = _pair(wrap)
+    rows = _beside(elements).withColumn("_d", F.when(days > 0, pair)).withColumn("_week", F.date_trunc("week", "epoch_time").cast("date"))
+    weeks = rows.groupBy("satellite_id", F.col("_week").alias("week")).agg(
+        F.min("epoch_time").alias("start"), F.max("epoch_time").alias("end"), F.count("*").alias("tle_count"),
+        F.sum("mean_motion").alias("sum_mean_motion"), F.sum("eccentricity").alias("sum_eccentricity"), F.sum("inclination").alias("sum_inclination"), F.count("_d").alias("drifts"), F.array_sort(F.collect_list("_d")).alias("drift_analysis"),
+    )
+    flagged = weeks.withColumn("anomaly_flags", F.flatten(F.transform("drift_analysis", drift_flags)))
+    return flagged.withColumn("flags", F.size("anomaly_flags").cast("bigint"))
+
+
+def merged_report(partials: DataFrame) -> DataFrame:
+    """The figures of drift_report per satellite from the weeks' sums; the rows and flags themselves stay with their weeks."""
+    mean = lambda c, digits: F.round(F.sum(f"sum_{c}") / F.sum("tle_count"), digits).alias(f"mean_{c}")
+    return partials.groupBy("satellite_id").agg(
+        F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("analysis_period"), F.sum("tle_count").alias("tle_count"), F.sum("drifts").alias("drifts"), F.sum("flags").alias("flags"),
+        (F.sum("flags") > 0).alias("anomaly_detected"), F.struct(mean("mean_motion", 6), mean("eccentricity", 8), mean("inclination", 4)).alias("summary"),
+    )
+
+
 def changed_tles(rows: DataFrame, order: str = "ingestion_time") -> DataFrame:
     """Rows whose first line differs from the satellite's one before: A, A, B, A gives A, B, A. order: a text that begins
     with the date, whose days are the chunks of the track."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from . import schemas as S
 from .functions import calendar
+from .functions import sql as sql_functions
 from .operators import anomaly, drift, feeds, health, marts, positions, views
 from .sources.scratch import scratch_dir
 from .streaming import jobs
@@ -71,6 +72,20 @@ def enrich_positions(spark, sf_dir):
     return enriched(spark, sf_dir).select("event_id", "satellite_id", "altitude_km", "geo.country_code", "geo.country_name", "geo.region", "geo.over_ocean", F.col("orbit.type").alias("orbit_type"), "orbit.velocity_km_s", "orbit.period_minutes", "lighting.in_sunlight", F.col("date").cast("string").alias("date"))
 
 
+@registered(ORACLE_SQL["enrich_positions"])
+def sql_enrich(spark, sf_dir):
+    """The same rows from SQL text alone."""
+    sql_functions.register(spark)
+    return spark.sql(
+        """
+        SELECT event_id, satellite_id, altitude_km, geo.country_code, geo.country_name, geo.region, geo.over_ocean, orbit_type(altitude_km) AS orbit_type, velocity_km_s(altitude_km) AS velocity_km_s,
+          period_minutes(altitude_km) AS period_minutes, in_sunlight(latitude, longitude, timestamp) AS in_sunlight, date_format(timestamp_seconds(timestamp), 'yyyy-MM-dd') AS date
+        FROM (SELECT * EXCEPT (altitude_km), filled_altitude(altitude_km) AS altitude_km, geo_region(latitude, longitude) AS geo FROM {rows})
+        """,
+        rows=X.positions(spark, sf_dir),
+    )
+
+
 @registered(f"WITH {ENRICHED} SELECT event_id, CASE WHEN box >= 0 THEN country_code END AS country_code, CASE WHEN box >= 0 THEN country_name END AS country_name, CASE WHEN box >= 0 THEN region END AS region FROM enriched")
 def geo_grid_join(spark, sf_dir):
     points = X.positions(spark, sf_dir).select("event_id", "latitude", "longitude")
@@ -176,6 +191,19 @@ def daily_summary(spark, sf_dir):
     return marts.daily_summary(marts.satellite_stats(day)).select("satellites_tracked", "total_positions", "avg_altitude_km", "orbit_altitudes")
 
 
+@registered(f"WITH {POS} SELECT satellite_id, strftime(ts, '%G-%V') AS week, count(DISTINCT (floor(latitude), floor(longitude))) AS cells, true AS near FROM pos GROUP BY ALL")
+def visited_cells(spark, sf_dir):
+    """Cells of one degree that a satellite visited in a week: exact, and whether the union of daily sketches comes within four
+    standard errors (and one cell)."""
+    rows = enriched(spark, sf_dir)
+    cell = F.concat_ws(",", F.floor("latitude"), F.floor("longitude"))
+    label = calendar.iso_week(F.col("date"))["label"].alias("week")
+    about = marts.united_counts(marts.distinct_sketches(rows, cell), "satellite_id", label)
+    exact = rows.groupBy("satellite_id", label).agg(F.count_distinct(cell).alias("cells"))
+    near = F.abs(F.col("distinct") - F.col("cells")) <= F.col("cells") * 0.065 + 1
+    return exact.join(about, ["satellite_id", "week"]).select("satellite_id", "week", "cells", near.alias("near"))
+
+
 # --- Anomalies ----------------------------------------------------------------------------------------------------
 
 WINDOWS = f"""{ENRICHED}, spread AS (SELECT *, (seconds // 43200) * 43200 - 43200 * unnest([0, 1, 2, 3]) AS w FROM enriched),
@@ -277,6 +305,30 @@ def drift_report(spark, sf_dir):
     )
 
 
+@registered(f"""WITH {DRIFT}, d AS (SELECT satellite_id, date_trunc('week', make_timestamp(epoch_us))::DATE AS week, epoch_us, mm, inc, ecc FROM drift),
+f AS (SELECT satellite_id, week, epoch_us, flag, k FROM d, LATERAL (VALUES (1, abs(mm) > 0.001, 'MEAN_MOTION_MANEUVER'), (2, abs(inc) > 0.01, 'INCLINATION_CHANGE'), (3, abs(ecc) > 0.0001, 'ECCENTRICITY_CHANGE')) v(k, hit, flag) WHERE hit),
+listed AS (SELECT satellite_id, week, string_agg(epoch_us::VARCHAR, ',' ORDER BY epoch_us) AS drift_ends FROM d GROUP BY ALL),
+flagged AS (SELECT satellite_id, week, string_agg(flag || ' at ' || strftime(make_timestamp(epoch_us), '%Y-%m-%dT%H:%M:%SZ'), ',' ORDER BY epoch_us, k) AS flags FROM f GROUP BY ALL)
+SELECT t.satellite_id, t.week::VARCHAR AS week, tle_count, coalesce(drift_ends, '') AS drift_ends, coalesce(flags, '') AS flags
+FROM (SELECT satellite_id, date_trunc('week', make_timestamp(epoch_us))::DATE AS week, count(*) AS tle_count FROM tle GROUP BY ALL) t LEFT JOIN listed USING (satellite_id, week) LEFT JOIN flagged USING (satellite_id, week)""")
+def drift_weeks(spark, sf_dir):
+    """The weeks' partial reports with their whole lists."""
+    ends = F.array_join(F.transform("drift_analysis", lambda d: F.unix_micros(d["to_epoch"]).cast("string")), ",")
+    return drift.drift_partials(decoded(spark, sf_dir)).select("satellite_id", F.col("week").cast("string").alias("week"), "tle_count", ends.alias("drift_ends"), F.array_join("anomaly_flags", ",").alias("flags"))
+
+
+@registered(ORACLE_SQL["drift_report"])
+def drift_report_merged(spark, sf_dir):
+    """The report's figures from weekly partials that were written and read again."""
+    root = f"{scratch_dir(spark)}/apsis/drift-weeks-{uuid.uuid4().hex}"
+    partials = drift.drift_partials(decoded(spark, sf_dir))
+    partials.write.parquet(root)
+    return drift.merged_report(spark.read.schema(partials.schema).parquet(root)).select(
+        "satellite_id", "tle_count", "drifts", "flags", "anomaly_detected", F.round("summary.mean_mean_motion", 5).alias("mean_mean_motion"), F.round("summary.mean_inclination", 3).alias("mean_inclination"),
+        F.unix_micros("analysis_period.start").alias("first_us"), F.unix_micros("analysis_period.end").alias("last_us"),
+    )
+
+
 @registered(f"""WITH {POS}, l AS (SELECT satellite_id, event_id, seconds, ts, strftime(ts, '%y') || lpad(dayofyear(ts)::VARCHAR, 3, '0') || (seconds % 86400) AS line FROM pos),
 c AS (SELECT *, lag(line) OVER (PARTITION BY satellite_id ORDER BY seconds) AS before FROM l)
 SELECT satellite_id, count(*) FILTER (before IS DISTINCT FROM line) AS changes FROM c GROUP BY satellite_id""")

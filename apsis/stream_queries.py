@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from . import fixtures as X
 from . import queries as Q
-from .operators import anomaly, feeds, panes, views
+from .operators import anomaly, feeds, panes, positions, views
+from .sources import commits
 from .sources.scratch import scratch_dir
-from .streaming import correlate, state
+from .streaming import correlate, jobs, state
 
 FILES = 4
 
@@ -108,3 +109,29 @@ def live_satellites(spark, sf_dir):
     rows = Q.keyed(spark, sf_dir).withColumn("orbit_type", F.when(F.col("source") == "n2yo", F.col("orbit_type")))
     known = views.satellite_metadata(rows, Q.now(), ["orbit_type"], "1000 days", tie="event_id").select("satellite_id", "orbit_type")
     return views.satellites(known, live)
+
+
+@Q.registered(Q.ORACLE_SQL["stream_enrichment"])
+def committed_enrichment(spark, sf_dir):
+    """Enrichment over several batches, each one commit over three sinks."""
+    rows = X.positions(spark, sf_dir).drop("event_id")
+    messages = positions.to_messages(rows, "satellite_id").withColumn("at", F.get_json_object("value", "$.timestamp").cast("bigint"))
+    folder, schema, root = landed(messages, "committed", "at")
+    jobs.start_committed_enrichment(replayed(spark, folder, schema), f"{root}/live", f"{root}/checkpoint").awaitTermination()
+    table = commits.committed(spark, f"{root}/live", "archive")
+    return table.groupBy("satellite_id", F.col("geo.country_code").alias("country_code"), F.col("orbit.type").alias("orbit_type"), F.col("lighting.in_sunlight").alias("in_sunlight")).agg(F.count("*").alias("n"))
+
+
+@Q.registered(f"""WITH {Q.POS} SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS rows, sum(seconds)::BIGINT AS seconds, count(*) FILTER (event_id % 2 = 0) AS rows_before, count(*) AS rows_between, 1::BIGINT AS folders FROM pos GROUP BY 1""")
+def compacted_archive(spark, sf_dir):
+    """An archive written twice and compacted: what readers of each version see, and folders a day afterwards."""
+    root = f"{scratch_dir(spark)}/apsis/days-{uuid.uuid4().hex}"
+    rows = Q.enriched(spark, sf_dir).select("satellite_id", "altitude_km", "timestamp", "event_id", "date")
+    commits.append_days(rows.where("event_id % 2 = 0"), root)
+    commits.append_days(rows.where("event_id % 2 = 1"), root)
+    commits.compact_days(spark, root, rows.schema, "0000-00-00", "9999-99-99")
+    read = lambda version: commits.read_days(spark, root, rows.schema, version=version).withColumn("folder", F.regexp_extract(F.input_file_name(), "data/([^/]+)/", 1))
+    by_day = lambda version, *more: read(version).groupBy("date").agg(*more)
+    now = by_day(None, F.count("*").alias("rows"), F.sum("timestamp").alias("seconds"), F.count_distinct("folder").alias("folders"))
+    met = now.join(by_day(1, F.count("*").alias("rows_before")), "date", "left").join(by_day(2, F.count("*").alias("rows_between")), "date", "left")
+    return met.select(F.col("date").cast("string").alias("date"), "rows", "seconds", F.coalesce("rows_before", F.lit(0)).alias("rows_before"), "rows_between", "folders")

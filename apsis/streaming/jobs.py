@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from .. import schemas as S
 from ..operators import anomaly, positions
-from ..sources import writers
+from ..sources import commits, writers
 
 
 def enrichment(messages: DataFrame) -> DataFrame:
@@ -42,6 +42,26 @@ def start_enrichment(messages: DataFrame, archive: str, topic: str, rejects: str
     return _trigger(messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint), seconds).start()
 
 
+def start_committed_enrichment(messages: DataFrame, root: str, checkpoint: str, seconds: int | None = None):
+    """Enriches every message into {root}/topic, archive and rejects as one commit a micro-batch: `commits.committed` shows a batch in
+    all three or in none, also when a sink failed between two writes."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            rows, malformed = positions.decode(batch, S.POSITION)
+            good, invalid = positions.validate_positions(rows)
+            enriched = positions.enrich_positions(good)
+            ordered = writers.in_key_order(positions.to_enriched_message(enriched), "satellite_id", "timestamp")
+            into = lambda df: lambda folder: df.write.mode("overwrite").parquet(folder)
+            sinks = {"topic": into(positions.to_messages(ordered, "satellite_id")), "archive": into(positions.to_archive(enriched).sortWithinPartitions("date", "satellite_id", "timestamp")), "rejects": into(malformed.unionByName(invalid))}
+            commits.commit_batch(batch.sparkSession, root, batch_id, sinks)
+        finally:
+            batch.unpersist()
+
+    return _trigger(messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint), seconds).start()
+
+
 def alert_stream(enriched_messages: DataFrame, watermark: str = "30 seconds", expected: str = "constant") -> DataFrame:
     """Enriched messages (value) to alerts: one stateful aggregation for both rules, appended when a window closes."""
     rows, _ = positions.decode(enriched_messages, S.ENRICHED)
