@@ -36,7 +36,7 @@ from .ordering import BROADCAST_ROWS
 TOP, LEAST, WORDS = 2000, 30, 4
 SCALE, LONGER = 2_000_000, 80
 #: Bytes of text in a block; bits of a frontier's filter.
-BLOCK, FILTER_BITS = 4 << 20, 25
+BLOCK, FILTER_BITS = 2 << 20, 25
 
 _STOP, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -44,8 +44,12 @@ _GAP[[0x20, 0x09]] = True
 _GAP |= _STOP
 
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a number from 0 for each key, the key of each number)."""
+def _dense(keys: np.ndarray, below: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+    """(a number from 0 for each key, the key of each number). Keys under a small bound need no hashing."""
+    if below <= 4 * len(keys):
+        met = np.zeros(below, bool)
+        met[keys] = True
+        return (np.cumsum(met) - 1)[keys], np.flatnonzero(met)
     coded = pa.array(keys).dictionary_encode()
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
 
@@ -78,7 +82,7 @@ class Grams:
         spoken = pc.fill_null(langs, "und").dictionary_encode()
         self.langs = spoken.dictionary
         lang = spoken.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-        ids, known = _dense(lang * len(self.vocabulary) + words.indices.to_numpy().astype(np.int64))
+        ids, known = _dense(lang * len(self.vocabulary) + words.indices.to_numpy(), len(self.langs) * len(self.vocabulary))
         self.word, self.lang = known % max(1, len(self.vocabulary)), known // max(1, len(self.vocabulary))
         self.id = {1: ids}
         self.keys: dict[int, np.ndarray] = {}
@@ -105,13 +109,13 @@ class Grams:
         return [run, *out[::-1]]
 
     def counted(self, m: int) -> pa.RecordBatch:
-        """lang, m, phrase and count of the runs of m words whose last word is past the lead."""
+        """lang, phrase and count of the runs of m words whose last word is past the lead."""
         of = self.id[m][max(0, self.lead - m + 1) :]
         n = np.bincount(of[of >= 0], minlength=len(self.keys[m]) if m > 1 else len(self.word))
         words = [part[n > 0] for part in self.parts(m)]
         texts = [self.vocabulary.take(pa.array(self.word[w])) for w in words]
         phrase = texts[0] if m == 1 else pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string()))
-        return _row(self.langs.take(pa.array(self.lang[words[0]])), m, phrase, n[n > 0])
+        return _row(self.langs.take(pa.array(self.lang[words[0]])), phrase, n[n > 0])
 
     def hashes(self, m: int) -> np.ndarray:
         """Hash of each run of m words."""
@@ -127,8 +131,8 @@ def _chain(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _row(langs: pa.Array, m: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([langs.cast(pa.string()), pa.array(np.full(len(n), m, np.int32)), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "m", "phrase", "n"])
+def _row(langs: pa.Array, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([langs.cast(pa.string()), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
 
 
 def _grams(batch: pa.RecordBatch, limit: int) -> Iterator[Grams]:
@@ -155,11 +159,11 @@ def _grams(batch: pa.RecordBatch, limit: int) -> Iterator[Grams]:
             begin, done = begin + (int(grams.start[-lead]) if lead else to - begin), to
 
 
-COUNTS = "lang string, m int, phrase string, n bigint"
+COUNTS = "lang string, phrase string, n bigint"
 
 
 def _summed(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("m") == 0))
+    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
 def _words(docs: DataFrame, least: int, limit: int) -> DataFrame:
@@ -170,7 +174,7 @@ def _words(docs: DataFrame, least: int, limit: int) -> DataFrame:
             for grams in _grams(batch, limit):
                 words = grams.counted(1)
                 totals = pa.table([words.column("lang"), words.column("n")], ["lang", "n"]).group_by("lang").aggregate([("n", "sum")])
-                yield _row(totals.column("lang").combine_chunks(), 0, pa.array([""] * len(totals)), totals.column("n_sum").to_numpy())
+                yield _row(totals.column("lang").combine_chunks(), pa.array([""] * len(totals)), totals.column("n_sum").to_numpy())
                 yield words
 
     return _summed(docs.mapInArrow(work, COUNTS), least)
@@ -258,7 +262,7 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, rank: int | None =
     is a language's first threshold (default: twice top); it goes up eightfold a round."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     base = materialize(_words(texts, least, limit), "phrases-1")
-    words, totals = base.where("m = 1").select("lang", F.col("phrase").alias("word"), F.col("n").alias("f")), base.where("m = 0").select("lang", "n")
+    words, totals = base.where("phrase <> ''").select("lang", F.col("phrase").alias("word"), F.col("n").alias("f")), base.where("phrase = ''").select("lang", "n")
     often = _bitmap(words.withColumnRenamed("word", "phrase"), filter_bits)
     pairs = _long(texts, 2, [(often, often, np.zeros_like(often))], least, limit).select("lang", "phrase", F.col("n").alias("a"), _first(1).alias("w1"), _last(1).alias("w2"))
     named = lambda side: words.select("lang", F.col("word").alias(f"w{side}"), F.col("f").alias(f"f_{side}"))
@@ -271,8 +275,7 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, rank: int | None =
     wanted = rank or 2 * top
     while True:
         # The threshold of a language; 0 where it has no such rank: then all that occurs often enough is counted.
-        ranked = two.select("lang", "score", "a", "phrase").withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= wanted)
-        now = ranked.groupBy("lang").agg(F.min("score").alias("least"), F.count("*").alias("_n")).select("lang", F.when(F.col("_n") == wanted, F.col("least")).otherwise(0).cast("bigint").alias("tau"))
+        now = _score_of_rank(two, wanted).withColumnRenamed("score", "tau")
         if settled is not None:
             now = now.join(settled.select("lang", F.col("tau").alias("_tau"), "done"), "lang").select("lang", F.when(F.col("done"), F.col("_tau")).otherwise(F.least("tau", "_tau")).alias("tau"))
         bars = _small(materialize(now, "phrases-bars"))
@@ -293,10 +296,22 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, rank: int | None =
         if settled.where("not done").isEmpty():
             break
         wanted *= 8
-    out = found.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= top)
+    # What lies under the score of the last rank goes first; ties at it stay for the order.
+    ends = _score_of_rank(found, top).select("lang", F.col("score").alias("_end"))
+    ahead = found.join(_small(materialize(ends, "phrases-ends")), "lang").where(F.col("score") >= F.col("_end")).drop("_end")
+    out = ahead.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= top)
     return out.join(_small(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("bigint").alias("score"))
 
 
+def _score_of_rank(rows: DataFrame, rank: int) -> DataFrame:
+    """The score at a rank of each language, 0 where it has no such rank. Scores are counted first: a language has SCALE / 2 + 1
+    of them at most, however many phrases there are."""
+    counts = rows.groupBy("lang", "score").agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("lang").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)))
+    reached = F.max(F.when(F.col("_upto") >= rank, F.col("score")))
+    return upto.groupBy("lang").agg(F.coalesce(reached, F.lit(0)).cast("bigint").alias("score"))
+
+
 def _with_parts(counts: DataFrame, tables: dict[int, DataFrame], m: int) -> DataFrame:
     """Phrases of m words with the counts of their parts: f_1, f_2, f_3 of the first words, f_9, f_8, f_7 of the last one, two, three."""
     rows = counts.select("lang", "phrase", F.col("n").alias("a"), _first(m - 1).alias("_head"), _last(m - 1).alias("_tail"))
