@@ -55,10 +55,13 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple]) -> list[tuple[str, int, int, str]]:
-    """Key-like tokens outside the base spans; those without a digit only serve as ordinary examples."""
-    found = []
+    """Key-like tokens outside the base spans (in order of their start); those without a digit only serve as ordinary examples.
+    Tokens and spans are walked side by side."""
+    found, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for _, a, b, _ in taken) and LETTER.search(m[0]):
+        while at < len(taken) and taken[at][1] < m.end():
+            reach, at = max(reach, taken[at][2]), at + 1  # spans that begin before the token's end, and how far they go
+        if reach <= m.start() and LETTER.search(m[0]):
             found.append(("candidate" if DIGIT.search(m[0]) else "ordinary", m.start(), m.end(), m[0]))
     return found
 
