@@ -12,13 +12,11 @@ get equal fingerprints; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NON_ALNUM, U64, Words, blocks, is_in, materialize, mix
@@ -111,66 +109,72 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return members, checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
-def _leading(text: Column) -> Column:
-    """The first six bytes of a text as a number, in the order of texts."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def with_next(docs: DataFrame, work: Callable[[pa.Table, pa.Array], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, most: int = 100_000) -> DataFrame:
+    """Runs work(rows, texts of the next rows) over the rows in descending id order (null ids last); after the last comes the first.
 
+    Rows are dealt by range of their ids themselves, whatever their type, and sorted by Spark; as many ranges as the input has
+    block_bytes, but for at most `most`. Equal ids go by the first 64 characters of their text, then by its hash; rows that repeat both
+    id and text may be dealt over several ranges, so no id is one block. A task streams through its range. The last row of a range waits for the first text
+    of the next one: both are written with the results, and met in a second, small step. rows: _id, _text, in order.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    size = rows.agg(F.sum(F.octet_length("_text") + 64).alias("bytes")).first()["bytes"] or 0
+    ranges = min(most, max(1, -(-size // block_bytes)))
+    keys = [F.col("_id").desc_nulls_last(), F.col("_begin"), F.col("_hash"), F.col("_tie")]
+    dealt = rows.withColumns({"_begin": F.substring("_text", 1, 64), "_hash": F.xxhash64("_text"), "_tie": F.monotonically_increasing_id()}).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    id_type = dict(rows.dtypes)["_id"]
+    names = docs.sparkSession.createDataFrame([], schema).columns
 
-def with_next(docs: DataFrame, work: Callable[[pa.Table, pa.Array], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, most: int = 4000) -> DataFrame:
-    """Runs work(rows, texts of the next rows) over blocks of rows in descending id order; after the last comes the first.
+    def run(batches):
+        from pyspark import TaskContext
 
-    Ids are cut at sampled quantiles into at most about `most` ranges, and a range evenly into blocks of about block_bytes, so
-    the number of blocks grows with the input. The first row of each block also goes to the block before it: every text is
-    shuffled once and only block heads twice. An id that is a quantile more than once is a range of its own. Equal ids are
-    ordered by text, and a range of one id is cut into blocks by text; null ids come last and are such a range. Ids that
-    are texts are dealt by their first six bytes. rows: _id, _text, in order.
-    """
-    from pyspark.ml.feature import Bucketizer
+        part, pending, out_schema = TaskContext.get().partitionId(), None, None
+        edges = []  # (which, id, text) of the first and the last row
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    order = _leading(F.col("_id")) if dict(rows.dtypes)["_id"] == "string" else F.col("_id").cast("double")
-    rows = rows.withColumn("_d", order).withColumn("_t", _leading(F.col("_text")))
-    size = rows.agg(F.sum(F.octet_length("_text") + 64).alias("bytes"), F.percentile_approx("_d", [k / most for k in range(1, most)], 20000).alias("cuts")).first()
-    wanted = min(most, max(1, -(-(size["bytes"] or 0) // block_bytes)))
-    cuts = (size["cuts"] or [])[most // wanted - 1 :: max(1, most // wanted)]
-    often = {a for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a == b}
-    cuts = sorted({*cuts, *(math.nextafter(c, math.inf) for c in often)})
-    bucket = Bucketizer(splits=[-math.inf, *cuts, math.inf] if cuts else [-math.inf, 0.0, math.inf], inputCol="_d", outputCol="_range", handleInvalid="keep")
-    # Null ids (kept apart as the last bucket) come last: below all others.
-    ranged = bucket.transform(rows).withColumn("_range", F.when(F.col("_d").isNull(), -1).otherwise(F.col("_range")).cast("int"))
-    # At most 2 * most + 2 rows, whatever the input.
-    spans = ranged.groupBy("_range").agg(F.sum(F.octet_length("_text") + 64).alias("_bytes"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"), F.min("_t").alias("_tlo"), F.max("_t").alias("_thi"))
-    spans = materialize(spans.withColumn("_parts", F.ceil(F.col("_bytes") / block_bytes)).drop("_bytes"), "spot-ranges")
-    by_id = F.col("_lo") < F.col("_hi")
-    place = F.when(by_id, F.try_divide(F.col("_d") - F.col("_lo"), F.col("_hi") - F.col("_lo"))).otherwise(F.try_divide(F.col("_thi") - F.col("_t"), F.col("_thi") - F.col("_tlo")))
-    part = F.least(F.floor(F.coalesce(place, F.lit(0.0)) * F.col("_parts")), F.col("_parts") - 1)
-    block = (F.col("_range").cast("bigint") * (1 << 40) + part).alias("_block")
-    numbered = ranged.join(F.broadcast(spans), "_range").select("_id", "_text", "_d", "_t", "_range", block)
-    # The head of a block is its first row: the greatest id, then the least text (by what is known of both).
-    first = F.min(F.struct((-F.col("_d")).alias("d"), F.col("_t").alias("t")))
-    heads = materialize(numbered.groupBy("_range", "_block").agg(first.alias("_head")), "spot-heads")
-    above = heads.groupBy("_range").agg(F.min("_block").alias("_to")).orderBy("_range").collect()  # a row for each range
-    if not above:
-        return docs.sparkSession.createDataFrame([], schema)
-    over = dict(zip([r["_range"] for r in above], [*(r["_to"] for r in above[1:]), above[0]["_to"]], strict=True))
-    over = docs.sparkSession.createDataFrame(list(over.items()), "_range int, _over bigint")
-    to = F.lag("_block").over(Window.partitionBy("_range").orderBy(F.desc("_block")))
-    # Joined by its measured size: Spark broadcasts the table of heads if it is small, and sorts otherwise.
-    heads = materialize(heads.withColumn("_to", to).join(F.broadcast(over), "_range").select("_block", "_head", F.coalesce("_to", "_over").alias("_to")), "spot-heads")
-    heads = heads.withColumnsRenamed({"_block": "_of"})
-    same = (F.col("_block") == F.col("_of")) & (-F.col("_d")).eqNullSafe(F.col("_head.d")) & F.col("_t").eqNullSafe(F.col("_head.t"))
-    at = lambda block, guest: F.array(F.struct(F.col(block).alias("block"), F.lit(guest).alias("guest")))
-    places = F.when(F.col("_to").isNotNull(), F.concat(at("_block", False), at("_to", True))).otherwise(at("_block", False))
-    placed = numbered.join(heads, same, "left").select("_id", "_text", F.explode(places).alias("_at"))
-    placed = placed.select("_id", "_text", F.col("_at.block").alias("_block"), F.col("_at.guest").alias("_guest"))
-
-    def run(group: pa.Table) -> pa.Table:
-        order = lambda t: t.sort_by([("_id", "descending"), ("_text", "ascending")])
-        flags = group.column("_guest")
-        own = order(group.filter(pc.invert(flags)).select(["_id", "_text"]))
-        guest = order(group.filter(flags).select(["_id", "_text"]))
-        texts = own.column("_text").to_pylist()
-        following = [*texts[1:], guest.column("_text")[0].as_py()]
-        return work(own, pa.array(following, pa.large_string()))
-
-    return placed.groupBy("_block").applyInArrow(run, schema)
+        def mixed(results: pa.Table | None, which: str | None = None, one: pa.Table | None = None) -> Iterator[pa.RecordBatch]:
+            n = results.num_rows if results is not None else one.num_rows
+            blank = lambda kind: pa.nulls(n, kind)
+            columns = [results.column(c) if results is not None else blank(out_schema.field(c).type) for c in names]
+            columns += [pa.array([which] * n, pa.string()), pa.array([part] * n, pa.int32())]
+            columns += [one.column("_id"), one.column("_text")] if one is not None else [blank(id_kind), blank(pa.string())]
+            yield from pa.table(dict(zip([*names, "_edge", "_part", "_id", "_text"], columns, strict=True))).to_batches()
+
+        id_kind = None
+        for batch in batches:
+            for piece in blocks(batch, "_text"):
+                table = pa.Table.from_batches([piece])
+                id_kind = table.schema.field("_id").type
+                if pending is None:
+                    edges.append(("first", table.slice(0, 1)))
+                line = table if pending is None else pa.concat_tables([pending, table])
+                pending = line.slice(line.num_rows - 1)
+                if line.num_rows > 1:
+                    done = work(line.slice(0, line.num_rows - 1), line.column("_text").slice(1).combine_chunks())
+                    out_schema = done.schema
+                    yield from mixed(done)
+        if pending is not None:
+            edges.append(("last", pending))
+            if out_schema is None:
+                out_schema = work(pending, pending.column("_text").combine_chunks()).schema
+            for which, one in edges:
+                yield from mixed(None, which, one)
+
+    held = materialize(dealt.select("_id", "_text").mapInArrow(run, f"{schema}, _edge string, _part int, _id {id_type}, _text string"), "spot-next")
+    edge = lambda which: held.where(F.col("_edge") == which).select("_part", "_id", "_text")
+    # Which range follows which: a number for each range goes through one window, no text.
+    parts = edge("last").select("_part")
+    whole = Window.orderBy("_part")
+    follows = parts.select("_part", F.coalesce(F.lead("_part").over(whole), F.min("_part").over(Window.partitionBy())).alias("_next"))
+    heads = edge("first").select(F.col("_part").alias("_next"), F.col("_text").alias("_following"))
+    tails = edge("last").join(follows, "_part").join(heads, "_next").select("_id", "_text", "_following")
+
+    def close(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if table.num_rows:
+                # Each of these rows has a next row of its own, so they are worked one by one.
+                for k in range(table.num_rows):
+                    one = table.slice(k, 1)
+                    yield from work(one.select(["_id", "_text"]), one.column("_following").combine_chunks()).to_batches()
+
+    return held.where("_edge is null").select(names).unionByName(tails.mapInArrow(close, schema))
