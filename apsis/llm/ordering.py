@@ -23,7 +23,7 @@ def numbered(rows: DataFrame, order: list[str], group: str | None = None, weight
     written = materialize(tied.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).drop("_tie"), "numbered")
     # The upper bits of that number are the partition, the lower ones the row in it.
     held = written.withColumn("_part", F.shiftright("_at", 33))
-    sums = {"_n": F.count("*"), "_w": F.sum(weight).cast("decimal(38,0)") if weight else F.lit(None).cast("decimal(38,0)")}
+    sums = {"_n": F.count("*"), "_w": F.sum(F.col(weight).cast("decimal(20,0)")).cast("decimal(38,0)") if weight else F.lit(None).cast("decimal(38,0)")}
     runs = held.groupBy("_part", "_group").agg(F.min("_at").alias("_first"), *[c.alias(k) for k, c in sums.items()])
     whole = Window.partitionBy("_group")
     earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -34,6 +34,6 @@ def numbered(rows: DataFrame, order: list[str], group: str | None = None, weight
         starts = F.broadcast(starts)
     met = held.join(starts, ["_part", "_group"]).withColumn("_position", F.col("_at") + F.col("_shift"))
     if weight:
-        own = F.sum(F.col(weight).cast("decimal(38,0)")).over(Window.partitionBy("_part", "_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+        own = F.sum(F.col(weight).cast("decimal(20,0)")).over(Window.partitionBy("_part", "_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
         met = met.withColumn("_before", (F.coalesce(own, F.lit(0)) + F.col("_base")).cast("decimal(38,0)"))
     return met.drop("_part", "_group", "_at", "_shift", "_base", *([] if weight else ["_total"]))
