@@ -12,11 +12,13 @@ get equal fingerprints; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NON_ALNUM, U64, Words, blocks, is_in, materialize, mix
@@ -109,72 +111,59 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return members, checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
-def with_next(docs: DataFrame, work: Callable[[pa.Table, pa.Array], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, most: int = 100_000) -> DataFrame:
+def with_next(docs: DataFrame, work: Callable[[pa.Table, pa.Array], pa.Table], schema: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, most: int = 4096) -> DataFrame:
     """Runs work(rows, texts of the next rows) over the rows in descending id order (null ids last); after the last comes the first.
 
-    Rows are dealt by range of their ids themselves, whatever their type, and sorted by Spark; as many ranges as the input has
-    block_bytes, but for at most `most`. Equal ids go by the first 64 characters of their text, then by its hash; rows that repeat both
-    id and text may be dealt over several ranges, so no id is one block. A task streams through its range. The last row of a range waits for the first text
-    of the next one: both are written with the results, and met in a second, small step. rows: _id, _text, in order.
+    Rows are compared by their ids themselves, whatever their type; equal ids go by the first 64 characters of their text, then by
+    its hash. Spark deals the ids alone by range, and the first row of each range begins a block: as many as the input has
+    block_bytes, but for at most `most` (their keys come to the driver). Then every text is shuffled once to its block, and the
+    first text of each block to the block before it as well. A task streams through its sorted blocks, so a block may be larger than
+    memory. rows: _id, _text, in order.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    size = rows.agg(F.sum(F.octet_length("_text") + 64).alias("bytes")).first()["bytes"] or 0
-    ranges = min(most, max(1, -(-size // block_bytes)))
-    keys = [F.col("_id").desc_nulls_last(), F.col("_begin"), F.col("_hash"), F.col("_tie")]
-    dealt = rows.withColumns({"_begin": F.substring("_text", 1, 64), "_hash": F.xxhash64("_text"), "_tie": F.monotonically_increasing_id()}).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
     id_type = dict(rows.dtypes)["_id"]
-    names = docs.sparkSession.createDataFrame([], schema).columns
+    size = rows.agg(F.sum(F.octet_length("_text") + 64).alias("bytes")).first()["bytes"] or 0
+    begin, mark = F.substring("_text", 1, 64), F.xxhash64("_text")
+    keys = [F.col("_id").desc_nulls_last(), F.col("_begin"), F.col("_mark")]
+    dealt = rows.select("_id", begin.alias("_begin"), mark.alias("_mark")).repartitionByRange(min(most, max(1, -(-size // block_bytes))), *keys).sortWithinPartitions(*keys).withColumn("_n", F.monotonically_increasing_id())
+    firsts = dealt.groupBy(F.shiftright("_n", 33).alias("_range")).agg(F.min_by(F.struct("_id", "_begin", "_mark"), "_n").alias("k")).orderBy("_range")
+    bounds = [r["k"] for r in firsts.collect()]
+    if not bounds:
+        return docs.sparkSession.createDataFrame([], schema)
+
+    fan = math.isqrt(len(bounds) - 1) + 1
+    bound = [F.struct(F.lit(k["_id"]).cast(id_type).alias("id"), F.lit(k["_begin"]).alias("begin"), F.lit(k["_mark"]).cast("bigint").alias("mark")) for k in bounds]
+    place = F.struct(begin.alias("begin"), mark.alias("mark"))
+    same = lambda x: F.col("_id").eqNullSafe(x["id"])
+
+    def reached(x: Column) -> Column:
+        """Whether a row is the first of a block or comes after it."""
+        return F.when(same(x), place >= F.struct(x["begin"].alias("begin"), x["mark"].alias("mark"))).when(F.col("_id").isNull(), True).when(x["id"].isNull(), False).otherwise(F.col("_id") < x["id"])
+
+    # The last bound that a row reaches: among every fan-th first, then among those up to the next of these.
+    groups = F.array(*[F.array(*bound[k : k + fan]) for k in range(0, len(bound), fan)])
+    coarse = rows.withColumn("_group", F.size(F.filter(F.array(*bound[::fan]), reached)))
+    blocked = coarse.withColumn("_block", (F.col("_group") - 1) * fan + F.size(F.filter(F.element_at(groups, F.col("_group")), reached)) - 1)
+    own = blocked.select("_id", "_text", "_block", F.lit(False).alias("_guest"))
+    head = F.element_at(F.element_at(groups, F.col("_group")), F.col("_block") - (F.col("_group") - 1) * fan + 1)
+    heads = blocked.where(same(head) & (place == F.struct(head["begin"].alias("begin"), head["mark"].alias("mark")))).dropDuplicates(["_block"])
+    guests = heads.select("_id", "_text", F.pmod(F.col("_block") - 1, F.lit(len(bounds))).alias("_block"), F.lit(True).alias("_guest"))
+    placed = own.unionByName(guests).repartition(len(bounds), "_block").sortWithinPartitions("_block", "_guest", F.col("_id").desc_nulls_last(), begin, mark)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, pending, out_schema = TaskContext.get().partitionId(), None, None
-        edges = []  # (which, id, text) of the first and the last row
-
-        def mixed(results: pa.Table | None, which: str | None = None, one: pa.Table | None = None) -> Iterator[pa.RecordBatch]:
-            n = results.num_rows if results is not None else one.num_rows
-            blank = lambda kind: pa.nulls(n, kind)
-            columns = [results.column(c) if results is not None else blank(out_schema.field(c).type) for c in names]
-            columns += [pa.array([which] * n, pa.string()), pa.array([part] * n, pa.int32())]
-            columns += [one.column("_id"), one.column("_text")] if one is not None else [blank(id_kind), blank(pa.string())]
-            yield from pa.table(dict(zip([*names, "_edge", "_part", "_id", "_text"], columns, strict=True))).to_batches()
-
-        id_kind = None
+        pending = None
         for batch in batches:
             for piece in blocks(batch, "_text"):
-                table = pa.Table.from_batches([piece])
-                id_kind = table.schema.field("_id").type
-                if pending is None:
-                    edges.append(("first", table.slice(0, 1)))
-                line = table if pending is None else pa.concat_tables([pending, table])
-                pending = line.slice(line.num_rows - 1)
-                if line.num_rows > 1:
-                    done = work(line.slice(0, line.num_rows - 1), line.column("_text").slice(1).combine_chunks())
-                    out_schema = done.schema
-                    yield from mixed(done)
-        if pending is not None:
-            edges.append(("last", pending))
-            if out_schema is None:
-                out_schema = work(pending, pending.column("_text").combine_chunks()).schema
-            for which, one in edges:
-                yield from mixed(None, which, one)
-
-    held = materialize(dealt.select("_id", "_text").mapInArrow(run, f"{schema}, _edge string, _part int, _id {id_type}, _text string"), "spot-next")
-    edge = lambda which: held.where(F.col("_edge") == which).select("_part", "_id", "_text")
-    # Which range follows which: a number for each range goes through one window, no text.
-    parts = edge("last").select("_part")
-    whole = Window.orderBy("_part")
-    follows = parts.select("_part", F.coalesce(F.lead("_part").over(whole), F.min("_part").over(Window.partitionBy())).alias("_next"))
-    heads = edge("first").select(F.col("_part").alias("_next"), F.col("_text").alias("_following"))
-    tails = edge("last").join(follows, "_part").join(heads, "_next").select("_id", "_text", "_following")
-
-    def close(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if table.num_rows:
-                # Each of these rows has a next row of its own, so they are worked one by one.
-                for k in range(table.num_rows):
-                    one = table.slice(k, 1)
-                    yield from work(one.select(["_id", "_text"]), one.column("_following").combine_chunks()).to_batches()
-
-    return held.where("_edge is null").select(names).unionByName(tails.mapInArrow(close, schema))
+                line = pa.Table.from_batches([piece] if pending is None else [pending, piece])
+                pending = piece.slice(piece.num_rows - 1)
+                # The guest of a block is its last row, so every other row is followed by the one behind it.
+                kept = pc.invert(line.column("_guest").slice(0, line.num_rows - 1))
+                ahead = line.slice(0, line.num_rows - 1).filter(kept).combine_chunks()
+                texts = line.column("_text").slice(1).filter(kept).combine_chunks()
+                block = ahead.column("_block").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a < b:
+                        yield from work(ahead.slice(a, b - a).select(["_id", "_text"]), texts.slice(a, b - a)).to_batches()
+
+    return placed.mapInArrow(run, schema)
