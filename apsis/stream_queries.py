@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from . import fixtures as X
 from . import queries as Q
-from .operators import anomaly, feeds, panes, positions, views
-from .sources import commits
+from .operators import anomaly, drift, feeds, panes, positions, views
+from .plans import daily, weekly
+from .sources import commits, readers, writers
 from .sources.scratch import scratch_dir
 from .streaming import correlate, jobs, state
 
@@ -135,3 +136,117 @@ def compacted_archive(spark, sf_dir):
     now = by_day(None, F.count("*").alias("rows"), F.sum("timestamp").alias("seconds"), F.count_distinct("folder").alias("folders"))
     met = now.join(by_day(1, F.count("*").alias("rows_before")), "date", "left").join(by_day(2, F.count("*").alias("rows_between")), "date", "left")
     return met.select(F.col("date").cast("string").alias("date"), "rows", "seconds", F.coalesce("rows_before", F.lit(0)).alias("rows_before"), "rows_between", "folders")
+
+
+# --- Jobs from end to end -----------------------------------------------------------------------------------------
+
+
+@Q.registered(f"""WITH {Q.ALERTS}, {Q.WEATHER[len(Q.POS) + 2:]}, closed AS (SELECT * FROM alerts WHERE w + 172800 <= (SELECT max(seconds) FROM pos) - 30),
+severe AS (SELECT DISTINCT weather_id, severity AS level, floor(epoch(ts))::BIGINT AS t0 FROM graded WHERE severity IN ('high', 'extreme'))
+SELECT alert_type, severity, satellite_id, count(*) AS alerts FROM closed GROUP BY ALL
+UNION ALL SELECT 'SPACE_WEATHER_CORRELATION', CASE WHEN level = 'extreme' THEN 'CRITICAL' ELSE 'WARNING' END, satellite_id, count(*)
+FROM (SELECT DISTINCT satellite_id, w FROM closed) a JOIN severe e ON a.w BETWEEN e.t0 AND e.t0 + 3600 GROUP BY ALL""")
+def stream_alerts(spark, sf_dir):
+    """The alert job: enriched messages in several batches, windows as they close, correlations with the event table, one folder a batch."""
+    rows = Q.enriched(spark, sf_dir)
+    messages = positions.to_messages(positions.to_enriched_message(rows), "satellite_id").withColumn("at", F.get_json_object("value", "$.timestamp").cast("bigint"))
+    folder, schema, root = landed(messages, "alert-job", "at")
+    feeds.normalize_events(X.event_payloads(spark, sf_dir)).write.json(f"{root}/events")
+    jobs.start_alerts(replayed(spark, folder, schema), f"{root}/events", f"{root}/out", f"{root}/checkpoint", mode="overlap", size=Q.SIZE, slide=Q.SLIDE).awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("alert_type", "severity", "satellite_id").agg(F.count("*").alias("alerts"))
+
+
+@Q.registered(f"WITH {Q.WEATHER} SELECT kind AS event_type, count(*) AS events FROM graded GROUP BY kind")
+def stream_new_events(spark, sf_dir):
+    """Events polled twice, the second time a file later: each id once."""
+    polled = feeds.normalize_events(X.event_payloads(spark, sf_dir)).where("start_time is not null").select("event_id", "event_type", F.try_to_timestamp("start_time").alias("event_time"), F.explode(F.array(F.lit(1), F.lit(2))).alias("poll"))
+    folder, schema, root = landed(polled.withColumn("at", F.unix_seconds("event_time")), "polls", "at", late="poll = 2")
+    once = jobs.new_events(replayed(spark, folder, schema), look_back="16 days")
+    return finished(once, root).groupBy("event_type").agg(F.count("*").alias("events"))
+
+
+@Q.registered(Q.ORACLE_SQL["changed_tles"])
+def stream_changed_tles(spark, sf_dir):
+    """Lines that differ from the satellite's one before, the last one kept as state between batches."""
+    state.use_keyed_state(spark)
+    rows = X.tle_rows(spark, sf_dir).drop("event_type").withColumn("at", F.unix_seconds(F.try_to_timestamp("ingestion_time")))
+    folder, schema, root = landed(rows, "lines", "at")
+    return finished(jobs.changed_lines(replayed(spark, folder, schema)), root).groupBy("satellite_id").agg(F.count("*").alias("changes"))
+
+
+DAY = "2024-01-10"
+
+
+@Q.registered(f"""WITH {Q.ENRICHED}, s AS (SELECT satellite_id, orbit_type, count(*) AS position_count, count(DISTINCT country_code) AS countries_overflown FROM enriched WHERE strftime(ts, '%Y-%m-%d') = '{DAY}' GROUP BY ALL)
+SELECT *, count(*) OVER (PARTITION BY satellite_id) AS documents, 'completed' AS status FROM s""")
+def daily_job(spark, sf_dir):
+    """The daily job over a written archive: its mart read back, the documents of its satellites and its completion row."""
+    root = f"{scratch_dir(spark)}/apsis/daily-{uuid.uuid4().hex}"
+    writers.write_positions_archive(Q.enriched(spark, sf_dir), f"{root}/archive", by=("date",))
+    daily.run_daily(spark, f"{root}/archive", f"{root}/out", DAY)
+    stats = spark.read.orc(f"{root}/out/satellite_stats/date={DAY}").select("satellite_id", "orbit_type", "position_count", "countries_overflown")
+    documents = spark.read.schema("date string, key string, value string").json(f"{root}/out/summary_document/date={DAY}").groupBy(F.col("key").cast("int").alias("satellite_id")).agg(F.count("*").alias("documents"))
+    status = readers.read_report(spark, f"{root}/out/batch_trigger", "date string, status string").where(F.col("date") == DAY).select(F.max("status")).first()[0]
+    return stats.join(documents, "satellite_id").withColumn("status", F.lit(status))
+
+
+@Q.registered(f"""WITH {Q.TLES}, wk AS (SELECT t.*, e.event_type, epoch_us - lag(epoch_us) OVER (PARTITION BY t.satellite_id ORDER BY epoch_us) AS gap FROM tle t JOIN events e USING (event_id)
+  WHERE e.event_type <> 'signup' AND strftime(e.ts, '%Y-%m-%d') BETWEEN '2024-01-08' AND '2024-01-14')
+SELECT satellite_id, count(*) AS tle_count, count(*) FILTER (gap > 0) AS drifts, (SELECT count(*) FROM events WHERE event_type = 'signup' AND strftime(ts, '%Y-%m-%d') BETWEEN '2024-01-08' AND '2024-01-14') AS rejected FROM wk GROUP BY satellite_id""")
+def weekly_job(spark, sf_dir):
+    """The weekly job over landed JSON lines, those of signup events cut short; the report is read back."""
+    root = f"{scratch_dir(spark)}/apsis/weekly-{uuid.uuid4().hex}"
+    rows = X.tle_rows(spark, sf_dir)
+    whole = F.to_json(F.struct(*[c for c in rows.columns if c != "event_type"]))
+    lines = rows.select(F.when(F.col("event_type") == "signup", F.substring(whole, 1, 40)).otherwise(whole).alias("value"), F.to_date("ingestion_time").alias("date"))
+    lines.repartition("date").write.partitionBy("date").text(f"{root}/tle")
+    _, rejects = weekly.run_weekly(spark, f"{root}/tle", f"{root}/out", DAY)
+    report = readers.read_report(spark, f"{root}/out/week=2024-02", "satellite_id int, tle_count bigint, drift_analysis array<struct<dt_days: double>>")
+    rejected = rejects.count()
+    return report.select("satellite_id", "tle_count", F.size("drift_analysis").cast("bigint").alias("drifts"), F.lit(rejected).cast("bigint").alias("rejected"))
+
+
+# --- Views and checks that the jobs feed --------------------------------------------------------------------------
+
+
+@Q.registered("""SELECT CASE event_type WHEN 'error' THEN 'checksum' WHEN 'purchase' THEN 'length' WHEN 'view' THEN 'line number' WHEN 'signup' THEN 'incomplete' END AS reason, count(*) AS lines
+FROM events WHERE event_type <> 'click' GROUP BY 1""")
+def tle_rejects(spark, sf_dir):
+    """Lines spoiled in four ways, and those of click events left alone."""
+    kind, one, two = F.col("event_type"), F.col("tle_line1"), F.col("tle_line2")
+    wrong = F.concat(F.substring(one, 1, 68), ((F.substring(one, 69, 1).cast("int") + 1) % 10).cast("string"))
+    spoiled = X.tle_rows(spark, sf_dir).withColumns(
+        {
+            "tle_line1": F.when(kind == "error", wrong).when(kind == "purchase", F.substring(one, 1, 60)).when(kind == "signup", "").otherwise(one),
+            "tle_line2": F.when(kind == "view", F.concat(F.lit("3"), F.substring(two, 2, 68))).otherwise(two),
+        }
+    )
+    return drift.parse_tle(spoiled)[1].groupBy("reason").agg(F.count("*").alias("lines"))
+
+
+@Q.registered(f"""WITH {Q.POS} SELECT satellite_id, count(*) AS messages, max(CASE WHEN event_type = 'view' THEN NULL ELSE satellite_name END) AS satellite_name FROM pos WHERE event_type <> 'click' AND satellite_id <> 0 GROUP BY satellite_id""")
+def aliased_ids(spark, sf_dir):
+    """Messages under either spelling of id and name: of view events the name is empty, of click events the id is 0. Satellite 0 has no id either."""
+    kind = F.col("event_type")
+    rows = X.positions(spark, sf_dir).join(X.events_table(spark, sf_dir).select("event_id", "event_type"), "event_id")
+    old = (F.col("event_id") % 2) == 0
+    number = F.when(kind == "click", 0).otherwise(F.col("satellite_id"))
+    name = F.when(kind == "view", "").otherwise(F.col("satellite_name"))
+    sent = rows.select(F.when(old, number).alias("satellite_id"), F.when(~old, number).alias("satelliteId"), F.when(old, name).alias("satellite_name"), F.when(~old, name).alias("satelliteName"))
+    return views.with_ids(sent).groupBy("satellite_id").agg(F.count("*").alias("messages"), F.max("satellite_name").alias("satellite_name"))
+
+
+@Q.registered(f"WITH {Q.WEATHER} SELECT count(DISTINCT weather_id) AS active_events FROM graded WHERE seconds <= epoch(TIMESTAMP '{Q.NOW}') AND seconds >= epoch(TIMESTAMP '{Q.NOW}') - 259200")
+def active_event_count(spark, sf_dir):
+    rows = feeds.normalize_events(X.event_payloads(spark, sf_dir)).withColumn("ingested", F.try_to_timestamp("ingestion_time"))
+    return views.active_count(rows, Q.now())
+
+
+@Q.registered(f"""WITH {Q.ALERTS}, a AS (SELECT sha256(alert_type || '|' || satellite_id || '|' || strftime(make_timestamp(w * 1000000), '%Y-%m-%d %H:%M:%S')) AS alert_id, satellite_id, w, severity, alert_type FROM alerts WHERE w <= epoch(TIMESTAMP '{Q.NOW}') AND w >= epoch(TIMESTAMP '{Q.NOW}') - 864000)
+SELECT alert_id, satellite_id, severity, alert_type FROM a QUALIFY row_number() OVER (PARTITION BY satellite_id ORDER BY w DESC, alert_id) <= 3""")
+def alert_details(spark, sf_dir):
+    """The details of listed ids: the last three of each satellite and one that nobody knows, which is skipped."""
+    alerts = anomaly.detect_anomalies(Q.windowed(spark, sf_dir)).withColumn("detected_time", F.col("window.start"))
+    listed = views.recent_alerts(alerts, Q.now(), per_satellite=3, ttl="10 days").select("alert_id")
+    unknown = spark.range(1).select(F.lit("unknown").alias("alert_id"))
+    return views.alert_details(listed.unionByName(unknown), alerts).select("alert_id", "satellite_id", "severity", "alert_type")

@@ -62,14 +62,14 @@ def start_committed_enrichment(messages: DataFrame, root: str, checkpoint: str,
     return _trigger(messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint), seconds).start()
 
 
-def alert_stream(enriched_messages: DataFrame, watermark: str = "30 seconds", expected: str = "constant") -> DataFrame:
+def alert_stream(enriched_messages: DataFrame, watermark: str = "30 seconds", expected: str = "constant", size: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
     """Enriched messages (value) to alerts: one stateful aggregation for both rules, appended when a window closes."""
     rows, _ = positions.decode(enriched_messages, S.ENRICHED)
     flat = positions.flatten_message(rows)
-    return anomaly.detect_anomalies(anomaly.sliding_stats(flat, watermark=watermark), expected)
+    return anomaly.detect_anomalies(anomaly.sliding_stats(flat, size, slide, watermark), expected)
 
 
-def start_alerts(enriched_messages: DataFrame, events: str, out: str, checkpoint: str, seconds: int | None = None, mode: str = "all", topic: str | None = None):
+def start_alerts(enriched_messages: DataFrame, events: str, out: str, checkpoint: str, seconds: int | None = None, mode: str = "all", topic: str | None = None, size: str = "60 seconds", slide: str = "10 seconds"):
     """Alerts and their space-weather correlations, as rows and, with a topic, as messages keyed by satellite. The event
     table is read anew in each micro-batch. Undecodable messages are filed by start_rejects."""
 
@@ -85,7 +85,7 @@ def start_alerts(enriched_messages: DataFrame, events: str, out: str, checkpoint
         finally:
             batch.unpersist()
 
-    return _trigger(alert_stream(enriched_messages).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint), seconds).start()
+    return _trigger(alert_stream(enriched_messages, size=size, slide=slide).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint), seconds).start()
 
 
 def start_rejects(messages: DataFrame, schema: str, rejects: str, checkpoint: str, seconds: int | None = None):
