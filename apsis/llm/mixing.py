@@ -76,21 +76,39 @@ def within_reach(margin: DataFrame, total: Column) -> DataFrame:
     return capped.withColumn("goal", F.least("goal", "tokens"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], iterations: int, per_table: int = 2) -> DataFrame:
+def rake(cells: DataFrame, goals: dict[str, DataFrame], iterations: int, tolerance: float = 1e-9, per_table: int = 4) -> DataFrame:
     """cells: source, lang, topic, tokens. Adds weight: tokens to sample, at most those of the cell, that meet the goals
-    of the margins in turn. A cell at its bound keeps its factors, so that it can leave the bound again. The plan is cut
-    by a written table every per_table iterations."""
+    of the margins in turn. A cell at its bound keeps its factors, so that it can leave the bound again. Ends when every margin
+    is within `tolerance` of its goal, when rounds no longer bring it nearer (then the cells' bounds do not allow the goals), or
+    after `iterations` rounds. The cells are few by their bound: they stay in one partition, and the plan is cut by a written
+    table every per_table rounds."""
     fitted = cells.withColumn("_cap", F.col("tokens").cast("double")).withColumn("weight", F.col("_cap"))
     for name in MARGINS:
         fitted = fitted.join(F.broadcast(goals[name].select(F.col("value").alias(name), F.col("goal").alias(f"_to_{name}"))), name, "left")
-    for k in range(iterations):
-        for name in MARGINS:
-            fitted = _scaled(fitted, "weight", "_cap", F.coalesce(F.col(f"_to_{name}"), F.lit(0.0)), name)
-        if (k + 1) % per_table == 0 or k + 1 == iterations:
-            fitted = materialize(fitted, "raked")
+    done, before = 0, float("inf")
+    while done < iterations:
+        fitted = fitted.coalesce(1)
+        for _ in range(min(per_table, iterations - done)):
+            for name in MARGINS:
+                fitted = _scaled(fitted, "weight", "_cap", F.coalesce(F.col(f"_to_{name}"), F.lit(0.0)), name)
+        done += per_table
+        fitted = materialize(fitted, "raked")
+        now = residual(fitted)
+        if now <= tolerance or now > 0.99 * before:
+            break
+        before = now
     return fitted.select(*MARGINS, "tokens", F.least("weight", "_cap").alias("weight"))
 
 
+def residual(fitted: DataFrame) -> float:
+    """The largest relative distance of a margin's weight from its goal, over the margins that have one."""
+    off = None
+    for name in MARGINS:
+        held = fitted.groupBy(name).agg(F.sum(F.least("weight", "_cap")).alias("w"), F.max(f"_to_{name}").alias("g")).where("g > 0").select((F.abs(F.col("w") - F.col("g")) / F.col("g")).alias("off"))
+        off = held if off is None else off.unionByName(held)
+    return off.agg(F.max("off")).first()[0] or 0.0
+
+
 @dataclass
 class Mixer:
     """How documents are described and sampled. targets maps a margin to {value: share}; a margin without targets gets
@@ -105,7 +123,7 @@ class Mixer:
     targets: dict[str, dict[str, float]] | None = None
     keep: float = 0.5
     exponent: float = 0.5
-    iterations: int = 8
+    iterations: int = 40  # at most; see rake
     seed: int = 7
     most: tuple[int, int, int] = (64, 16, 16)  # values with a margin of their own, by margin
 
@@ -155,3 +173,20 @@ def sample(docs: DataFrame, mixer: Mixer | None = None) -> DataFrame:
     rates = mixer.rates(materialize(mixer.described(docs), "mixing-rows"))
     rows = mixer.described(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return rows.join(rates, list(MARGINS)).where(mixer.drawn()).select("_row.*")
+
+
+def achieved(mixed: DataFrame, mixer: Mixer | None = None) -> DataFrame:
+    """What a mixture gives against what was asked: margin, value, target (share of tokens), expected (share of the sampled tokens by
+    the documents' probabilities) and sampled (by the draws). mixed: the rows of mix. A value that has fewer tokens than
+    its target asks for falls short of it. For margins whose values all have one of their own (none in `other`)."""
+    mixer = mixer or Mixer()
+    rows = mixed.select(*MARGINS, "n_tokens", (F.col("n_tokens") * F.col("probability")).alias("_e"), F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0).alias("_s"))
+    cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.sum("_e").alias("_e"), F.sum("_s").alias("_s")), "mixing-achieved")
+    out = None
+    for name in MARGINS:
+        asked = _margin(cells, name, (mixer.targets or {}).get(name), mixer.exponent).select("value", "target")
+        ranked = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum("_e").alias("_e"), F.sum("_s").alias("_s"))
+        share = lambda c: (F.col(c) / F.nullif(F.sum(c).over(Window.partitionBy()), F.lit(0))).alias({"_e": "expected", "_s": "sampled"}[c])
+        part = ranked.join(asked, "value", "left").select(F.lit(name).alias("margin"), "value", "target", share("_e"), share("_s"))
+        out = part if out is None else out.unionByName(part)
+    return out
