@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from apsis.llm import collocations, hilbert_shards, merkle_manifest, ordering, queries, secret_scan, spot_signatures
+from apsis.llm import collocations, hilbert_shards, merkle_manifest, mixing, ordering, queries, secret_scan, spot_signatures
 
 SF = "/root/testdata/sf0.001"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -284,3 +284,39 @@ def test_a_text_of_many_secrets_takes_linear_time():
         covered[a:b] = True
     want = [(m.start(), m.end()) for m in secret_scan.CANDIDATE.finditer(text) if not covered[m.start() : m.end()].any() and secret_scan.LETTER.search(m[0])]
     assert [(a, b) for _, a, b, _ in found] == want and want
+
+
+# --- Mixing -------------------------------------------------------------------------------------------------------
+
+
+def test_op7_reports_what_it_gives(spark):
+    mixed = queries.op7_mixing(spark, SF)
+    rows = mixed.collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(r["n_tokens"] == len(re.findall(r"[^ \t\n\x0b\f\r]+", texts[r["doc_id"]])) for r in rows) and len(rows) == len(texts)
+    got = {(r["margin"], r["value"]): r for r in mixing.achieved(mixed).collect()}
+    total = sum(r["n_tokens"] for r in rows)
+    for name in mixing.MARGINS:
+        have, want, drawn = collections.Counter(), collections.Counter(), collections.Counter()
+        for r in rows:
+            have[r[name]] += r["n_tokens"]
+            want[r[name]] += r["n_tokens"] * r["probability"]
+            drawn[r[name]] += r["n_tokens"] * r["sampled"]
+        raised = {v: n**0.5 for v, n in have.items() if n}
+        for v in have:
+            assert got[name, v]["expected"] == pytest.approx(want[v] / sum(want.values()), abs=1e-9)
+            assert got[name, v]["sampled"] == pytest.approx(drawn[v] / sum(drawn.values()), abs=1e-9)
+            assert got[name, v]["target"] == pytest.approx(raised[v] / sum(raised.values()), abs=1e-9)
+            # At its target, or above where others have too little, or whole; so few documents leave cells that are smaller than
+            # the margins ask for together, so nearly.
+            assert want[v] >= min(have[v], 0.5 * total * raised[v] / sum(raised.values())) * 0.999
+
+
+def test_raking_ends_at_its_goals(spark):
+    r = random.Random(3)
+    cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", r.randint(50, 900)) for a in range(4) for b in range(3) for c in range(2)], "source string, lang string, topic string, tokens bigint")
+    goals = {m: spark.createDataFrame([(f"{m[0]}{k}", 120.0 / n) for k in range(n)], "value string, goal double") for m, n in (("source", 4), ("lang", 3), ("topic", 2))}
+    fitted = mixing.rake(cells, goals, 40).collect()
+    for m, n in (("source", 4), ("lang", 3), ("topic", 2)):
+        for k in range(n):
+            assert sum(x["weight"] for x in fitted if x[m] == f"{m[0]}{k}") == pytest.approx(120.0 / n, rel=1e-8)
