@@ -11,7 +11,8 @@ template mark. Loss covers the content of loss_roles; spans are code points of `
 
 Cases: null text or null parts count as empty; a null role counts as the empty role; turns are ordered by turn, ties
 by role, then content (repeated rows stay repeated), null turns first; a null conversation id is a conversation of its
-own; an empty table gives an empty result; extra columns are ignored. All turns of one conversation meet in one row,
+own; a very long text is one string as any other (up to Spark's 2 GB a row); an empty table gives an empty result; extra columns
+are ignored, whatever their names. All turns of one conversation meet in one row,
 since its text is one string.
 """
 

@@ -10,7 +10,7 @@ sequences whose lengths are powers of two, which need no padding.
 Ids come from the `tokenizers` library. The vocabulary file is read on the driver and broadcast (two megabytes).
 Sequence ids are partition * 2^33 + number: unique, and the same on a rerun of the task.
 Cases: null text is empty and gives a piece with the end token alone; a long text fills whole sequences by itself;
-repeated rows are packed separately; an empty table gives an empty result; extra columns are ignored.
+repeated rows, and pieces that tie, are packed separately, in the order in which they come; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

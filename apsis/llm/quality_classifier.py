@@ -7,7 +7,7 @@ bins that Spark counts. Only the model (a few hundred kilobytes at any input siz
 
 Cases: null or empty text has statistics of zero and is scored like any other; rows without a label, or with a null
 label or null id, are scored but not learned from; a document with several labels is learned once with each; repeated
-rows are scored alike; without any label of a class all scores are the share of the other; an empty table gives an empty result;
+rows are scored alike, and equal scores calibrate alike; a very long text is read whole, alone in its block; without any label of a class all scores are the share of the other; an empty table gives an empty result;
 extra columns are ignored.
 """
 

@@ -10,7 +10,8 @@ the texts again. Automata are fitted on a bounded sample (sample_per_kind distin
 longer than max_example characters: parameters), which does not depend on how rows are ordered or dealt to tasks; all
 candidates of all rows are scored.
 
-Cases: null text counts as empty; repeated rows give the same spans; a kind with fewer than min_examples labelled examples
+Cases: null text counts as empty; a very long text is scanned whole, in time that grows with its length; repeated rows give the
+same spans; base spans of several kinds may overlap, and spans that tie come in the order of KINDS; a kind with fewer than min_examples labelled examples
 (a parameter: too few to tell a format) adds no format; an empty table gives an empty result; extra columns are ignored.
 """
 

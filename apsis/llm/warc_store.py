@@ -9,7 +9,7 @@ apart: its records are dealt over parts and it is copied to each part.
 Cases: null payload counts as empty; equal payloads under min_revisit_bytes are each a response, though stored once;
 rows that repeat the largest page id of a payload are all responses; a null page id is written as no id, read back as null, and
 never chosen as the response unless no other row has that payload (an empty id reads back as null too); an empty table
-gives two empty tables; extra columns are ignored.
+gives two empty tables; a very long payload is one binary value (up to Spark's 2 GB); extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from apsis.llm import collocations, hilbert_shards, merkle_manifest, mixing, ordering, queries, secret_scan, spot_signatures
+from apsis.llm import chat_format, collocations, hilbert_shards, merkle_manifest, mixing, ordering, queries, secret_scan, spot_signatures
 
 SF = "/root/testdata/sf0.001"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -320,3 +320,18 @@ def test_raking_ends_at_its_goals(spark):
     for m, n in (("source", 4), ("lang", 3), ("topic", 2)):
         for k in range(n):
             assert sum(x["weight"] for x in fitted if x[m] == f"{m[0]}{k}") == pytest.approx(120.0 / n, rel=1e-8)
+
+
+# --- Very long texts ----------------------------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    long = "word </turn> " * 200_000
+    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long)], "conv_id bigint, turn int, role string, text string")
+    made = chat_format.format_conversations(rows)
+    back = made.select(chat_format.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert back["loss"] == long
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, "a b", "en", "a")], "doc_id bigint, text string, lang string, source string").withColumn("probability", F.lit("clash")).withColumn("weight", F.lit("clash"))
+    assert {r["doc_id"]: r["n_tokens"] for r in mixing.mix(docs).collect()} == {1: 400_000, 2: 2}
+    leaf = docs.select(merkle_manifest.leaf_digest(F.col("text")).alias("d")).first()["d"]
+    assert leaf == sha(f"{len(long)}:{long}")
