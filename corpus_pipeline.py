@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet and reads
 them again as the next one's docs. All stages but the last return the columns of documents.
+
+Cases, in every stage: null and empty texts are documents like others (quality scores them, near_dedup takes the empty ones for copies
+of one another, secrets finds nothing, mixture gives them their cell's rate, packing one piece with the end mark alone); very long texts
+are taken whole; repeated rows are scored, redacted and drawn alike, and near_dedup keeps one of them; rows that tie are treated alike but
+in near_dedup, where one of those with the least id stays; an empty table passes through; further columns pass through to the last stage,
+whatever their names.
 """
 
 from __future__ import annotations
