@@ -6,7 +6,7 @@ parameter); every document is scored. The threshold comes from labelled rows: am
 one with the best difference of rejected bad and rejected good rows, that rejects at most max_good_loss of the good.
 
 Cases: null text counts as empty (no words: it fails the base rule); without labels of both kinds only the base rules
-reject; several labels of one document each count; repeated rows are judged alike, as are rows that tie at the threshold (they are kept);
+reject; several labels of one document each count; repeated rows are judged alike, as are rows that tie at the threshold (they go);
 a very long text is read whole, alone in its block; an empty table gives an empty
 result; extra columns are ignored.
 """
