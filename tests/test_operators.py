@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 
 import pytest
 from pyspark.sql import Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from apsis import fixtures as X
 from apsis import schemas as S
 from apsis.functions import tle
-from apsis.operators import anomaly, drift, feeds, health, marts, positions, tracks, views
+from apsis.operators import anomaly, drift, feeds, health, marts, panes, positions, tracks, views
 from apsis.sources import readers, writers
 from apsis.sources.scratch import scratch_dir
 
@@ -251,3 +252,17 @@ def test_scratch_folder_must_be_shared_on_a_cluster():
     assert scratch_dir(Fake("spark://x", "file:///s/")) == "file:///s" and scratch_dir(Fake("local[4]", None)).startswith("file:")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_dir(Fake("spark://x", None))
+
+
+def test_window_figures_do_not_depend_on_how_rows_are_dealt(spark):
+    # Satellite 1 has one speed in many partial sums, satellite 2 a mean at exactly two standard deviations, satellite 3 one just beyond.
+    at = dt.datetime(2024, 1, 15)
+    same, tied, over = [7.669] * 120, [7.664, 7.668, 7.672], [7.664, 7.669, 7.672]
+    for order in itertools.permutations(range(3)):
+        rows = [(1, v) for v in same] + [(2, tied[k]) for k in order] + [(3, over[k]) for k in order]
+        for tasks in (1, 7):
+            flat = spark.createDataFrame([(k, "A", at, 408.0, v) for k, v in rows], "satellite_id int, satellite_name string, event_time timestamp, altitude_km double, velocity_km_s double").repartition(tasks)
+            for stats in (anomaly.sliding_stats(flat, "2 days", "2 days"), panes.sliding_panes(flat, "2 days", "2 days")):
+                found = {r["satellite_id"]: r for r in stats.collect()}
+                assert found[1]["stddev_velocity"] == 0 and (found[2]["avg_velocity"], found[2]["stddev_velocity"]) == (7.668, 0.004)
+                assert [r["satellite_id"] for r in anomaly.detect_anomalies(stats).collect()] == [3]
