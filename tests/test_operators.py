@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from pyspark.sql import Window
@@ -266,3 +267,17 @@ def test_window_figures_do_not_depend_on_how_rows_are_dealt(spark):
                 found = {r["satellite_id"]: r for r in stats.collect()}
                 assert found[1]["stddev_velocity"] == 0 and (found[2]["avg_velocity"], found[2]["stddev_velocity"]) == (7.668, 0.004)
                 assert [r["satellite_id"] for r in anomaly.detect_anomalies(stats).collect()] == [3]
+
+
+def test_correlations_are_counted_without_pairs(spark):
+    r = random.Random(5)
+    hour = lambda h: T0 + dt.timedelta(hours=h)
+    iso = lambda h: hour(h).strftime("%Y-%m-%dT%H:%M:%SZ")
+    alerts = spark.createDataFrame([(s, f"{s}{n}" if n else None, (hour(h), hour(h + 48))) for s in range(6) for n in range(3) for h in r.sample(range(0, 200, 4), 9)] * 2 + [(None, "X", (hour(8), hour(56)))], "satellite_id int, satellite_name string, window struct<start: timestamp, end: timestamp>")
+    spans = [(k, b, b + r.choice([0, 1, 3, 40, 90])) for k, b in enumerate(r.choices(range(-20, 210), k=80))]
+    events = spark.createDataFrame([(f"E{k}", r.choice(["high", "extreme", "low"]), iso(b), None if k % 9 == 0 else "9999-12-31T23:59:59Z" if k % 11 == 0 else iso(e), "t") for k, b, e in spans] * 2 + [("none", "high", None, None, "t")], "event_id string, severity string, start_time string, end_time string, ingestion_time string")
+    got = lambda rows: sorted((r["satellite_id"] or -1, r["severity"], r["correlations"], r["events"] if "events" in rows.columns else 0) for r in rows.collect())
+    for mode, count in (("overlap", anomaly.count_overlapping_weather), ("all", anomaly.count_space_weather)):
+        pairs = anomaly.correlate_space_weather(alerts, events, mode).groupBy("satellite_id", "severity").agg(F.count("*").alias("correlations"), *[F.count_distinct("details.event_id").alias("events")] * (mode == "overlap"))
+        assert got(count(alerts, events)) == got(pairs) and got(pairs)
+        assert count(alerts, events.limit(0)).count() == count(alerts.limit(0), events).count() == 0
