@@ -94,9 +94,9 @@ def start_rejects(messages: DataFrame, schema: str, rejects: str, checkpoint: st
     return _trigger(bad.writeStream.format("json").option("path", rejects).option("checkpointLocation", checkpoint), seconds).start()
 
 
-def new_events(events: DataFrame, column: str = "event_time", look_back: str = "7 days") -> DataFrame:
-    """Each event id once over overlapping polls, within the look-back."""
-    return events.withWatermark(column, look_back).dropDuplicatesWithinWatermark(["event_id"])
+def new_events(events: DataFrame, column: str = "event_time", look_back: str = "7 days", identity: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Each event once over overlapping polls, within the look-back: by its id or, where ids are not unique, by more columns."""
+    return events.withWatermark(column, look_back).dropDuplicatesWithinWatermark(list(identity))
 
 
 def changed_lines(rows: DataFrame) -> DataFrame:

@@ -259,3 +259,12 @@ def test_sketches_unite(spark):
     got = marts.united_counts(marts.distinct_sketches(rows, F.col("v")), "satellite_id").first()["distinct"]
     assert abs(got - 9000) <= 9000 * 0.065
 
+
+def test_events_of_one_id_and_two_places_are_two(spark, tmp_path):
+    schema = "event_id string, source_location string, event_time timestamp"
+    at = dt.datetime(2024, 1, 15)
+    files(spark, [("A", "1", at), ("A", "2", at)], schema, f"{tmp_path}/in")
+    files(spark, [("A", "2", at), ("A", "1", at), ("B", None, at), ("B", None, at)], schema, f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = run(jobs.new_events(stream, identity=("event_id", "source_location")), tmp_path)
+    assert sorted((r["event_id"], r["source_location"] or "") for _, r in got) == [("A", "1"), ("A", "2"), ("B", "")]
