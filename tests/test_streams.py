@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apsis import fixtures as X
+from apsis import stream_queries as SQ
 from apsis.functions import orbit, tle
 from apsis.functions import sql as sql_functions
 from apsis.operators import anomaly, drift, intervals, marts, panes, positions
@@ -260,6 +261,24 @@ def test_sketches_unite(spark):
     assert abs(got - 9000) <= 9000 * 0.065
 
 
+
+# --- Landing, polls, decoding -------------------------------------------------------------------------------------
+
+
+def test_slices_of_a_landing_are_several_files_and_one_trigger(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(SQ, "ROWS_PER_FILE", 50)
+    # Most rows lie in the first slice, two in the third and none in the last but one row.
+    rows = spark.createDataFrame([(k, k % 100) for k in range(700)] + [(700, 250), (701, 260), (702, 400)], "id bigint, at bigint")
+    folder, schema, _ = SQ.landed(rows, "test", "at")
+    assert SQ._files(spark, folder) == 4 * 4
+    got = run(SQ.replayed(spark, folder, schema), tmp_path)
+    slices = {}
+    for batch, r in got:
+        slices.setdefault(batch, []).append(r["id"])
+    assert sorted(i for ids in slices.values() for i in ids) == list(range(703))
+    assert {b: (min(i), max(i)) for b, i in slices.items()} == {0: (0, 699), 2: (700, 701), 3: (702, 702)}
+
+
 def test_events_of_one_id_and_two_places_are_two(spark, tmp_path):
     schema = "event_id string, source_location string, event_time timestamp"
     at = dt.datetime(2024, 1, 15)
@@ -268,3 +287,9 @@ def test_events_of_one_id_and_two_places_are_two(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = run(jobs.new_events(stream, identity=("event_id", "source_location")), tmp_path)
     assert sorted((r["event_id"], r["source_location"] or "") for _, r in got) == [("A", "1"), ("A", "2"), ("B", "")]
+
+
+def test_messages_are_decoded_once(spark):
+    rows, _ = positions.decode(spark.createDataFrame([("{}",)], "value string"), "satellite_id int, satellite_name string, latitude double, longitude double, timestamp bigint")
+    good, _ = positions.validate_positions(rows)
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
