@@ -164,7 +164,12 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 1 << 20):
-    """Slices of a batch with at most `limit` bytes of text each (a longer text comes alone)."""
+    """Slices of a batch with at most `limit` bytes of text each (a longer text comes alone).
+
+    Before and after them Arrow's pool gives back what it no longer uses: it would keep the memory of earlier batches, and
+    workers outlive their tasks."""
+    pool = pa.default_memory_pool()
+    pool.release_unused()
     column = batch.column(batch.schema.get_field_index(text))
     offsets, _ = utf8(column)
     at, n = 0, batch.num_rows
@@ -172,6 +177,7 @@ def blocks(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 1 << 20):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    pool.release_unused()
 
 
 def within(words: Words, width: int) -> np.ndarray:

@@ -18,10 +18,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from .common import blocks
 
 #: Words a worker remembers; beyond it begins anew.
 CACHE = 1_200_000
-_encoders: dict[int, "Encoder"] = {}
+_encoders: WeakKeyDictionary[Broadcast, "Encoder"] = WeakKeyDictionary()
 
 
 class Encoder:
@@ -91,12 +93,12 @@ class Encoder:
         return [np.frombuffer(self.line.join(map(whole, lines)), "<u4") if lines else self._ids(text) for text, lines in zip(texts, found, strict=True)]
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    key = hash(vocabulary)
-    if key not in _encoders:
-        _encoders[key] = Encoder(vocabulary)
-    return _encoders[key]
+def encoder(vocabulary: Broadcast) -> Encoder:
+    """One encoder per worker process and broadcast vocabulary. A worker that goes on to another job's tasks drops the
+    broadcast, and with it the encoder and its words."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary.value)
+    return _encoders[vocabulary]
 
 
 @dataclass
@@ -230,7 +232,7 @@ def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary.value)
+        bpe = encoder(vocabulary)
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         kind = None
         for batch in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from apsis.llm import components, doc_stats, near_duplicates, packing, quality_classifier, quality_rules, queries, secret_scan, spot_signatures, substring_dedup
-from apsis.llm.common import BLANK, SAME, Words, beside, window_hashes
+from apsis.llm.common import BLANK, SAME, Words, beside, blocks, window_hashes
 
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -611,6 +611,38 @@ def test_an_encoder_forgets_and_goes_on(monkeypatch):
             assert ids.tolist() == encoder.bpe.encode(text, add_special_tokens=False).ids
 
 
+def test_a_worker_drops_its_words_when_another_job_comes(spark, docs):
+    packing.pack(docs, queries.VOCABULARY).collect()
+
+    def left(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"encoders": [len(packing._encoders)]})
+
+    rows = spark.range(0, 8, 1, 8).mapInArrow(left, "encoders bigint").collect()
+    assert rows and not any(r["encoders"] for r in rows)
+
+
+def test_one_encoder_per_broadcast(spark):
+    with open(queries.VOCABULARY, encoding="utf-8") as file:
+        vocabulary = spark.sparkContext.broadcast(file.read())
+    assert packing.encoder(vocabulary) is packing.encoder(vocabulary)
+
+
+def test_blocks_give_back_the_memory_of_earlier_batches():
+    def own_mb():
+        with open("/proc/self/smaps_rollup") as file:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", file.read())[1]) / 1024
+
+    small = pa.record_batch({"_text": ["a b", "c"]})
+    before = own_mb()
+    earlier = [pa.array([str(k) * (1 << 20)], pa.large_string()) for k in range(200)]
+    held = own_mb()
+    assert held - before > 200
+    del earlier
+    assert sum(part.num_rows for part in blocks(small, "_text")) == 2
+    assert held - own_mb() > 150
+
+
 def test_packing_keeps_all_three_limits():
     limits = packing.Limits(64, 3, 20)
     packer = packing.Packer(limits, 0, pool=8)
