@@ -18,11 +18,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkContext, TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,13 +95,19 @@ class Encoder:
 
 
 def encoder(vocabulary: Broadcast) -> Encoder:
-    """One encoder per worker process and broadcast vocabulary. A worker that goes on to another job's tasks drops the
+    """One encoder per worker process and broadcast vocabulary. A worker that goes on to tasks without it drops the
     broadcast, and with it the encoder and its words."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = Encoder(vocabulary.value)
     return _encoders[vocabulary]
 
 
+@lru_cache(maxsize=4)
+def shared(context: SparkContext, vocabulary: str) -> Broadcast:
+    """One broadcast per session and vocabulary, so that packing jobs that follow one another find the workers' words."""
+    return context.broadcast(vocabulary)
+
+
 @dataclass
 class Limits:
     """Of one sequence. loss counts tokens that bear loss."""
@@ -229,7 +236,7 @@ def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(begin, F.lit(0)).cast("bigint").alias("_from"))
     id_type = rows.schema["_id"].dataType
     with open(vocabulary_path, encoding="utf-8") as file:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
+        vocabulary = shared(docs.sparkSession.sparkContext, file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)

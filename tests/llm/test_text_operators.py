@@ -622,9 +622,10 @@ def test_a_worker_drops_its_words_when_another_job_comes(spark, docs):
     assert rows and not any(r["encoders"] for r in rows)
 
 
-def test_one_encoder_per_broadcast(spark):
-    with open(queries.VOCABULARY, encoding="utf-8") as file:
-        vocabulary = spark.sparkContext.broadcast(file.read())
+def test_packing_jobs_share_an_encoder(spark):
+    context, text = spark.sparkContext, open(queries.VOCABULARY, encoding="utf-8").read()
+    vocabulary = packing.shared(context, text)
+    assert packing.shared(context, text) is vocabulary
     assert packing.encoder(vocabulary) is packing.encoder(vocabulary)
 
 
