@@ -15,6 +15,7 @@ repeated rows, and pieces that tie, are packed separately, in the order in which
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,17 +31,19 @@ from pyspark.sql import functions as F
 
 from .common import blocks
 
-#: Words a worker remembers; beyond it begins anew.
+#: Parts of texts a worker remembers; beyond it begins anew.
 CACHE = 1_200_000
 _encoders: WeakKeyDictionary[Broadcast, "Encoder"] = WeakKeyDictionary()
 
 
 class Encoder:
-    """Ids of a byte-level tokenizer, with a bounded memory of what stands between single blanks.
+    """Ids of a byte-level tokenizer, with a bounded memory of parts of texts.
 
-    A cut before a single blank between other characters, or on either side of a single line feed between them, never
-    divides a pre-token, so such parts are encoded once: the new words of a block in one text, where every token that
-    begins with a blank begins a word. A text with other white space or with an added token's string is encoded as it is.
+    A cut before a single blank between other characters, on either side of a single line feed between them, or between an
+    ASCII letter and an ASCII mark behind it never divides a pre-token, so a part between cuts has the same ids wherever it
+    stands. Arrow finds the different parts of a block, and the new ones are encoded in two calls: those that begin with a
+    blank in one text, where every token that begins with a blank begins a part, and the others as lines of another. A text with
+    other white space or with an added token's string is encoded as it is; so is every text if the vocabulary has other pre-tokens.
     """
 
     def __init__(self, vocabulary: str):
@@ -50,48 +53,73 @@ class Encoder:
         self.begins = np.zeros(self.bpe.get_vocab_size(), bool)
         self.begins[[i for t, i in self.bpe.get_vocab().items() if t.startswith("\u0120")]] = True  # how the vocabulary writes a blank
         self.added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}  # after a blank
-        self.firsts: dict[str, bytes] = {}  # at the beginning of a line
-        self.line = self._ids("\n").tobytes()
+        self.line = self._ids("\n")
+        rules = json.loads(vocabulary)
+        before = rules["pre_tokenizer"] or {}
+        self.cuts = len(self.line) == 1 and not rules["normalizer"] and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        self.words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.bpe.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _plain(self, text: str) -> bool:
         odd = not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n"
-        return not odd and not any(t in text for t in self.added)
-
-    def _learn(self, firsts: set[str], words: set[str]) -> None:
-        for first in firsts:
-            self.firsts[first] = self._ids(first).tobytes()
-        new = list(words)
-        if new:
-            ids = self._ids(" " + " ".join(new))
-            at = np.flatnonzero(self.begins[ids])
-            if len(at) != len(new):
-                raise ValueError("the vocabulary does not mark the beginning of words")
-            packed, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            self.words.update((word, packed[a:b]) for word, a, b in zip(new, cuts[:-1], cuts[1:], strict=True))
+        return self.cuts and not odd and not any(t in text for t in self.added)
+
+    def _learn(self, parts: list[str]) -> None:
+        words, others = [x for x in parts if x[0] == " "], [x for x in parts if x[0] not in " \n"]
+        ids = self._ids("".join(words))
+        self._remember(words, ids, np.flatnonzero(self.begins[ids]), 0)
+        ids = self._ids("".join("\n" + x for x in others))
+        self._remember(others, ids, np.flatnonzero(ids == self.line), 1)
+        self.words["\n"] = self.line.tobytes()
+
+    def _remember(self, parts: list[str], ids: np.ndarray, at: np.ndarray, lead: int) -> None:
+        """ids hold the parts one after the other; what belongs to one begins at `at`, with `lead` ids before its own."""
+        if len(at) != len(parts):
+            raise ValueError("the vocabulary does not mark the beginning of parts")
+        packed, begins, ends = ids.tobytes(), 4 * (at + lead), 4 * np.append(at, len(ids))[1:]
+        self.words.update((part, packed[a:b]) for part, a, b in zip(parts, begins.tolist(), ends.tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) + len(self.firsts) > CACHE:
+        if len(self.words) > CACHE:
             self.words.clear()
-            self.firsts.clear()
-        found, firsts, words = [], set(), set()
-        for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")] if self._plain(text) else []
-            for k, line in enumerate(lines):
-                ids = [self.firsts.get(line[0]), *map(self.words.get, line[1:])]
-                if None in ids:
-                    firsts.update(line[:1] if ids[0] is None else ())
-                    words.update(word for word, known in zip(line[1:], ids[1:], strict=True) if known is None)
-                else:
-                    lines[k] = ids
-            found.append(lines)
-        self._learn(firsts, words)
-        known = self.words.__getitem__
-        whole = lambda line: b"".join(line if isinstance(line[0], bytes) else [self.firsts[line[0]], *map(known, line[1:])])
-        return [np.frombuffer(self.line.join(map(whole, lines)), "<u4") if lines else self._ids(text) for text, lines in zip(texts, found, strict=True)]
+        plain = [self._plain(text) for text in texts]
+        whole = iter(self._by_parts([text.encode() for text, is_plain in zip(texts, plain, strict=True) if is_plain]) if any(plain) else ())
+        return [next(whole) if is_plain else self._ids(text) for text, is_plain in zip(texts, plain, strict=True)]
+
+    def _by_parts(self, texts: list[bytes]) -> list[np.ndarray]:
+        parts, firsts = cut(texts)
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [*map(self.words.get, distinct)]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        self._learn([distinct[k] for k in new])
+        for k in new:
+            found[k] = self.words[distinct[k]]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = coded.indices.to_numpy()
+        sizes = size[which]
+        ends = np.cumsum(sizes)
+        at = np.repeat((np.cumsum(size) - size)[which] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return np.split(ids[at], ends[firsts[1:] - 1])
+
+
+#: A cut is where a byte's value in _AFTER is above that of the byte before it in _BEFORE.
+_BEFORE = bytes(0 if b == 10 else 1 if b < 128 and chr(b).isalpha() else 2 for b in range(256))
+_AFTER = bytes(3 if b in (10, 32) else 2 if 32 < b < 127 and not chr(b).isalnum() else 1 for b in range(256))
+
+
+def cut(texts: list[bytes]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The parts of some texts, none of them empty, and the number of each text's first part."""
+    whole, starts = b"".join(texts), np.cumsum([0, *map(len, texts[:-1])])
+    begins = np.ones(len(whole), bool)
+    begins[1:] = np.frombuffer(whole.translate(_AFTER), np.uint8)[1:] > np.frombuffer(whole.translate(_BEFORE), np.uint8)[:-1]
+    begins[starts] = True
+    at = np.append(np.flatnonzero(begins), len(whole))
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(whole)), np.searchsorted(at, starts)
 
 
 def encoder(vocabulary: Broadcast) -> Encoder:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -611,6 +612,32 @@ def test_an_encoder_forgets_and_goes_on(monkeypatch):
             assert ids.tolist() == encoder.bpe.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once_whatever_mark_follows(monkeypatch):
+    with open(queries.VOCABULARY, encoding="utf-8") as file:
+        encoder = packing.Encoder(file.read())
+    r, given, ids = random.Random(81), [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: given.append(len(text)) or ids(text))
+    words = ["".join(r.choices("abcdefghijklm", k=9)) for _ in range(300)]
+    texts = ["\n".join(f"{w}{mark} {w}{mark}" for w in words) for mark in ("", ".", ",", ";", "!", "***")]
+    got = encoder.encode(texts)
+    assert len(given) == 2 and sum(given) < 300 * (10 + 10) + 50  # once after a blank, once on a line of its own, and the marks
+    assert [x.tolist() for x in got] == [encoder.bpe.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_parts_of_any_texts_have_the_ids_of_the_whole():
+    with open(queries.VOCABULARY, encoding="utf-8") as file:
+        vocabulary = file.read()
+    r, encoder = random.Random(82), packing.Encoder(vocabulary)
+    kinds = ["a", "Don", "t", "ing", "É", "ß", "中", "½", "7", "42", ".", ",", "'", "'s", "'ll", "**", "_", "’", "…", "e\u0301", "\u00a0", "🙂", "\n", "\n", " ", " ", " ", " the", "Ġ"]
+    texts = ["".join(r.choices(kinds, k=r.randrange(1, 40))) for _ in range(6000)]
+    assert sum(map(encoder._plain, texts)) > 500
+    for k in range(0, len(texts), 1000):
+        for text, ids in zip(texts[k : k + 1000], encoder.encode(texts[k : k + 1000]), strict=True):
+            assert ids.tolist() == encoder.bpe.encode(text, add_special_tokens=False).ids, text
+    other = packing.Encoder(json.dumps(json.loads(vocabulary) | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}))
+    assert other.encode(["one two\nthree"])[0].tolist() == other.bpe.encode("one two\nthree", add_special_tokens=False).ids
+
+
 def test_a_worker_drops_its_words_when_another_job_comes(spark, docs):
     packing.pack(docs, queries.VOCABULARY).collect()
 
