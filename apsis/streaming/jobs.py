@@ -69,15 +69,24 @@ def alert_stream(enriched_messages: DataFrame, watermark: str = "30 seconds", ex
     return anomaly.detect_anomalies(anomaly.sliding_stats(flat, size, slide, watermark), expected)
 
 
-def start_alerts(enriched_messages: DataFrame, events: str, out: str, checkpoint: str, seconds: int | None = None, mode: str = "all", topic: str | None = None, size: str = "60 seconds", slide: str = "10 seconds"):
+def start_alerts(enriched_messages: DataFrame, events: str, out: str, checkpoint: str, seconds: int | None = None, mode: str = "all", topic: str | None = None, size: str = "60 seconds", slide: str = "10 seconds", weather: str | None = None, events_format: str = "json"):
     """Alerts and their space-weather correlations, as rows and, with a topic, as messages keyed by satellite. The event
-    table is read anew in each micro-batch. Undecodable messages are filed by start_rejects."""
+    table is read anew in each micro-batch. Undecodable messages are filed by start_rejects.
+
+    weather: a folder for the correlations of mode "overlap" as anomaly.weather_by_window has them, in place of rows for each satellite
+    and event (and of their messages): what is written then grows with the alerts and the events, not with their product."""
+    if weather and mode != "overlap":
+        raise ValueError("correlations by window are those of mode 'overlap'")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            known = batch.sparkSession.read.schema(S.EVENT).json(events)
-            every = anomaly.all_alerts(batch, anomaly.correlate_space_weather(batch, known, mode))
+            known = batch.sparkSession.read.schema(S.EVENT).format(events_format).load(events)
+            if weather:
+                anomaly.weather_by_window(batch, known).write.mode("overwrite").parquet(f"{weather}/batch={batch_id}")
+                every = batch
+            else:
+                every = anomaly.all_alerts(batch, anomaly.correlate_space_weather(batch, known, mode))
             every.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
             if topic:
                 written = batch.sparkSession.read.parquet(f"{out}/batch={batch_id}")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from apsis import fixtures as X
 from apsis import schemas as S
-from apsis.operators import positions
+from apsis.operators import anomaly, positions
 from apsis.plans import daily, weekly
 from apsis.sources import readers, writers
 from apsis.streaming import jobs
@@ -73,6 +74,34 @@ def test_alert_stream(spark, tmp_path):
     assert len(messages) == found.count() and {m["key"] for m in messages} == {"1"} and {m["a"]["alert_id"] for m in messages} == {r["alert_id"] for r in found.collect()}
 
 
+def test_correlations_by_window_hold_every_pair_and_do_not_grow_with_satellites(spark, tmp_path):
+    base = int(dt.datetime(2024, 1, 15, 12, tzinfo=dt.UTC).timestamp())
+    satellites = range(1, 21)
+    rows = [(s, f"S{s}", 1.0, 2.0, 400.0 + 10 * k, base + k, "x", "t") for s in satellites for k in range(4)] + [(1, "S1", 1.0, 2.0, 400.0, base + 600, "x", "t")]
+    rows = spark.createDataFrame(rows, "satellite_id int, satellite_name string, latitude double, longitude double, altitude_km double, timestamp bigint, source string, ingestion_time string")
+    positions.to_messages(positions.to_enriched_message(positions.enrich_positions(rows)), "satellite_id").write.json(f"{tmp_path}/in")
+    iso = lambda k: dt.datetime.fromtimestamp(base + k, dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    # All windows, those that begin until 12:00:00, one polled twice, one that ends before they begin, one of low severity.
+    events = [("e1", iso(-3600), None, "extreme"), ("e2", iso(-3600), iso(0), "high"), ("e2", iso(-3600), iso(0), "high"), ("e3", iso(-3600), iso(-60), "high"), ("e4", iso(-3600), None, "low")]
+    known = spark.createDataFrame([(*e, f"t{k}") for k, e in enumerate(events)], "event_id string, start_time string, end_time string, severity string, ingestion_time string")
+    known.write.json(f"{tmp_path}/events")
+    spark.createDataFrame([], S.EVENT).unionByName(known, allowMissingColumns=True).write.parquet(f"{tmp_path}/events-parquet")
+    start = lambda name, at, **more: jobs.start_alerts(readers.read_stream(spark, f"{tmp_path}/in"), at, f"{tmp_path}/{name}", f"{tmp_path}/cp-{name}", mode="overlap", **more).awaitTermination()
+    start("pairs", f"{tmp_path}/events")
+    start("alerts", f"{tmp_path}/events-parquet", weather=f"{tmp_path}/weather", events_format="parquet")
+    every, alerts, weather = (spark.read.parquet(f"{tmp_path}/{n}").drop("batch") for n in ("pairs", "alerts", "weather"))
+    kind = F.col("alert_type") == "SPACE_WEATHER_CORRELATION"
+    ids = lambda df: sorted(r["alert_id"] for r in df.collect())
+    assert ids(every.where(~kind)) == ids(alerts) and weather.count() == 6 + 6
+    pair = lambda df, event: sorted((r["satellite_id"], r["window"]["start"], r["e"], r["severity"]) for r in df.select("satellite_id", "window", F.col(event).alias("e"), "severity").collect())
+    want = pair(every.where(kind), "details.event_id")
+    assert len(want) == 12 * len(satellites) and want == pair(alerts.drop("severity").join(weather, "window"), "event_id")
+    counts = {(r["satellite_id"], r["severity"]): r["correlations"] for r in anomaly.count_by_window(alerts, weather.unionByName(weather)).collect()}
+    assert counts == {(s, level): 6 for s in satellites for level in ("CRITICAL", "WARNING")}
+    with pytest.raises(ValueError, match="overlap"):
+        jobs.start_alerts(None, "", "", "", weather="x")
+
+
 def test_late_rows_are_left_out_of_closed_windows(spark, tmp_path):
     """A row behind the watermark of an earlier batch joins no window; one within it does."""
     base = int(dt.datetime(2024, 1, 15, 12, tzinfo=dt.UTC).timestamp())
