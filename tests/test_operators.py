@@ -6,6 +6,7 @@ import datetime as dt
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -269,6 +270,23 @@ def test_window_figures_do_not_depend_on_how_rows_are_dealt(spark):
                 assert [r["satellite_id"] for r in anomaly.detect_anomalies(stats).collect()] == [3]
 
 
+def test_three_speeds_at_the_limit_are_judged_in_order_of_time(spark):
+    # Exactly two deviations above or below 7.66; which orders alert is what the SQL says of rows in that order, read by one thread.
+    duck = duckdb.connect(config={"threads": 1})
+    orders = [o for speeds in ((7.664, 7.668, 7.672), (7.648, 7.652, 7.656)) for o in itertools.permutations(speeds)]
+    rows = [(k, j, v) for k, o in enumerate(orders) for j, v in enumerate(o)]
+    duck.execute("CREATE TABLE speeds (k INTEGER, j INTEGER, v DOUBLE)")
+    duck.executemany("INSERT INTO speeds VALUES (?, ?, ?)", rows)
+    want = {k for (k,) in duck.execute("SELECT k FROM speeds GROUP BY k HAVING stddev_samp(v) > 0 AND abs(avg(v) - 7.66) / stddev_samp(v) > 2").fetchall()}
+    assert 0 in want and 0 < len(want) < len(orders)
+    for tasks in (1, 5):
+        flat = spark.createDataFrame([(k, "A", T0 + dt.timedelta(hours=j), 408.0, v) for k, j, v in rows], "satellite_id int, satellite_name string, event_time timestamp, altitude_km double, velocity_km_s double").orderBy(F.rand(tasks)).repartition(tasks)
+        for stats in (anomaly.sliding_stats(flat, "2 days", "2 days"), panes.sliding_panes(flat, "2 days", "12 hours"), panes.sliding_panes(flat, "4 hours", "1 hour")):
+            whole = stats.where("samples = 3")
+            assert whole.count() >= len(orders)
+            assert {r["satellite_id"] for r in anomaly.detect_anomalies(whole).collect()} == want
+
+
 def test_correlations_are_counted_without_pairs(spark):
     r = random.Random(5)
     hour = lambda h: T0 + dt.timedelta(hours=h)
